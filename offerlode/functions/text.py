@@ -152,15 +152,20 @@ def visible(text: Column) -> Column:
     return F.when(is_ascii(text), text).otherwise(F.translate(text, "\u00a0\u200b", " "))
 
 
-def staged(df: DataFrame, name: str, *steps: Callable[[Column], Column]) -> DataFrame:
-    """Rewrite one column step by step.
+def staged(df: DataFrame, name: str, *steps: Callable[[Column], Column],
+           value: Column | None = None) -> DataFrame:
+    """Set one column step by step in a single select.
 
-    Steps mention their input several times; one projection per step keeps the plan
-    linear in the number of steps.
+    Steps mention their input several times.  As lateral aliases each becomes one
+    projection, so the plan stays linear in the steps and is analysed once.
     """
-    for step in steps:
-        df = df.withColumn(name, step(F.col(name)))
-    return df
+    aliases, last = [], F.col(name) if value is None else value
+    for number, step in enumerate(steps):
+        alias = f"_{name}_step{number}"
+        aliases.append(step(last).alias(alias))
+        last = F.col(alias)
+    kept = [column for column in df.columns if column != name]
+    return df.select("*", *aliases).select(*kept, last.alias(name))
 
 
 def keep_rows(df: DataFrame, condition: Column, keys: tuple[str, ...],
@@ -171,7 +176,7 @@ def keep_rows(df: DataFrame, condition: Column, keys: tuple[str, ...],
     expression behind the condition; an array of zero or one struct is not.
     """
     row = F.when(F.col("_keep"), F.array(F.struct(*columns)))
-    return df.withColumn("_keep", condition).select(
+    return df.select("*", condition.alias("_keep")).select(
         *keys, F.explode(row).alias("_row")).select(*keys, "_row.*")
 
 
@@ -195,34 +200,43 @@ def _without_call_to_action(text: Column) -> Column:
     return strip(F.regexp_replace(bare, " +", " "), V.STRIP_CLEANED)
 
 
-def with_call_to_action(df: DataFrame, name: str, flag: str) -> DataFrame:
+def _is_call_to_action(folded: Column) -> Column:
     """Cheap superset test for the phrases that cleaning removes."""
-    marked = df.withColumn(flag, fold(F.col(name)))
-    return marked.withColumn(
-        flag, contains_any(F.col(flag), V.CTA_GENERIC + ("verified", "interested user")))
-
-
-def clean_lines(df: DataFrame, name: str, only: Column | None = None) -> DataFrame:
+    return contains_any(folded, V.CTA_GENERIC + ("verified", "interested user"))
+
+
+@lru_cache(maxsize=None)
+def _cleaning_columns(name: str, only: str | None, only_if_left: bool) -> tuple[Column, ...]:
+    """Steps of ``clean_lines`` as lateral aliases, the cleaned text last."""
+    c, text = F.col, F.col(name)
+    steps, condition = {}, None if only is None else c(only)
+    if only_if_left:
+        steps["_left_fold"] = fold(text)
+        steps["_left"] = text.contains("&") | _is_call_to_action(c("_left_fold"))
+        condition = c("_left")
+    steps["_decoded"] = decode_entities(
+        text if condition is None else F.when(condition, text))
+    steps["_visible"] = visible(c("_decoded"))
+    steps["_normal"] = strip(collapse(c("_visible")), V.STRIP_GENERIC)
+    steps["_fold"] = fold(c("_normal"))
+    steps["_cta"] = _is_call_to_action(c("_fold"))
+    cleaned = F.when(c("_cta"), _without_call_to_action(c("_normal"))).otherwise(c("_normal"))
+    if condition is not None:
+        cleaned = F.when(condition, cleaned).otherwise(text)
+    steps["_cleaned"] = cleaned
+    return tuple(step.alias(alias) for alias, step in steps.items())
+
+
+def clean_lines(df: DataFrame, name: str, only: str | None = None,
+                only_if_left: bool = False) -> DataFrame:
     """Normalise a column of lines and take call-to-action noise out of it.
 
-    ``only`` limits the work to some rows; the others keep their text.
+    ``only`` names a boolean column that limits the work to some rows; ``only_if_left``
+    limits it to those that still hold an entity or a phrase.  Other rows keep their text.
     """
-    target = "_cleaning"
-    value = F.col(name) if only is None else F.when(only, F.col(name))
-    df = normalize_generic(df.withColumn(target, value), target)
-    df = with_call_to_action(df, target, "_cta")
-    cleaned = F.when(F.col("_cta"), _without_call_to_action(F.col(target))).otherwise(
-        F.col(target))
-    if only is not None:
-        cleaned = F.when(only, cleaned).otherwise(F.col(name))
-    return df.withColumn(name, cleaned).drop(target, "_cta")
-
-
-def reclean_lines(df: DataFrame, name: str) -> DataFrame:
-    """Second cleaning: the first is final unless entities or phrases remain."""
-    df = with_call_to_action(df, name, "_again")
-    df = df.withColumn("_again", F.col("_again") | F.col(name).contains("&"))
-    return clean_lines(df, name, only=F.col("_again")).drop("_again")
+    kept = [column for column in df.columns if column != name]
+    return df.select("*", *_cleaning_columns(name, only, only_if_left)).select(
+        *kept, F.col("_cleaned").alias(name))
 
 
 def clean_site_offer(text: Column) -> Column:

@@ -1,12 +1,13 @@
 """Text to candidate lines: explode, clean, split, gate and deduplicate."""
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlode.functions.regex import LINE_BREAK
 from offerlode.functions.text import (
-    clean_lines, fits_line_length, is_noise_line, is_packed, keep_rows, reclean_lines,
-    split_packed,
+    clean_lines, fits_line_length, is_noise_line, is_packed, keep_rows, split_packed,
 )
 from offerlode.operators.signals import may_have_signal, with_folded
 
@@ -37,11 +38,18 @@ def explode_parts(lines: DataFrame, line: str = "line") -> DataFrame:
     A part may be empty; ``offer_lines`` drops those.
     """
     keep = [name for name in lines.columns if name != line]
-    cleaned = clean_lines(lines.select(*keep, F.col(line).alias("part")), "part")
+    cleaned = clean_lines(lines, line)
     pieces = cleaned.select(
-        *keep, is_packed(F.col("part")).alias("_packed"),
-        F.posexplode(split_packed(F.col("part"))).alias("part_no", "part"))
-    return clean_lines(pieces, "part", only=F.col("_packed")).drop("_packed")
+        *keep, is_packed(F.col(line)).alias("_packed"),
+        F.posexplode(split_packed(F.col(line))).alias("part_no", "part"))
+    return clean_lines(pieces, "part", only="_packed").drop("_packed")
+
+
+@lru_cache(maxsize=1)
+def _wanted() -> Column:
+    return (
+        fits_line_length(F.col("part")) & may_have_signal(F.col("fold"))
+        & ~is_noise_line(F.col("offer"), F.col("low"), F.col("fold")))
 
 
 def offer_lines(parts: DataFrame) -> DataFrame:
@@ -50,11 +58,9 @@ def offer_lines(parts: DataFrame) -> DataFrame:
     Returns the columns of ``parts`` with ``part`` replaced by ``offer`` and ``fold``.
     """
     keep = tuple(name for name in parts.columns if name != "part")
-    ready = with_folded(reclean_lines(parts.withColumn("offer", F.col("part")), "offer"))
-    wanted = (
-        fits_line_length(F.col("part")) & may_have_signal(F.col("fold"))
-        & ~is_noise_line(F.col("offer"), F.col("low"), F.col("fold")))
-    return keep_rows(ready, wanted, keep, ("offer", "fold"))
+    ready = with_folded(clean_lines(
+        parts.select("*", F.col("part").alias("offer")), "offer", only_if_left=True))
+    return keep_rows(ready, _wanted(), keep, ("offer", "fold"))
 
 
 def first_positions(lines: DataFrame, position: Column, keys: tuple[str, ...]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Signal detectors: one cleaned line in, the fields of one candidate out."""
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,18 +99,15 @@ def marks(folded: Column, foreign: Column) -> dict[str, Column]:
     }
 
 
-def with_captures(df: DataFrame) -> DataFrame:
+def capture_steps() -> dict[str, Column]:
     """``c_*``: captured texts and numbers, null without a match; ``m_*``: marks."""
-    folded = F.col("fold")
-    foreign = F.col("_foreign")
+    folded, foreign = F.col("fold"), F.col("_foreign")
     raw = captures(folded, foreign)
-    df = df.withColumn("_foreign", ~is_ascii(folded))
-    df = df.withColumns({**raw, **marks(folded, foreign)})
     values = {
         "c" + name[1:]: (to_number if name[2:] in NUMBERS else some)(F.col(name))
         for name in raw
     }
-    return df.withColumns(values).drop("_foreign", *raw)
+    return {"_foreign": ~is_ascii(folded), **raw, **marks(folded, foreign), **values}
 
 
 def _in_range(value: Column) -> Column:
@@ -132,7 +129,7 @@ PERCENT_WINNERS = (
 )
 
 
-def with_percents(df: DataFrame) -> DataFrame:
+def percent_steps() -> dict[str, Column]:
     """``p_*``: percent-setting events in evaluation order, null when not fired."""
     c = F.col
     zhe = F.when((c("c_zh_zhe") > 0) & (c("c_zh_zhe") < 10) & c("c_zh_extra").isNull()
@@ -141,20 +138,17 @@ def with_percents(df: DataFrame) -> DataFrame:
     def fill(earlier: tuple[str, ...], value: Column) -> Column:
         return F.when(F.coalesce(*map(c, earlier)).isNull(), value)
 
-    df = df.withColumns({
-        "p_direct": _in_range(c("c_percent")), "p_zh_extra": _from_zhe(c("c_zh_extra"))})
-    later = (
-        ("p_upto", ("p_direct",), _in_range(c("c_upto_percent"))),
-        ("p_extra", ("p_direct", "p_upto"), _in_range(c("c_extra"))),
-        ("p_zh_low", PERCENT_WINNERS[:4], _from_zhe(c("c_zh_low"))),
-        ("p_zhe", PERCENT_WINNERS[:5], zhe),
-        ("p_korean", PERCENT_WINNERS[:6], _in_range(c("c_ko_percent"))),
-        ("p_japanese", PERCENT_WINNERS[:7], _in_range(c("c_ja_percent"))),
-        ("p_spanish", PERCENT_WINNERS[:8], _in_range(c("c_es_percent"))),
-    )
-    for name, earlier, value in later:
-        df = df.withColumn(name, fill(earlier, value))
-    return df
+    return {
+        "p_direct": _in_range(c("c_percent")),
+        "p_zh_extra": _from_zhe(c("c_zh_extra")),
+        "p_upto": fill(("p_direct",), _in_range(c("c_upto_percent"))),
+        "p_extra": fill(("p_direct", "p_upto"), _in_range(c("c_extra"))),
+        "p_zh_low": fill(PERCENT_WINNERS[:4], _from_zhe(c("c_zh_low"))),
+        "p_zhe": fill(PERCENT_WINNERS[:5], zhe),
+        "p_korean": fill(PERCENT_WINNERS[:6], _in_range(c("c_ko_percent"))),
+        "p_japanese": fill(PERCENT_WINNERS[:7], _in_range(c("c_ja_percent"))),
+        "p_spanish": fill(PERCENT_WINNERS[:8], _in_range(c("c_es_percent"))),
+    }
 
 
 CODE_CAPTURES = ("c_code", "c_zh_code", "c_ko_code", "c_ja_code", "c_es_code")
@@ -165,20 +159,22 @@ CODE_STEPS = ("k_code", "k_zh_code", "k_ko_code", "k_ja_code", "k_es_code")
 CODE_WINNERS = ("k_zh_code", "k_code", "k_ko_code", "k_ja_code", "k_es_code")
 
 
-def with_codes(df: DataFrame) -> DataFrame:
+def code_steps() -> dict[str, Column]:
     """``k_*``: valid codes in evaluation order, null when not taken."""
+    steps = {}
     for step, capture in zip(CODE_STEPS, CODE_CAPTURES):
-        df = df.withColumn(step, normalize_code(F.col(capture)))
-        valid = F.when(is_coupon_code(F.col(step)), F.col(step))
+        code = F.col("v" + step[1:])
+        steps["v" + step[1:]] = normalize_code(F.col(capture))
+        valid = F.when(is_coupon_code(code), code)
         if step in CODE_WINNERS[2:]:
             earlier = CODE_WINNERS[:CODE_WINNERS.index(step)]
             valid = F.when(F.coalesce(*map(F.col, earlier)).isNull(), valid)
-        df = df.withColumn(step, valid)
-    return df
+        steps[step] = valid
+    return steps
 
 
-def with_fields(df: DataFrame) -> DataFrame:
-    """Combine captures into candidate fields, signal counts and the offer type."""
+def field_steps() -> dict[str, Column]:
+    """Candidate fields, signal counts and the offer type from the captures."""
     c = F.col
     amount_off = F.when(c("c_upto_amount").isNull(), c("c_amount"))
     saved = F.when(amount_off.isNull(), c("c_save"))
@@ -197,7 +193,7 @@ def with_fields(df: DataFrame) -> DataFrame:
     def count(events: list[Column]) -> Column:
         return reduce(lambda a, b: a + b, [event.cast("int") for event in events])
 
-    counts = df.withColumns({
+    return {
         "n_sale": count(sale_events),
         "n_shipping": count(shipping_events),
         "n_reward": count(reward_events),
@@ -210,14 +206,27 @@ def with_fields(df: DataFrame) -> DataFrame:
         "coupon_code": F.coalesce(*map(c, CODE_WINNERS)),
         "discount_type": F.when(
             c("c_upto_amount").isNotNull() | c("p_upto").isNotNull(), F.lit("upto")),
-    })
-    return counts.withColumns({
         "strong_signals": c("n_sale") + c("n_shipping") + c("n_reward") + c("n_bogo")
         + c("n_code"),
         "weak_signals": c("m_zh_word").cast("int") + c("m_word").cast("int"),
         "offer_type": offer_type(c("n_sale") > 0, c("n_shipping") > 0, c("n_reward") > 0,
                                  c("n_bogo") > 0, c("n_code") > 0),
-    })
+    }
+
+
+@lru_cache(maxsize=1)
+def signal_columns() -> tuple[Column, ...]:
+    """Built once per process; columns are not bound to a table."""
+    steps = {**capture_steps(), **percent_steps(), **code_steps(), **field_steps()}
+    return tuple(step.alias(name) for name, step in steps.items())
+
+
+def with_signals(df: DataFrame) -> DataFrame:
+    """All detector columns of lines that have ``fold``, in one select.
+
+    Later steps refer to earlier ones as lateral aliases.
+    """
+    return df.select("*", *signal_columns())
 
 
 def offer_type(sale: Column, shipping: Column, reward: Column, bogo: Column,
@@ -271,20 +280,25 @@ CANDIDATE_FIELDS = (
 )
 
 
-def with_score(df: DataFrame, bonus: bool = True, folded: Column | None = None) -> DataFrame:
+@lru_cache(maxsize=None)
+def _score_columns(folded: str | None) -> tuple[Column, Column]:
+    terms = S.score_terms(S.folded_offer() if folded is None else F.col(folded))
+    return S.confidence(terms).alias("_base"), S.reasons(terms).alias("_why")
+
+
+def with_score(df: DataFrame, bonus: bool = True, folded: str | None = None) -> DataFrame:
     """Add ``confidence`` and ``reasons``; ``bonus`` needs the signal counts."""
-    terms = S.score_terms(S.folded_offer() if folded is None else folded)
-    scored = df.withColumns({"confidence": S.confidence(terms), "reasons": S.reasons(terms)})
+    base, why = _score_columns(folded)
     if not bonus:
-        return scored
+        return df.select("*", base.alias("confidence"), why.alias("reasons"))
     multi = (F.col("strong_signals") >= 2) | (
         (F.col("strong_signals") >= 1) & (F.col("weak_signals") >= 1))
-    raised = F.least(F.lit(1.0), F.col("confidence") + F.lit(V.MULTI_SIGNAL_BONUS))
-    return scored.withColumns({
-        "confidence": F.when(multi, raised).otherwise(F.col("confidence")),
-        "reasons": F.when(multi, F.array_append("reasons", F.lit("multi_signal"))).otherwise(
-            F.col("reasons")),
-    })
+    raised = F.least(F.lit(1.0), F.col("_base") + F.lit(V.MULTI_SIGNAL_BONUS))
+    return df.select("*", base, why).select(
+        *df.columns,
+        F.when(multi, raised).otherwise(F.col("_base")).alias("confidence"),
+        F.when(multi, F.array_append("_why", F.lit("multi_signal"))).otherwise(
+            F.col("_why")).alias("reasons"))
 
 
 def parse_offers(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -292,12 +306,12 @@ def parse_offers(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
     ``lines`` has ``offer``, ``store``, ``fold`` and the columns named in ``keep``.
     """
-    parsed = with_fields(with_percents(with_codes(with_captures(lines))))
+    parsed = with_signals(lines)
     found = keep_rows(
         parsed, F.col("strong_signals") > 0, (*keep, "store"),
         ("offer", "fold", "c_zh_min", "strong_signals", "weak_signals", *PARSED_FIELDS))
     found = with_expiry(with_min_spend(found))
     # Every score is at least the base, so no row falls below KEEP_CONFIDENCE here.
-    return with_score(found, folded=F.col("fold")).select(
+    return with_score(found, folded="fold").select(
         *keep, "store", "offer", F.lit(V.GENERIC).alias("source"),
         *CANDIDATE_FIELDS[3:15], F.col("offer").alias("normalized_line"))

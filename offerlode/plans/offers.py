@@ -3,11 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlode.functions.urls import store_from_url
 from offerlode.operators import lines as L
 from offerlode.operators.dedup import deduplicate, rank_and_filter
 from offerlode.operators.signals import parse_offers, with_folded
-from offerlode.sources.tables import offer_lines, page_url
+from offerlode.sources.tables import offer_lines
 
 FIXTURE_PART_BITS = 10
 
@@ -31,7 +30,7 @@ def fixture_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return candidates_from_lines(
         offer_lines(spark, folder),
         L.text_position("line_id", part_bits=FIXTURE_PART_BITS),
-        store_from_url(page_url()))
+        F.concat(F.lit("Shop "), F.col("page_id").cast("string")))
 
 
 def fixture_offers(spark: SparkSession, folder: str) -> DataFrame:

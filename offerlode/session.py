@@ -11,6 +11,8 @@ def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Methods beyond 8000 bytes are never compiled to machine code; let Spark split them.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
