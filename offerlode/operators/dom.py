@@ -141,7 +141,9 @@ def cleaned_html() -> Column:
     inside_empty = F.transform(
         "elements", lambda e: F.exists(e["anc"], lambda i: F.get(empty, i)))
     kept = F.filter(kept_events(OPEN, TEXT, CLOSE), lambda event: ~F.coalesce(
-        F.get(inside_empty, event["element"]), F.lit(False)))
+        F.get(inside_empty, event["element"]) | (F.col("has_body") & (
+            F.get(F.col("elements"), event["element"])["tag"] == "html")),
+        F.lit(False)))
     body = F.array_join(F.transform(kept, lambda event: event["text"]), "")
     return F.when(F.col("root_dropped"), F.lit("")).otherwise(_strip(body))
 
