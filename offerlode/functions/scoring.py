@@ -98,7 +98,7 @@ def format_short(value: Column) -> Column:
     simple = F.regexp_replace(plain, r"\.0$", "")
     science = F.format_string("%.5e", F.abs(value))
     digits = F.regexp_replace(F.substring(science, 1, 7), r"\.", "")
-    power = F.regexp_extract(science, r"e(.*)$", 1).cast("int")
+    power = F.regexp_extract(science, r"e(.*)$", 1).try_cast("int")
     whole = F.when(power >= 0, F.left(digits, power + 1)).otherwise(F.lit("0"))
     part = F.when(power >= 0, F.substr(digits, power + 2)).otherwise(
         F.concat(F.repeat(F.lit("0"), -power - 1), digits))
@@ -119,7 +119,7 @@ def format_short(value: Column) -> Column:
 
 
 def two_digits(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+    return F.when(value.isNotNull(), F.format_string("%.2f", value))
 
 
 # --- deduplication keys -----------------------------------------------------------

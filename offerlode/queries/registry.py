@@ -16,7 +16,7 @@ from offerlode.operators.dedup import (
     deduplicate, distinct_offers, rank_and_filter, top_offers, with_rank,
 )
 from offerlode.operators.routing import extract_all, route
-from offerlode.operators.signals import with_expiry, with_min_spend, with_score, with_signals
+from offerlode.operators.signals import with_expiry, with_folded, with_min_spend, with_signals
 from offerlode.operators.site_rules import min_spend as site_min_spend
 from offerlode.operators.site_rules import with_site_fields
 from offerlode.plans.offers import fixture_candidates, fixture_offers
@@ -193,7 +193,7 @@ def html_clean_nodes(spark, folder):
 _BLOCKED = "regexp_replace(b, '<(br|/?(p|h1|div|section|article|body|html)[^>]*)>', chr(10), 'g')"
 
 
-@query("html_to_text", f"""with bodies as (select page_id, {_BODY.replace('html,', I.DEAL_HTML + ',')} as b from pages),
+@query("html_to_text", f"""with bodies as (select page_id, replace({_BODY.replace('html,', I.DEAL_HTML + ',')}, chr(10), ' ') as b from pages),
 blocks as (select page_id, {_sql_decode(f"regexp_replace({_BLOCKED}, '<[^>]*>', '', 'g')")} as t from bodies)
 select page_id, line from (select page_id, trim(regexp_replace(unnest(string_split(t, chr(10))), '\\s+', ' ', 'g')) as line
 from blocks) where line <> ''""")
@@ -244,8 +244,9 @@ def line_cta_strip(spark, folder):
 
 @query("line_split", f"with {Q.LINES}, {Q.parts()} select line_id, page_id, part_no, part from parts")
 def line_split(spark, folder):
-    return L.explode_parts(offer_lines(spark, folder)).where(F.col("part") != "").select(
-        "line_id", "page_id", "part_no", "part")
+    return X.keep_rows(
+        L.explode_parts(offer_lines(spark, folder)), F.col("part") != "",
+        ("line_id", "page_id", "part_no"), ("part",))
 
 
 _DOC_LINES = """doc_lines as (select doc_id, i as line_no, parts[i + 1] as line
@@ -324,9 +325,9 @@ def _signal_query(name: str, columns: tuple[str, ...], where: str | None = None)
     condition = where or " or ".join(f"{column} is not null" for column in columns)
 
     def plan(spark, folder):
-        rows = with_signals(I.gated_lines(spark, folder)).select(
-            "line_id", "part_no", "offer", *columns)
-        return rows.where(condition)
+        rows = with_signals(I.gated_lines(spark, folder))
+        return X.keep_rows(
+            rows, F.expr(condition), ("line_id", "part_no"), ("offer", *columns))
 
     query(name, f"{_SIGNALS} select {_KEYS}, {', '.join(columns)} from fields "
                 f"where {condition}")(plan)
@@ -342,23 +343,27 @@ _signal_query("sig_bogo", ("m_bogo", "m_zh_bogo"), "m_bogo or m_zh_bogo")
 _signal_query("sig_code", (*Q.CODES, "coupon_code"))
 _signal_query("sig_zh_discount", ("p_zh_extra", "p_zh_low", "p_zhe", "c_zh_min", "c_zh_minus"))
 _signal_query("sig_intl_discount", ("p_korean", "p_japanese", "p_spanish"))
-_signal_query("sig_strength", ("strong_signals", "weak_signals"), "strong_signals >= 0")
+_signal_query("sig_strength", ("strong_signals", "weak_signals"), "strong_signals > 0")
 _signal_query("offer_type_merge", ("offer_type", "n_sale", "n_shipping", "n_reward",
-                                   "n_bogo", "n_code"))
+                                   "n_bogo", "n_code"), "offer_type is not null")
 
 
-@query("min_spend", f"""{_SIGNALS} select {_KEYS}, {Q.MIN_SPEND} as min_spend from fields""")
+@query("min_spend", f"""{_SIGNALS} select {_KEYS}, {Q.MIN_SPEND} as min_spend from fields where strong_signals > 0""")
 def min_spend(spark, folder):
-    rows = with_signals(I.gated_lines(spark, folder)).select(
-        "line_id", "part_no", "offer", "fold", "c_zh_min")
+    rows = X.keep_rows(
+        with_signals(I.gated_lines(spark, folder)), F.col("strong_signals") > 0,
+        ("line_id", "part_no"), ("offer", "fold", "c_zh_min"))
     return with_min_spend(rows).select("line_id", "part_no", "offer", "min_spend")
 
 
-@query("expiry", f"""{Q.GATED} select {_KEYS}, {Q.EXPIRY} as expiry, {Q.EXPIRY_TYPE} as expiry_type
-from offers""")
+@query("expiry", f"""with {Q.LINES}, {Q.parts()} select line_id, part_no, part as offer,
+  {Q.EXPIRY.replace('offer', 'part')} as expiry, {Q.EXPIRY_TYPE.replace('offer', 'part')} as expiry_type
+from parts""")
 def expiry(spark, folder):
-    return with_expiry(I.gated_lines(spark, folder)).select(
-        "line_id", "part_no", "offer", "expiry", "expiry_type")
+    parts = L.explode_parts(offer_lines(spark, folder)).withColumnRenamed("part", "offer")
+    dated = with_expiry(with_folded(parts))
+    return X.keep_rows(dated, F.col("offer") != "", ("line_id", "part_no"),
+                       ("offer", "expiry", "expiry_type"))
 
 
 # --- scores and candidates --------------------------------------------------------
