@@ -115,7 +115,8 @@ def format_short(value: Column) -> Column:
         F.when(value < 0, "-").otherwise(""),
         F.when(power.between(-4, 5), trim_zeros[0]).otherwise(
             F.concat(trim_zeros[1], exponent)))
-    return F.when(plain.rlike(r"^-?[0-9]{1,3}(\.[0-9]{1,3})?$"), simple).otherwise(general)
+    short = plain.rlike(r"^-?[0-9]{1,3}(\.[0-9]{1,3})?$")
+    return F.when(value.isNotNull(), F.when(short, simple).otherwise(general))
 
 
 def two_digits(value: Column) -> Column:

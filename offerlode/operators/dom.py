@@ -198,32 +198,37 @@ def selector_matches(element: Column) -> Column:
     return F.array_compact(F.array(*by_class, *by_data))
 
 
-def containers(kept: DataFrame, *columns: str, html: str | None = None) -> DataFrame:
-    """(…, selector, container, strings, snippet) per selector and matching element."""
-    candidates = F.filter(
+def _container_structs(html: str | None) -> Column:
+    found = F.filter(
         F.transform("elements", lambda e, i: F.struct(
             i.alias("container"), selector_matches(e).alias("selectors"),
             F.get(F.col("gone"), i).alias("gone"),
             e["first"].alias("first"), e["last"].alias("last"),
             e["start"].alias("start"), e["stop"].alias("stop"))),
         lambda c: ~c["gone"] & (F.size(c["selectors"]) > 0))
-    snippet = F.lit("") if html is None else F.substring(
-        F.col(html), F.col("c.start") + 1,
-        F.least(F.col("c.stop") - F.col("c.start"), F.lit(V.SNIPPET_CHARS)))
-    rows = kept.select("*", F.explode(candidates).alias("c")).select(
-        *columns, F.col("c.container").alias("container"),
-        F.col("c.selectors").alias("selectors"),
-        _pieces(F.col("c.first"), F.col("c.last")).alias("strings"),
-        snippet.alias("raw_html"))
-    return rows.select(
-        *columns, F.explode("selectors").alias("selector"), "container", "strings",
-        "raw_html")
-
-
-def container_lines(found: DataFrame, *columns: str) -> DataFrame:
-    """The whole text of each container, then each of its strings, in reading order."""
-    texts = F.concat(F.array(F.array_join("strings", " ")), F.col("strings"))
-    position = F.shiftleft(F.col("selector").cast("bigint"), 32) + F.col("container")
-    return found.select(
-        *columns, position.alias("ord_hi"), "raw_html",
-        F.posexplode(texts).alias("line_no", "line"))
+    snippet = lambda c: F.lit("") if html is None else F.substring(
+        F.col(html), c["start"] + 1,
+        F.least(c["stop"] - c["start"], F.lit(V.SNIPPET_CHARS)))
+    return F.transform(found, lambda c: F.struct(
+        c["container"].alias("container"), c["selectors"].alias("selectors"),
+        _pieces(c["first"], c["last"]).alias("strings"), snippet(c).alias("raw_html")))
+
+
+def container_line_array(html: str | None = None) -> Column:
+    """The whole text of each container, then each of its strings, in reading order.
+
+    Elements are (ord_hi, line_no, line, raw_html), once per selector that matches.
+    """
+    def lines(c: Column) -> Column:
+        texts = F.concat(F.array(F.array_join(c["strings"], " ")), c["strings"])
+        return F.flatten(F.transform(c["selectors"], lambda selector: F.transform(
+            texts, lambda text, n: F.struct(
+                (F.shiftleft(selector.cast("bigint"), 32) + c["container"]).alias("ord_hi"),
+                n.alias("line_no"), text.alias("line"), c["raw_html"].alias("raw_html")))))
+
+    return F.flatten(F.transform(_container_structs(html), lines))
+
+
+def container_lines(kept: DataFrame, *columns: str, html: str | None = None) -> DataFrame:
+    return kept.select(*columns, F.explode(container_line_array(html)).alias("l")).select(
+        *columns, "l.*")

@@ -44,10 +44,14 @@ def route(pages: DataFrame, routes: Routes, url: str = "url") -> DataFrame:
     ).withColumn("extractor", F.coalesce("extractor", F.lit(V.GENERIC)))
 
 
-def extract_all(routed: DataFrame, routes: Routes) -> DataFrame:
-    """Every extractor over its own pages, as one union."""
+def extract_all(routed: DataFrame, routes: Routes, prepare: Extractor) -> DataFrame:
+    """Every extractor over its own pages, as one union.
+
+    ``prepare`` tokenises and cleans; it comes after the split, so that the routing
+    filter reaches the scan and no page is tokenised for two extractors.
+    """
     parts = [
-        extractor(routed.where(F.col("extractor") == name))
+        extractor(prepare(routed.where(F.col("extractor") == name)))
         for name, extractor in routes.extractors.items()
     ]
     union = parts[0]

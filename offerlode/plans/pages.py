@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlode.functions import values as V
+from offerlode.functions.regex import LINE_BREAK
 from offerlode.functions.urls import store_from_url
 from offerlode.operators import dom
 from offerlode.operators import lines as L
@@ -18,13 +19,15 @@ COLUMNS = ("page_id", "store")
 def page_lines(kept: DataFrame, html: str | None = "html") -> DataFrame:
     """Container lines, then text lines of cleaned pages that carry ``store``.
 
-    Both passes feed one plan, so the detectors are planned once.
+    Both passes come out of one row of the page, so it is read and tokenised once.
     """
-    found = dom.container_lines(dom.containers(kept, *COLUMNS, html=html), *COLUMNS)
-    text = L.explode_text(kept.select(*COLUMNS, dom.cleaned_text().alias("text")))
-    return found.unionByName(text.select(
-        *COLUMNS, F.lit(L.PASS_TEXT).alias("ord_hi"), F.lit("").alias("raw_html"),
-        "line_no", "line"))
+    text_lines = F.transform(
+        F.split(F.col("_text"), LINE_BREAK), lambda line, n: F.struct(
+            F.lit(L.PASS_TEXT).alias("ord_hi"), n.alias("line_no"), line.alias("line"),
+            F.lit("").alias("raw_html")))
+    both = F.concat(dom.container_line_array(html), text_lines)
+    return kept.withColumn("_text", dom.cleaned_text()).select(
+        *COLUMNS, F.explode(both).alias("l")).select(*COLUMNS, "l.*")
 
 
 def candidates_of_lines(lines: DataFrame) -> DataFrame:

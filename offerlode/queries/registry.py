@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlode.functions import scoring as S
 from offerlode.functions import text as X
 from offerlode.functions import urls as U
 from offerlode.functions import values as V
@@ -21,11 +20,11 @@ from offerlode.operators.site_rules import min_spend as site_min_spend
 from offerlode.operators.site_rules import with_site_fields
 from offerlode.plans.offers import fixture_candidates, fixture_offers
 from offerlode.plans.pages import (
-    candidates_of_lines, cleaned_pages, default_routes, generic_candidates, page_lines,
-    text_candidates,
+    cleaned_pages, default_routes, generic_candidates, text_candidates,
 )
 from offerlode.queries import inputs as I
 from offerlode.queries import sql as Q
+from offerlode.session import stored
 from offerlode.sinks import render
 from offerlode.sources.pages import page_error, page_records
 from offerlode.sources.tables import offer_lines, spread, table
@@ -404,7 +403,7 @@ select page_id, cast(r.s as integer) as selector, cast(r.o as integer) as line_n
 from texts""")
 def dom_containers(spark, folder):
     kept = I.cleaned_deal_pages(spark, folder)
-    found = dom.container_lines(dom.containers(kept, "page_id", html="html"), "page_id")
+    found = dom.container_lines(kept, "page_id", html="html")
     return found.select(
         "page_id", F.shiftright("ord_hi", 32).cast("int").alias("selector"), "line_no", "line",
         F.substring("raw_html", 1, 28).alias("opening"))
@@ -501,8 +500,8 @@ def extract_routed(spark, folder):
     mixed = I.pages(
         spark, folder, url=I.ROUTED_URL,
         html=f"case when page_id % 4 < 2 then {I.SITE_HTML} else {I.DEAL_HTML} end")
-    routed = route(cleaned_pages(mixed), default_routes())
-    return extract_all(routed, default_routes()).select("page_id", *_FIELDS)
+    routes = default_routes()
+    return extract_all(route(mixed, routes), routes, cleaned_pages).select("page_id", *_FIELDS)
 
 
 # --- deduplication and ranking ----------------------------------------------------
@@ -522,7 +521,7 @@ def dedup_canonical(spark, folder):
 
 @query("rank_filter", f"{Q.OFFERS} select page_id, rank, {_SQL_FIELDS} from ranked")
 def rank_filter(spark, folder):
-    return with_rank(fixture_offers(spark, folder)).select("page_id", "rank", *_FIELDS)
+    return with_rank(stored(fixture_offers(spark, folder), "offers")).select("page_id", "rank", *_FIELDS)
 
 
 @query("rank_capped", f"{Q.OFFERS} select page_id, offer, confidence from ranked where rank <= 25")
@@ -566,7 +565,7 @@ select s.page_id, candidate_count, overall_confidence, cast(coalesce(chunk, 0) a
   cast(coalesce(n, 0) as bigint) as listed, coalesce(offers, '') as offers
 from summaries s left join chunks c on s.page_id = c.page_id""")
 def page_report(spark, folder):
-    offers = fixture_offers(spark, folder)
+    offers = stored(fixture_offers(spark, folder), "offers")
     reports = report.page_reports(_summaries(spark, folder, offers), offers)
     return reports.select(
         "page_id", "candidate_count", "overall_confidence", "chunk",
@@ -584,7 +583,7 @@ def fallback_gate(spark, folder):
     pages = I.supplier_pages(spark, folder).select("page_id", F.concat(
         F.lit(" Offers of "), "title", F.lit("\npage "), F.col("page_id").cast("string"),
         F.lit("\n")).alias("cleaned_text"))
-    offers = fixture_offers(spark, folder)
+    offers = stored(fixture_offers(spark, folder), "offers")
     return report.fallback_prompts(report.page_summaries(pages, offers), threshold=GATE)
 
 
@@ -597,7 +596,7 @@ _ENRICHED = f"""{Q.REPORTS}, enriched as (select s.*,
 @query("fallback_enrich", f"""{_ENRICHED} select page_id, candidate_count, overall_confidence,
   fallback_response_text is not null as used_llm_fallback, fallback_response_text, fallback_error from enriched""")
 def fallback_enrich(spark, folder):
-    offers = fixture_offers(spark, folder)
+    offers = stored(fixture_offers(spark, folder), "offers")
     return report.with_fallback_results(
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
 
@@ -642,7 +641,8 @@ summary as (select f.row_number, f.requested_url, case when error is null then '
 
 def _batch_summary(spark, folder):
     pages = I.deal_pages(spark, folder)
-    offers = rank_and_filter(deduplicate(generic_candidates(cleaned_pages(pages))))
+    offers = stored(
+        rank_and_filter(deduplicate(generic_candidates(cleaned_pages(pages)))), "offers")
     requested = F.expr(I.TYPED_URL)
     urls = I.pages(spark, folder).select(
         (F.col("page_id") + 2).alias("row_number"), requested.alias("requested_url"),
@@ -695,7 +695,7 @@ union all select page_id, candidate_count + 1, case when fallback_response_text
   then 'LLM_FALLBACK_OUTPUT' || chr(10) || fallback_response_text else 'LLM_FALLBACK_ERROR' || chr(10) || fallback_error end
 from enriched where fallback_response_text is not null or fallback_error is not null""")
 def render_text(spark, folder):
-    offers = fixture_offers(spark, folder)
+    offers = stored(fixture_offers(spark, folder), "offers")
     enriched = report.with_fallback_results(
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
     return render.text_report(enriched, offers)
@@ -725,7 +725,7 @@ union all select r.page_id, rank, '    {{' || chr(10) || {_JSON_BODY} || chr(10)
 union all select page_id, candidate_count + 1, case when candidate_count > 0 then '  ]' else '  "candidates": []' end
   || chr(10) || '}}' from summaries""")
 def render_json(spark, folder):
-    offers = fixture_offers(spark, folder)
+    offers = stored(fixture_offers(spark, folder), "offers")
     return render.json_report(_summaries(spark, folder, offers), offers)
 
 
@@ -740,8 +740,8 @@ def parse_lines(spark, folder):
   length(s_name) as text_size, overall_confidence as heuristic_confidence, candidate_count as candidates
 from summaries join supplier on page_id = s_suppkey""")
 def run_summary(spark, folder):
-    summaries = report.page_summaries(
-        I.supplier_pages(spark, folder), fixture_offers(spark, folder))
+    offers = stored(fixture_offers(spark, folder), "offers")
+    summaries = report.page_summaries(I.supplier_pages(spark, folder), offers)
     return summaries.select(
         "page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)")).alias("title"),
         F.length("title").cast("bigint").alias("text_size"),

@@ -1,8 +1,9 @@
 """Session settings for tests, benches and stand-alone runs."""
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> SparkSession:
@@ -26,3 +27,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder the cluster names; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named or tempfile.mkdtemp(prefix="offerlode-")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For results that several branches of a plan use: the work before them runs once, the
+    lineage ends here, and the files outlive lost executors.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{label}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
