@@ -495,7 +495,8 @@ def route_pages(spark, folder):
         "page_id", "domain", "extractor")
 
 
-@query("extract_routed")
+@query("extract_routed", f"""select * from ({_SITE_CAND} select page_id, {_SQL_FIELDS} from deduped where page_id % 4 < 2)
+union all select * from ({_PAGE_CAND} select page_id, {_SQL_FIELDS} from cand where page_id % 4 >= 2)""")
 def extract_routed(spark, folder):
     mixed = I.pages(
         spark, folder, url=I.ROUTED_URL,
