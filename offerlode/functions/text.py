@@ -180,6 +180,22 @@ def keep_rows(df: DataFrame, condition: Column, keys: tuple[str, ...],
         *keys, F.explode(row).alias("_row")).select(*keys, "_row.*")
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later lambdas may read per element without recomputing them.
+
+    A projection could be merged into the expression above it and so run once for every
+    element there; the output of an explode cannot.
+    """
+    row = F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))
+    kept = [name for name in df.columns if name not in columns]
+    return df.select(*kept, F.explode(row).alias("_once")).select(*kept, "_once.*")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once and may be used many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_generic(df: DataFrame, name: str) -> DataFrame:
     return staged(
         df, name, decode_entities, visible, collapse, lambda c: strip(c, V.STRIP_GENERIC))

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from offerlode.functions import tokenizer
 from offerlode.functions import values as V
 from offerlode.functions.regex import SPACE, contains_any
-from offerlode.functions.text import with_store_from_page
+from offerlode.functions.text import bound, computed_once, with_store_from_page
 from offerlode.functions.tokenizer import (
     CLOSE, LINK, OPEN, TEXT, TOKEN_FIELDS, tokenize_batches,
 )
@@ -70,23 +70,25 @@ def is_dropped(element: Column) -> Column:
 
 def with_kept(tokens: DataFrame) -> DataFrame:
     """``gone[i]``: element i or an ancestor of it is dropped; ``has_body``: body survives."""
-    marked = tokens.withColumn("_drop", F.transform("elements", is_dropped))
-    marked = marked.withColumn("gone", F.transform(
-        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(F.col("_drop"), i))))
-    body_dropped = F.exists(
-        F.arrays_zip("elements", "gone"),
-        lambda z: (z["elements"]["tag"] == "body") & z["gone"])
-    html_dropped = F.exists(
-        F.arrays_zip("elements", "_drop"),
-        lambda z: (z["elements"]["tag"] == "html") & z["_drop"])
-    return marked.withColumns({
-        "has_body": ~body_dropped,
-        "root_dropped": html_dropped & ~F.col("has_doctype"),
-        # Elements of the head are not part of a surviving body.
-        "gone": F.transform("elements", lambda e, i: F.get(F.col("gone"), i) | (
-            ~body_dropped & F.exists(e["anc"], lambda a: F.get(
-                F.col("elements"), a)["tag"].isin("head", "title")))),
-    }).drop("_drop")
+    c = F.col
+    marked = computed_once(tokens, _drop=F.transform("elements", is_dropped))
+    marked = computed_once(marked, _gone=F.transform(
+        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(c("_drop"), i))))
+
+    def any_dropped(tag: str, flags: str) -> Column:
+        return F.exists(
+            F.zip_with("elements", c(flags), lambda e, gone: (e["tag"] == tag) & gone),
+            lambda dropped: dropped)
+
+    marked = computed_once(
+        marked, has_body=~any_dropped("body", "_gone"),
+        root_dropped=any_dropped("html", "_drop") & ~c("has_doctype"))
+    # Elements of the head are not part of a surviving body.
+    in_head = lambda e: F.exists(e["anc"], lambda i: F.get(
+        c("elements"), i)["tag"].isin("head", "title"))
+    return computed_once(marked, gone=F.transform(
+        "elements", lambda e, i: F.get(c("_gone"), i) | (c("has_body") & in_head(e)))
+    ).drop("_drop", "_gone")
 
 
 def _kept_event(event: Column) -> Column:
@@ -117,14 +119,12 @@ def cleaned_text() -> Column:
     """Markdown-like text: one line per block, links as ``[text](target)``."""
     parts = F.filter(
         kept_events(TEXT, LINK), lambda event: event["text"] != "")
-    joined = F.transform(
-        F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(
-            F.get(parts, i).alias("part"),
-            (F.get(parts, i)["line"] != F.get(parts, i - 1)["line"]).alias("fresh"))),
-        lambda item: F.concat(
-            F.when(F.coalesce(item["fresh"], F.lit(False)), "\n").otherwise(""),
-            F.regexp_replace(item["part"]["text"], SPACE + "+", " ")))
-    text = F.when(F.size(parts) > 0, F.array_join(joined, "")).otherwise("")
+    joined = bound(parts, lambda all_parts: F.transform(
+        all_parts, lambda part, i: F.concat(
+            F.when((i > 0) & (part["line"] != F.get(all_parts, i - 1)["line"]), "\n")
+            .otherwise(""),
+            F.regexp_replace(part["text"], SPACE + "+", " "))))
+    text = F.array_join(joined, "")
     return _strip(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), " +", " "))
 
 
@@ -138,12 +138,13 @@ def cleaned_html() -> Column:
 
     empty = F.transform("elements", lambda e: e["tag"].isin(*V.EMPTY_WRAPPER_TAGS) & ~F.exists(
         F.slice(F.col("events"), e["first"] + 1, e["last"] - e["first"]), is_content))
-    inside_empty = F.transform(
-        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(empty, i)))
-    kept = F.filter(kept_events(OPEN, TEXT, CLOSE), lambda event: ~F.coalesce(
-        F.get(inside_empty, event["element"]) | (F.col("has_body") & (
-            F.get(F.col("elements"), event["element"])["tag"] == "html")),
-        F.lit(False)))
+    inside_empty = bound(empty, lambda flags: F.transform(
+        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(flags, i))))
+    kept = bound(inside_empty, lambda flags: F.filter(
+        kept_events(OPEN, TEXT, CLOSE), lambda event: ~F.coalesce(
+            F.get(flags, event["element"]) | (F.col("has_body") & (
+                F.get(F.col("elements"), event["element"])["tag"] == "html")),
+            F.lit(False))))
     body = F.array_join(F.transform(kept, lambda event: event["text"]), "")
     return F.when(F.col("root_dropped"), F.lit("")).otherwise(_strip(body))
 
