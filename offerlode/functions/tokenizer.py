@@ -3,6 +3,8 @@
 All cleaning, selection and text rules are DataFrame expressions over what it emits.
 """
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,6 +28,9 @@ IMPLIED_END = {
 }
 P_BOUNDARY = ("div", "td", "th", "li", "section", "article", "table", "body", "button")
 
+# Deeper elements join their ancestor at this depth, so paths stay short on broken pages.
+MAX_DEPTH = 256
+
 OPEN, TEXT, CLOSE, LINK = 0, 1, 2, 3
 
 ATTRIBUTES = {
@@ -66,10 +71,8 @@ class _Recorder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements, self.events, self.stack = [], [], []
         self.line, self.doctype = 0, False
-        self.line_starts = [0]
-        for number, char in enumerate(html):
-            if char == "\n":
-                self.line_starts.append(number + 1)
+        self.unopened = Counter()
+        self.line_starts = [0, *(found.end() for found in re.finditer("\n", html))]
         self.feed(html)
         self.close()
         while self.stack:
@@ -124,13 +127,20 @@ class _Recorder(HTMLParser):
         self._event(OPEN, index, source)
         if tag == "a" and values.get("href"):
             self._event(LINK, index, "[")
-        if tag not in VOID:
+        if tag in VOID:
+            return
+        if len(self.stack) < MAX_DEPTH:
             self.stack.append(index)
+        else:
+            self.unopened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.unopened[tag]:
+            self.unopened[tag] -= 1
+            return
         open_tags = [self.elements[index]["tag"] for index in self.stack]
         if tag in open_tags:
             at = self._offset()

@@ -112,3 +112,15 @@ def test_routing(spark, pages):
     assert {r["source"]: r["n"] for r in rows} == {V.SITE: 5, V.GENERIC: 3}
     routes.register("mine", ("EXAMPLE.com",), site_candidates)
     assert routes.domains["example.com"] == "mine"
+
+
+def test_very_deep_page_keeps_its_text():
+    from offerlode.functions.tokenizer import MAX_DEPTH, TEXT, record
+
+    depth = 20_000
+    page = record("<div>" * depth + "deep" + "</div>" * depth + "<p>after\n<b>x")
+    assert page["error"] is None
+    assert [e["text"] for e in page["events"] if e["kind"] == TEXT] == ["deep", "after\n", "x"]
+    assert max(len(e["anc"]) for e in page["elements"]) <= MAX_DEPTH + 1
+    last = page["elements"][-1]
+    assert last["tag"] == "b" and len(last["anc"]) == 2
