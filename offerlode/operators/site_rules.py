@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlode.functions import values as V
-from offerlode.functions.regex import contains_any, grab, hit, some
+from offerlode.functions.regex import grab, hit, some
 from offerlode.functions.text import (
     clean_site_offer, fold, is_noise_site_offer, keep_rows, normalize_plain,
     store_from_site_heading, to_number,

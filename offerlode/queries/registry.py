@@ -16,7 +16,6 @@ from offerlode.operators.dedup import (
 )
 from offerlode.operators.routing import extract_all, route
 from offerlode.operators.signals import with_expiry, with_folded, with_min_spend, with_signals
-from offerlode.operators.site_rules import min_spend as site_min_spend
 from offerlode.operators.site_rules import with_site_fields
 from offerlode.plans.offers import fixture_candidates, fixture_offers
 from offerlode.plans.pages import (
@@ -248,11 +247,6 @@ def line_split(spark, folder):
         ("line_id", "page_id", "part_no"), ("part",))
 
 
-_DOC_LINES = """doc_lines as (select doc_id, i as line_no, parts[i + 1] as line
-from (select doc_id, parts, unnest(range(len(parts))) as i
-      from (select doc_id, string_split_regex(text, '\\r\\n|[\\n\\v\\f\\r]') as parts from documents)))"""
-
-
 @query("line_filter", f"""with {Q.LINES} select line_id, line,
   length(line) between {V.MIN_LINE_CHARS} and {V.MAX_LINE_CHARS} as fits,
   {Q.noise('line')} as noise, {Q.site_noise('line')} as site_noise from lines""")
@@ -389,7 +383,7 @@ _H1 = f"regexp_extract(html, '<h1>(.*?)</h1>', 1)"
 _H1_STORE = f"substr(trim({Q.collapse(_sql_decode(_H1))}, {Q.text(V.STRIP_GENERIC)}), 1, {V.STORE_CHARS})"
 _PAGE_LINES = f"""lines as (select page_id, store, cast(r.n as bigint) as line_id, r.line as line
   from (select page_id, {_H1_STORE} as store, unnest([{_DOM_LINES}]) as r from pages))"""
-_PAGE_CAND = f"""with {_PAGE_LINES}, {Q.parts(keys='line_id, page_id, store') .replace('cleaned as (select line_id, page_id, store,', 'cleaned as (select line_id, page_id, store,')},
+_PAGE_CAND = f"""with {_PAGE_LINES}, {Q.parts(keys='line_id, page_id, store')},
 firsts as (select page_id, store, offer, cast(0 as bigint) as ord_hi, min(line_id * 1024 + part_no) as ord_lo
   from offers group by page_id, store, offer), {Q.candidates('firsts')}"""
 

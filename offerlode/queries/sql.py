@@ -4,7 +4,7 @@ Built from the same fixed values; every CTE below mirrors one plan stage.
 """
 
 from offerlode.functions import values as V
-from offerlode.plans.fixture_lines import LINES_SQL, PAGE_URL_SQL
+from offerlode.plans.fixture_lines import LINES_SQL
 
 
 def text(value: str) -> str:

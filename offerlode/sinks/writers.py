@@ -1,7 +1,6 @@
 """Writers: offers, per-page outputs and batch summaries as distributed files."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from offerlode.functions import values as V
 from offerlode.operators.dom import cleaned_html, cleaned_text
