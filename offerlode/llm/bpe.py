@@ -22,13 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_PIECES = 500_000
-CACHE_PREFIXES = 800_000
+from offerlode.llm.common import small
+
+CACHE_PIECES = 250_000
+CACHE_PREFIXES = 350_000
+CACHE_PAIRS = 300_000
 #: Bytes of a piece up to which it is cached and shares its prefixes with others.
 SHORT = 64
 TAIL = 4
 
 
+def load_ranks(path: str | None) -> dict[bytes, int]:
+    """Byte strings and their ranks; without a path, those of the public 50k vocabulary."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 class Vocabulary:
     """Ranks of byte strings, and which pairs of tokens may stand side by side."""
 
@@ -44,12 +54,6 @@ class Vocabulary:
         self._apart: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
-    @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
-
     def merged(self, data: bytes) -> list[int]:
         """Encoding by its definition: join the neighbours of lowest rank, leftmost first."""
         parts = [data[at:at + 1] for at in range(len(data))]
@@ -81,7 +85,7 @@ class Vocabulary:
         pair = (left, right)
         known = self._apart.get(pair)
         if known is None:
-            if len(self._apart) > 500_000:
+            if len(self._apart) > CACHE_PAIRS:
                 self._apart.clear()
             joined = self.tokens[left] + self.tokens[right]
             token = self.ranks.get(joined)
@@ -200,7 +204,7 @@ class Pieces(dict):
 
 class Encoder:
     def __init__(self, path: str | None = None, pattern: str = public_tokenizers.PATTERN):
-        self.vocabulary = Vocabulary.load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        self.vocabulary = Vocabulary(load_ranks(path))
         self.matcher = regex.compile(pattern)
         self.pieces = Pieces(self.vocabulary)
 
@@ -208,9 +212,6 @@ class Encoder:
         pieces = self.pieces
         return b"".join([pieces[piece] for piece in self.matcher.findall(text)])
 
-    def decode(self, packed: bytes) -> bytes:
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[rank] for rank in np.frombuffer(packed, "<u4").tolist()])
 
 
 class Encoded:
@@ -263,13 +264,23 @@ def encoder(path: str | None) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str | None) -> list[bytes]:
+    """Bytes of each id; ids that the vocabulary leaves free have none."""
+    ranks = load_ranks(path)
+    known = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        known[rank] = token
+    return known
+
+
 def _with_column(frame: DataFrame, source: str, name: str, change) -> DataFrame:
     """All columns of frame and a binary one made from source by change(batch column)."""
     schema = T.StructType([*frame.schema.fields, T.StructField(name, T.BinaryType())])
     at = frame.columns.index(source)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             made = pa.array(change(batch.column(at)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
@@ -292,8 +303,9 @@ def encode(frame: DataFrame, path: str | None = None, text: str = "text", ids: s
 def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of the ids; null ids give no bytes."""
     def change(column):
-        coder = encoder(path)
-        return [coder.decode(value or b"") for value in column.to_pylist()]
+        known = token_bytes(path)
+        ids = (np.frombuffer(value or b"", "<u4").tolist() for value in column.to_pylist())
+        return [b"".join([known[rank] for rank in found]) for found in ids]
 
     return _with_column(frame, ids, out, change)
 

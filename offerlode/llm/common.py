@@ -58,6 +58,13 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def small(batches, rows: int = 256):
+    """The same rows in smaller batches, so that a worker holds few whole texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null meets null; it still joins by hash."""
     return left.eqNullSafe(right)

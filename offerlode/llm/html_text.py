@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlode.llm.common import free_name
+from offerlode.llm.common import free_name, small
 
 # Names in HTML and words that mark furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -276,7 +276,7 @@ def extract(pages: DataFrame) -> DataFrame:
     columns_out = [*kept.columns, *names]
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(page) for page in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

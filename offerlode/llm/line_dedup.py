@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlode.llm.common import durable, free_name, same
+from offerlode.llm.common import durable, free_name, same, small
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -117,7 +117,7 @@ def reference_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found: dict[bytes, int] = {}
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 for key in set(keys_of(text, min_chars)):
@@ -202,7 +202,7 @@ def candidate_lines(docs: DataFrame, loaded, id_name: str, min_chars: int) -> Da
             joined = b"".join(loaded.value.get(shard, b"") for shard in range(SHARDS))
             marks = np.frombuffer(joined, np.uint16).reshape(-1, SLOTS)
             starts, masks = np.cumsum(sizes) - sizes, sizes - 1
-        for batch in batches:
+        for batch in small(batches):
             ids, keys = [], []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 found = set(keys_of(text, min_chars)) - {None}
@@ -239,7 +239,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             kept, lines, dropped = [], [], []
             for text, keys in zip(texts, batch.column(batch.num_columns - 1).to_pylist()):

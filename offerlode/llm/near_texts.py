@@ -1,0 +1,261 @@
+"""Near-duplicate texts: word shingles of a similarity, found by SimHash bands.
+
+A text's distinct words give a 128-bit SimHash, taken as four bands of 32 bits. Each band is
+joined as in simhash.py: two texts meet if a band differs in two bits or fewer. Texts that are
+alike in 0.8 of their five-word shingles differ in about a fifteenth of these bits, so nearly
+all meet in some band; then the shingles themselves are compared.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from offerlode.llm.common import durable, free_name, same, small
+from offerlode.llm.components import components
+from offerlode.llm.simhash import BYTE_BITS, close_pairs
+from offerlode.llm.vectors import sorted_groups
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 4
+SEGMENTS = 16
+TILE_ROWS = 256
+#: Shingles of a tile that are multiplied at once.
+COLUMNS = 4096
+#: A list of digests up to this many rows (of 32 characters) is broadcast, a longer one joined.
+SMALL_ROWS = 500_000
+
+
+def band_prints(text: bytes | None) -> list[int]:
+    """One signed number for each band: the band's place above its 32 bits."""
+    words = set((text or b"").lower().split())
+    if not words:
+        return [band << 32 for band in range(BANDS)]
+    octets = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
+    if len(octets) < 64:
+        votes = np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    else:
+        votes = np.concatenate([np.bincount(octets[:, at], minlength=256) @ BYTE_BITS for at in range(16)])
+    bits = np.packbits(2 * votes > len(octets), bitorder="little").view("<u4")
+    return [(band << 32) | int(bits[band]) for band in range(BANDS)]
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles; fewer words are one shingle."""
+    words = (text or b"").lower().split()
+    if len(words) < WORDS:
+        found = [b" ".join(words)]
+    else:
+        found = map(b" ".join, zip(*(words[start:] for start in range(WORDS))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64))
+
+
+def similar(left: np.ndarray, right: np.ndarray) -> bool:
+    if min(len(left), len(right)) < SIMILARITY * max(len(left), len(right)):
+        return False
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return common >= SIMILARITY * (len(left) + len(right) - common)
+
+
+def sketches(docs: DataFrame, digest: str) -> DataFrame:
+    """(digest, doc_id, prints) of every row."""
+
+    def run(batches):
+        for batch in small(batches):
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([band_prints(t) for t in texts], pa.list_(pa.int64()))],
+                ["digest", "doc_id", "prints"],
+            )
+
+    return docs.select(digest, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "digest string, doc_id long, prints array<long>"
+    )
+
+
+def _semi(docs: DataFrame, digest: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose digest is wanted; a short list is broadcast, so no text is shuffled."""
+    if wanted.count() <= SMALL_ROWS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, docs[digest] == wanted["node"], "left_semi")
+
+
+def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges (a, b) whose texts are similar."""
+
+    def run(batches):
+        for batch in small(batches):
+            left, right = (batch.column(at).cast(pa.binary()).to_pylist() for at in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([
+                similar(shingles(one), shingles(two)) for one, two in zip(left, right)
+            ]))
+
+    a = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
+    return edges.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of shingle sets (left by right) are similar, by blocked matrix products."""
+    names, place = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    shared = np.flatnonzero(np.bincount(place, minlength=len(names)) > 1)
+    column = np.full(len(names), -1)
+    column[shared] = np.arange(len(shared))
+    at = column[place]
+    owner, at = owner[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(at, [start, start + COLUMNS])
+        block = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        block[owner[a:b], at[a:b] - start] = 1
+        common += block[:len(left)] @ block[len(left):].T
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    return common >= SIMILARITY * (sizes[0][:, None] + sizes[1][None, :] - common) - 1e-6
+
+
+def _tile_links(buckets: DataFrame) -> DataFrame:
+    """(a, b): similar texts of each bucket's first and second side, one link for each text.
+
+    A bucket's sides are cut into parts of about TILE_ROWS, and each pair of parts is a tile.
+    """
+    sizes = buckets.groupBy("bucket", "side").count()
+    parts = F.ceil(F.col("count") / TILE_ROWS).cast("int")
+    sizes = sizes.groupBy("bucket").agg(
+        F.max(F.when(F.col("side") == 0, parts)).alias("rows"), F.max(F.when(F.col("side") == 1, parts)).alias("columns")
+    ).withColumnRenamed("bucket", "sized")
+    left = F.col("side") == 0
+    own = F.pmod(F.xxhash64("digest"), F.when(left, F.col("rows")).otherwise(F.col("columns"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(left, F.col("columns")).otherwise(F.col("rows")) - 1))
+    keys = ["bucket", "row", "column"]
+    tiled = (
+        buckets.join(sizes, F.col("bucket") == F.col("sized")).withColumn("own", own).withColumn("other", other)
+        .select(
+            "bucket", F.when(left, F.col("own")).otherwise(F.col("other")).alias("row"),
+            F.when(left, F.col("other")).otherwise(F.col("own")).alias("column"), "side", "digest", "text",
+        )
+    )
+
+    def run(batches):
+        for group in sorted_groups(batches, keys):
+            side = group.column("side").to_numpy()
+            digests = np.array(group.column("digest").to_pylist(), dtype=object)
+            sets = [shingles(text) for text in group.column("text").cast(pa.binary()).to_pylist()]
+            rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(rows) or not len(columns):
+                continue
+            alike = _alike([sets[i] for i in rows], [sets[i] for i in columns])
+            alike &= digests[rows][:, None] != digests[columns][None, :]
+            links = _forest(*np.nonzero(alike), len(rows))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([digests[rows[i]] for i, _ in links], pa.string()),
+                pa.array([digests[columns[j]] for _, j in links], pa.string()),
+            ], ["a", "b"])
+
+    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a string, b string")
+
+
+def _forest(first: np.ndarray, second: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """Links that join as much as all of them do."""
+    parent: dict[int, int] = {}
+
+    def root(node):
+        while parent.setdefault(node, node) != node:
+            parent[node] = parent[parent[node]]
+            node = parent[node]
+        return node
+
+    kept = []
+    for i, j in zip(first.tolist(), second.tolist()):
+        a, b = root(i), root(rows + j)
+        if a != b:
+            parent[a] = b
+            kept.append((i, j))
+    return kept
+
+
+def _groups(docs: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
+    """(node, root) of linked digests.
+
+    First every text is compared with two hubs of each band it shares or nearly shares: the
+    text with most copies and the smallest. Then buckets that still hold more than one group,
+    and more than the two texts compared already, are compared whole, in tiles.
+    """
+    bands = durable(classes.select("digest", "copies", F.explode("prints").alias("fp")), "bands")
+    hubs = durable(bands.groupBy("fp").agg(
+        F.min("digest").alias("low"), F.max(F.struct("copies", "digest"))["digest"].alias("most"), F.count("*").alias("n"),
+    ), "band-hubs")
+    close = durable(close_pairs(hubs, SEGMENTS), "close-bands")
+    own = bands.join(hubs.where("n > 1"), "fp").select(
+        "digest", F.explode(F.array("low", "most")).alias("hub")
+    )
+    a = hubs.select(F.col("fp").alias("a"), F.array("low", "most").alias("hubs_a"))
+    b = hubs.select(F.col("fp").alias("b"), F.array("low", "most").alias("hubs_b"))
+    across = close.join(a, "a").join(b, "b").select(F.explode("hubs_a").alias("digest"), "hubs_b").select(
+        "digest", F.explode("hubs_b").alias("hub")
+    )
+    edges = durable(own.union(across).where("digest != hub").select(
+        F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")
+    ).distinct(), "hub-edges")
+    nodes = durable(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "hub-nodes")
+    texts = durable(
+        _semi(docs, digest, nodes).groupBy(F.col(digest).alias("digest")).agg(F.first("text").alias("text")), "hub-texts"
+    )
+    links = durable(_verified(edges, texts), "hub-links")
+    rooted = bands.join(components(links, "a", "b"), F.col("digest") == F.col("node"), "left").select(
+        "fp", "digest", F.coalesce("root", "digest").alias("root")
+    )
+    sides = rooted.select(F.col("fp").alias("bucket"), F.lit(0).alias("side"), "digest", "root").union(
+        rooted.select(F.col("fp"), F.lit(1), "digest", "root")
+    ).union(
+        close.join(rooted.withColumnRenamed("fp", "b"), "b").select(F.col("a"), F.lit(1), "digest", "root")
+    )
+    mixed = sides.groupBy("bucket").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.sum("side").alias("texts")
+    ).where("least != most and texts > 2").select(F.col("bucket").alias("mixed"))
+    rest = durable(sides.join(mixed, F.col("bucket") == F.col("mixed"), "left_semi").select("bucket", "side", "digest"), "mixed")
+    if rest.isEmpty():
+        return components(links, "a", "b")
+    needed = rest.select(F.col("digest").alias("node")).distinct()
+    held = _semi(texts, "digest", needed)
+    found = _tile_links(rest.join(held, "digest"))
+    return components(durable(links.union(found), "all-links"), "a", "b")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of equal or similar texts, with all columns of docs.
+
+    The document with the smallest doc_id stays (null last, then the smallest digest). Texts of
+    fewer than five words are one shingle; null, empty and blank texts have the empty shingle
+    and form one group. Of rows with the same doc_id and text one stays.
+    """
+    digest = free_name(docs, "text_digest")
+    named = docs.withColumn(digest, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = durable(sketches(named, digest), "sketches")
+    classes = durable(rows.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("prints").alias("prints")
+    ), "text-classes")
+    roots = _groups(named, digest, classes)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    kept = (
+        classes.join(roots, F.col("digest") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "digest").alias("root")).agg(first.alias("kept"))
+        .select(F.col("kept.digest").alias("kept_digest"), F.col("kept.doc_id").alias("kept_id"))
+    )
+    kept = durable(kept, "kept")
+    if kept.count() <= SMALL_ROWS:
+        kept = F.broadcast(kept)
+    on = same(named[digest], kept["kept_digest"]) & same(named["doc_id"].cast("long"), kept["kept_id"])
+    chosen = named.join(kept, on, "left_semi")
+    repeated = rows.groupBy("digest", "doc_id").count().where("count > 1").isEmpty()
+    if not repeated:
+        order = Window.partitionBy(digest).orderBy(*[F.col(f"`{name}`") for name in docs.columns if name != "text"])
+        at = free_name(named, "row")
+        chosen = chosen.withColumn(at, F.row_number().over(order)).where(F.col(at) == 1)
+    return chosen.select(*[F.col(f"`{name}`") for name in docs.columns])

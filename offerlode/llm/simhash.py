@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerlode.llm.common import small
 from offerlode.llm.components import components
 
 SEED = 42
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(text, words) for text in texts], "<u8").view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
@@ -61,10 +62,14 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
-def ball_cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, cell and step (0 or 1) of all cells at most one step from each fingerprint."""
-    counts = (prints & LOW_BITS) + ((prints >> np.uint64(1)) & LOW_BITS)
-    place = np.uint64(2) * np.arange(32, dtype=np.uint64)
+def ball_cells(prints: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, cell and step (0 or 1) of all cells at most one step from each fingerprint.
+
+    Only the low segments are counted; the bits above them are part of every cell's name.
+    """
+    low = np.uint64((1 << 2 * segments) - 1)
+    counts = (prints & LOW_BITS & low) + ((prints >> np.uint64(1)) & LOW_BITS & low) + (prints & ~low)
+    place = np.uint64(2) * np.arange(segments, dtype=np.uint64)
     field = (counts[:, None] >> place) & np.uint64(3)
     step = np.left_shift(np.uint64(1), place)
     up_row, up_at = np.nonzero(field < 2)
@@ -74,15 +79,15 @@ def ball_cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, cell, (np.arange(len(row)) >= len(prints)).astype(np.int8)
 
 
-def grid_cells(prints: DataFrame) -> DataFrame:
-    """(cell, step, fp) of distinct fingerprints: at most 65 rows for each."""
+def grid_cells(prints: DataFrame, segments: int = 32) -> DataFrame:
+    """(cell, step, fp) of distinct fingerprints: at most 1 + 2 * segments rows for each."""
 
     def run(batches):
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
             for start in range(0, len(values), 2000):
                 block = values[start:start + 2000]
-                row, cell, step = ball_cells(block)
+                row, cell, step = ball_cells(block, segments)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell.view(np.int64)), pa.array(step), pa.array(block[row].view(np.int64))],
                     ["cell", "step", "fp"],
@@ -91,14 +96,14 @@ def grid_cells(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "cell long, step byte, fp long")
 
 
-def close_pairs(prints: DataFrame) -> DataFrame:
+def close_pairs(prints: DataFrame, segments: int = 32) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at most MAX_BITS apart.
 
     The Manhattan distance is the Hamming distance, less 2 where the two bits of one segment
     are exchanged; a pair is taken in the cells whose steps add up to it, so copies of a pair
     stay few.
     """
-    cells = grid_cells(prints)
+    cells = grid_cells(prints, segments)
     left = cells.select("cell", F.col("step").alias("step_a"), F.col("fp").alias("a"))
     right = cells.select("cell", F.col("step").alias("step_b"), F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))

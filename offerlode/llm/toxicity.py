@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
 Weights: for each word, and for its prefixes of 3, 4 and 5 letters, the documents of each class
-that hold it are counted. The share of the toxic class has a two-way Dirichlet prior centred on
-the share of the next shorter prefix, so a rare or unseen word takes the weight of its stem. A
-constant is taken off each token; then ordinary text drifts downwards and a passage has to earn
-its length.
+that hold it are counted. The share of the toxic class among them has a two-way Dirichlet prior
+centred on the share of the next shorter prefix, and that of the shortest on the share of toxic
+documents, so a rare or unseen word takes the weight of its stem. The weight is the log-odds of
+the share against that of all documents. A constant is taken off each token; then ordinary text
+drifts downwards and a passage has to earn its length.
 
 Passages: one linear scan finds all maximal segments of positive sum.
 
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlode.llm.common import durable, forget, free_name
+from offerlode.llm.common import durable, forget, free_name, small
 
 #: Labelled rows that the model is fitted on, at most; every fifth of them calibrates.
 FIT_ROWS = 20_000
 PREFIXES = (3, 4, 5)
-PRIOR_WEIGHT = 4.0
+PRIOR_WEIGHT = 2.0
 TOKEN_COST = 1.0
 #: Features found in fewer fitted documents keep the weight of their stem.
 LEAST_DOCS = 3
@@ -44,9 +45,10 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Model:
-    """counts: feature to (clean documents, toxic documents), brought to equal class sizes."""
+    """counts: feature to (clean documents, toxic documents); share: of the toxic ones in all."""
 
-    counts: dict[str, tuple[float, float]]
+    counts: dict[str, tuple[int, int]]
+    share: float = 0.5
     rate: float = 1.0
     scale: float = 1.0
     slope: float = 1.0
@@ -58,24 +60,28 @@ def features(word: str) -> list[str]:
     return [f"{word[:size]}*" for size in PREFIXES if len(word) > size] + [word]
 
 
-def word_score(word: str, counts: dict[str, tuple[float, float]]) -> float:
-    share = 0.5
+def word_score(word: str, model: Model) -> float:
+    share = model.share
     for feature in features(word):
-        clean, toxic = counts.get(feature, (0.0, 0.0))
+        clean, toxic = model.counts.get(feature, (0, 0))
         share = (toxic + PRIOR_WEIGHT * share) / (clean + toxic + PRIOR_WEIGHT)
-    return math.log(share / (1 - share)) - TOKEN_COST
+    return _logit(share) - _logit(model.share) - TOKEN_COST
+
+
+def _logit(share: float) -> float:
+    return math.log(share / (1 - share))
 
 
 class TokenScores(dict):
     """Score of each blank-separated token, that of its highest word; filled on demand."""
 
-    def __init__(self, counts):
+    def __init__(self, model: Model):
         super().__init__()
-        self.counts = counts
+        self.model = model
 
     def __missing__(self, token):
         words = WORD.findall(token.lower())
-        score = max((word_score(word, self.counts) for word in words), default=-TOKEN_COST)
+        score = max((word_score(word, self.model) for word in words), default=-TOKEN_COST)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[token] = score
@@ -149,7 +155,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _count_features(rows: DataFrame) -> DataFrame:
     def run(batches):
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in small(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(WORD.findall((text or "").lower()))
                 seen[toxic > 0].update({f for word in words for f in features(word)})
@@ -209,16 +215,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     rows = durable(fit_rows(docs, labels), "toxicity-fit")
     sizes = {toxic > 0: n for toxic, n in rows.where("part != 0").groupBy("toxic").count().collect()}
-    balance = sizes.get(True, 0) / max(sizes.get(False, 0), 1) or 1.0
-    model = Model({f: (clean * balance, float(toxic)) for f, clean, toxic in _count_features(rows).collect()})
+    share = (sizes.get(True, 0) + 0.5) / (sum(sizes.values()) + 1)
+    model = Model({f: (clean, toxic) for f, clean, toxic in _count_features(rows).collect()}, share)
     if not sizes.get(True):
         forget(rows)
         return model
-    shared = rows.sparkSession.sparkContext.broadcast(model.counts)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         tokens = TokenScores(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             out = {"toxic": [], "n": [], "sums": [], "bins": [], "times": []}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 scores = tokens.of(text)
@@ -280,8 +286,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], only_clean: bool = Fal
 
     def run(batches):
         fitted = shared.value
-        tokens = TokenScores(fitted.counts)
-        for batch in batches:
+        tokens = TokenScores(fitted)
+        for batch in small(batches):
             found = [passages(tokens.of(text), fitted) for text in batch.column(0).to_pylist()]
             chance = [probability(sum(e for _, _, e in spans), fitted) for spans in found]
             batch = batch.select(range(1, batch.num_columns))
