@@ -19,18 +19,22 @@ ODD = [
 ]
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def vectors(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
     return [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
 
 
-def test_links_equal_brute_force(spark, small, vectors):
+def test_links_equal_brute_force(spark, vectors):
     ids, values = vectors
+    rng = np.random.default_rng(0)
+    values[100:160] = values[rng.integers(0, 40, 60)] + 0.035 * rng.standard_normal((60, values.shape[1]))
+    values = values.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in zip(ids, values)], VECTORS)
     unit = values / np.linalg.norm(values, axis=1, keepdims=True)
     linked = unit @ unit.T >= 0.95
     np.fill_diagonal(linked, False)
-    got = {r.vec_id: r for r in queries.op10_vector_dedup(spark, small).collect()}
+    got = {r.vec_id: r for r in vector_dedup.linked_vectors(frame).collect()}
     assert len(got) == len(ids) and linked.any()
     assert [got[i].n_links for i in ids] == linked.sum(1).tolist()
     root = list(range(len(ids)))
@@ -127,7 +131,9 @@ def test_nearest_of_odd_vectors(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [200_000, 40])
+def test_components_of_chains_and_stars(spark, monkeypatch, task_edges):
+    monkeypatch.setattr("offerlode.llm.components.FOREST_EDGES", task_edges)
     chain = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
     edges = [*chain, *star, (5000, 5000), (7, 3), (None, 4)]
