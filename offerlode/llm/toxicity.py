@@ -39,7 +39,9 @@ TOKEN_COST = 1.0
 #: Features found in fewer fitted documents keep the weight of their stem.
 LEAST_DOCS = 3
 HISTOGRAM_STEP = 0.1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Holds the logistic curve's parameters where the classes are separable.
+RIDGE = 0.02
 WORD = re.compile(r"\w+")
 
 
@@ -88,7 +90,15 @@ class TokenScores(dict):
         return score
 
     def of(self, text: str | None) -> np.ndarray:
-        return np.array([self[token] for token in (text or "").split()], dtype=np.float64)
+        """Scores of a text's tokens. A word speaks once: its repeats are no new evidence."""
+        tokens = (text or "").split()
+        scores = np.array([self[token] for token in tokens], dtype=np.float64)
+        seen: set[str] = set()
+        for at in np.flatnonzero(scores > 0).tolist():
+            if tokens[at] in seen:
+                scores[at] = -TOKEN_COST
+            seen.add(tokens[at])
+        return scores
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -130,7 +140,7 @@ def passages(scores: np.ndarray, model: Model) -> list[tuple[int, int, float]]:
 
 
 def probability(evidence: float, model: Model) -> float:
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * evidence + model.offset))))
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * math.log1p(evidence) + model.offset))))
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -195,17 +205,17 @@ def _logistic(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps; a small ridge keeps separable data finite."""
     if toxic.min() == toxic.max():
         return 1.0, -3.0
-    x = np.stack([evidence / 10, np.ones_like(evidence)], axis=1)
+    x = np.stack([np.log1p(evidence), np.ones_like(evidence)], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        slope = x.T @ (toxic - p) - 0.1 * beta
-        bend = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        slope = x.T @ (toxic - p) - RIDGE * beta
+        bend = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
         step = np.linalg.solve(bend, slope)
         beta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0] / 10), float(beta[1])
+    return float(beta[0]), float(beta[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
