@@ -50,12 +50,12 @@ class Codec:
     def bounds(self, queries: np.ndarray, codes: np.ndarray, length: np.ndarray, align: np.ndarray):
         """Estimated inner products (queries by rows) and their error bounds."""
         signs = np.unpackbits(codes, axis=1, count=self.bits).astype(np.float32) * 2 - 1
-        turned = (queries @ self.rotation.T).astype(np.float32)
-        scale = (length / (np.sqrt(self.bits) * align)).astype(np.float32)
-        estimate = (turned @ signs.T) * scale + (queries @ self.centre)[:, None].astype(np.float32)
+        size = np.linalg.norm(queries, axis=1)[:, None]
+        turned = (queries / size @ self.rotation.T).astype(np.float32)
+        scale = length / (np.sqrt(self.bits) * align)
+        estimate = (turned @ signs.T) * scale * size + (queries @ self.centre)[:, None]
         spread = length * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(self.bits - 1)
-        error = BOUND * np.linalg.norm(queries, axis=1)[:, None] * spread[None, :]
-        return estimate, error.astype(np.float32)
+        return estimate, BOUND * size * spread
 
 
 def _fit(rows: DataFrame, dtype: str) -> Codec | None:
@@ -81,7 +81,7 @@ def _top_of_tile(codec: Codec, queries, rows, top: int):
         if len(ids) > top:
             reach = np.partition(low, len(ids) - top, axis=1)[:, len(ids) - top]
         else:
-            reach = np.full(len(some), -np.inf, np.float32)
+            reach = np.full(len(some), -np.inf)
         for at in range(len(some)):
             chosen = np.flatnonzero((high[at] >= reach[at]) & ~same[at])
             exact = (values[chosen] * some[at]).sum(axis=1)

@@ -67,8 +67,9 @@ def first_map(sizes: dict[int, int], shards: int) -> list[int]:
 
 
 def rebalanced(chosen: list[int], sizes: dict[int, int], shards: int) -> list[int]:
-    """The map edited for a number of shards: slots leave shards that are dropped or hold more
-    than an equal share, each for the lightest shard, and only if that evens the two out."""
+    """The map edited for a number of shards: slots leave shards that are dropped, or that hold
+    more than a lighter one would with them. New shards, where there are some, are the only
+    ones that take slots from shards that stay."""
     edited = list(chosen)
     load = [0] * shards
     homeless = []
@@ -80,8 +81,9 @@ def rebalanced(chosen: list[int], sizes: dict[int, int], shards: int) -> list[in
     for slot in sorted(homeless, key=lambda s: (-sizes.get(s, 0), s)):
         edited[slot] = min(range(shards), key=lambda shard: (load[shard], shard))
         load[edited[slot]] += sizes.get(slot, 0)
+    takers = sorted(set(range(shards)) - set(chosen)) or range(shards)
     for slot in sorted(sizes, key=lambda s: (-sizes[s], s)):
-        light = min(range(shards), key=lambda shard: (load[shard], shard))
+        light = min(takers, key=lambda shard: (load[shard], shard))
         if load[edited[slot]] - sizes[slot] >= load[light] + sizes[slot]:
             load[edited[slot]] -= sizes[slot]
             edited[slot] = light
