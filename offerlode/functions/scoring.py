@@ -85,11 +85,24 @@ def confidence_units(conf: Column) -> Column:
 
 
 def round_tenth(value: Column) -> Column:
-    """One digit, half-even on the binary value; large values take plain rounding."""
-    unit = 1 << 49
-    tenths = (value * F.lit(float(unit))).cast("bigint") * F.lit(10)
-    return F.when(F.abs(value) < 1000, _half_even(tenths, unit) / F.lit(10.0)).otherwise(
-        F.round(value, 1))
+    """One digit, half-even on the binary value."""
+    return round_digits(value, 1)
+
+
+def round_digits(value: Column, digits: int) -> Column:
+    """Half-even on the exact binary value, of any size.
+
+    The whole part is kept apart, so the fraction is exact in units of 2^-60; the digits are
+    counted in decimals, which hold the product.
+    """
+    unit, scale = 1 << 60, 10 ** digits
+    whole = F.floor(value)
+    part = ((value - whole) * F.lit(float(unit))).cast("bigint").cast("decimal(38,0)") * F.lit(scale)
+    one = F.lit(unit).cast("decimal(38,0)")
+    rest = part % one
+    count = ((part - rest) / one).cast("bigint")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (F.pmod(whole * scale + count, F.lit(2)) == 1))
+    return (whole * scale + count + F.when(up, 1).otherwise(0)) / F.lit(float(scale))
 
 
 def format_short(value: Column) -> Column:

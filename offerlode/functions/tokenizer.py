@@ -156,6 +156,11 @@ class _Recorder(HTMLParser):
     def handle_decl(self, decl):
         self.doctype = True
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is a comment up to the next ``>``; an open one takes the rest."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
 
 def record(html: str) -> dict:
     try:

@@ -144,11 +144,11 @@ def run_metrics(fetches: DataFrame, candidates: DataFrame,
     return both.select(
         "urls_processed", "urls_succeeded", "urls_failed", "total_retries",
         F.when(processed == 0, F.lit(0.0)).otherwise(
-            F.round(F.col("total_retries") / processed, 2)).alias("retry_rate"),
+            S.round_digits(F.col("total_retries") / processed, 2)).alias("retry_rate"),
         "total_candidates_extracted", "total_after_dedup",
         F.when(extracted == 0, F.lit(0.0)).otherwise(
-            F.round((extracted - after) / extracted * 100, 1)).alias("dedup_reduction_pct"),
+            S.round_digits((extracted - after) / extracted * 100, 1)).alias("dedup_reduction_pct"),
         F.when(F.col("retained") == 0, F.lit(0.0)).otherwise(
-            F.round(F.col("retained_hundredths") / F.col("retained") / 100, 3)
+            S.round_digits(F.col("retained_hundredths") / F.col("retained") / 100, 3)
         ).alias("avg_confidence"),
     )

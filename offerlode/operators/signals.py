@@ -15,10 +15,11 @@ from offerlode.functions.text import (
 _CODE_WORDS = ("code", "coupon", "promo", "use", "apply")
 _OTHER_CODE_WORDS = (
     "优惠码", "折扣码", "优惠券", "쿠폰", "할인코드", "프로모", "クーポン", "割引コード",
-    "digo", "cup",
 )
+# Parts of Spanish and Portuguese words that are also written without accents.
+_PLAIN_SIGNS = ("digo", "cup", "env")
 _FOREIGN_SIGNS = (
-    "折", "返利", "满", "买", "무료", "送料無料", "env",
+    "折", "返利", "满", "买", "무료", "送料無料",
 ) + V.ZH_FREE_SHIPPING + _OTHER_CODE_WORDS
 
 
@@ -30,7 +31,7 @@ def may_have_signal(folded: Column) -> Column:
     """Superset of the lines with a strong signal, by substring tests only."""
     return (
         folded.contains("%") | folded.contains("$")
-        | contains_any(folded, _CODE_WORDS + ("free shipping", "bogo", "buy", "save"))
+        | contains_any(folded, _CODE_WORDS + _PLAIN_SIGNS + ("free shipping", "bogo", "buy", "save"))
         | (~is_ascii(folded) & contains_any(folded, _FOREIGN_SIGNS))
     )
 

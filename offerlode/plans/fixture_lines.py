@@ -53,6 +53,10 @@ TEMPLATES = (
     f"concat('BOGO ', p_name, ' expiring soon; promo code ', {_QTY})",
     f"concat('flash sale! ', {_SIZE}, '% off or ', {_DISC}, '% off ', p_brand)",
     f"concat('SALE ', {_SIZE}, '% Off ', upper(p_brand), ' when you spend $', {_QTY})",
+    "concat('Envio gratis en ', p_name)",
+    f"concat('Codigo: PLAIN', {_QTY}, ' en ', p_name)",
+    f"concat('cupom: DESC', {_QTY}, ' na loja')",
+    f"concat('cupon AHORRO', {_QTY}, ' hoy')",
 )
 
 _CASES = "\n".join(

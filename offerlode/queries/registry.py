@@ -23,7 +23,7 @@ from offerlode.plans.pages import (
 )
 from offerlode.queries import inputs as I
 from offerlode.queries import sql as Q
-from offerlode.session import stored
+from offerlode.session import shared
 from offerlode.sinks import render
 from offerlode.sources.pages import page_error, page_records
 from offerlode.sources.tables import offer_lines, spread, table
@@ -207,13 +207,14 @@ _PARTLY_EMPTY = """case page_id % 10 when 0 then '  ' when 1 then
 
 @query("html_empty_pages", f"""select page_id, case when page_id % 8 in (2) then '{V.URL_BAD_SCHEME}'
   when page_id % 8 = 3 then '{V.URL_EMPTY}' when page_id % 8 = 4 then '{V.URL_NO_DOMAIN}'
-  when page_id % 10 = 0 then '{V.EMPTY_PAGE_PREFIX}' || ({I.TYPED_URL}) || '.' end as error
+  when page_id % 10 = 0 then '{V.EMPTY_PAGE_PREFIX}' || case when page_id % 8 = 1 then 'https://' else '' end
+    || trim({I.TYPED_URL}) || '.' end as error
 from pages""")
 def html_empty_pages(spark, folder):
     pages = I.pages(spark, folder, html=_PARTLY_EMPTY, url=I.TYPED_URL)
     kept = dom.with_kept(dom.tokenize(pages))
     return kept.select("page_id", page_error(
-        F.col("url"), F.col("root_dropped"), F.col("html")).alias("error"))
+        F.col("url"), F.col("root_dropped"), F.col("html"), F.col("error")).alias("error"))
 
 
 # --- lines ------------------------------------------------------------------------
@@ -516,7 +517,7 @@ def dedup_canonical(spark, folder):
 
 @query("rank_filter", f"{Q.OFFERS} select page_id, rank, {_SQL_FIELDS} from ranked")
 def rank_filter(spark, folder):
-    return with_rank(stored(fixture_offers(spark, folder), "offers")).select("page_id", "rank", *_FIELDS)
+    return with_rank(shared(fixture_offers(spark, folder))).select("page_id", "rank", *_FIELDS)
 
 
 @query("rank_capped", f"{Q.OFFERS} select page_id, offer, confidence from ranked where rank <= 25")
@@ -560,7 +561,7 @@ select s.page_id, candidate_count, overall_confidence, cast(coalesce(chunk, 0) a
   cast(coalesce(n, 0) as bigint) as listed, coalesce(offers, '') as offers
 from summaries s left join chunks c on s.page_id = c.page_id""")
 def page_report(spark, folder):
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     reports = report.page_reports(_summaries(spark, folder, offers), offers)
     return reports.select(
         "page_id", "candidate_count", "overall_confidence", "chunk",
@@ -578,7 +579,7 @@ def fallback_gate(spark, folder):
     pages = I.supplier_pages(spark, folder).select("page_id", F.concat(
         F.lit(" Offers of "), "title", F.lit("\npage "), F.col("page_id").cast("string"),
         F.lit("\n")).alias("cleaned_text"))
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     return report.fallback_prompts(report.page_summaries(pages, offers), threshold=GATE)
 
 
@@ -591,7 +592,7 @@ _ENRICHED = f"""{Q.REPORTS}, enriched as (select s.*,
 @query("fallback_enrich", f"""{_ENRICHED} select page_id, candidate_count, overall_confidence,
   fallback_response_text is not null as used_llm_fallback, fallback_response_text, fallback_error from enriched""")
 def fallback_enrich(spark, folder):
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     return report.with_fallback_results(
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
 
@@ -604,10 +605,10 @@ totals as (select (select count(*) from (select distinct page_id, {Q.text_key()}
   (select count(*) from deduped) as after_dedup,
   (select sum(cast(round(confidence * 100) as bigint)) from kept) as hundredths, (select count(*) from kept) as retained)
 select urls_processed, urls_succeeded, urls_failed, total_retries,
-  round(total_retries / urls_processed, 2) as retry_rate,
+  cast(printf('%.2f', total_retries / urls_processed) as double) as retry_rate,
   extracted as total_candidates_extracted, after_dedup as total_after_dedup,
-  round((extracted - after_dedup) / extracted * 100, 1) as dedup_reduction_pct,
-  round(cast(hundredths as double) / retained / 100, 3) as avg_confidence from fetched, totals""")
+  cast(printf('%.1f', (extracted - after_dedup) / extracted * 100) as double) as dedup_reduction_pct,
+  cast(printf('%.3f', cast(hundredths as double) / retained / 100) as double) as avg_confidence from fetched, totals""")
 def run_metrics(spark, folder):
     fetches = I.supplier_pages(spark, folder).select(
         (1 + F.col("page_id") % 3).alias("attempts"),
@@ -635,9 +636,10 @@ summary as (select f.row_number, f.requested_url, case when error is null then '
 
 
 def _batch_summary(spark, folder):
-    pages = I.deal_pages(spark, folder)
-    offers = stored(
-        rank_and_filter(deduplicate(generic_candidates(cleaned_pages(pages)))), "offers")
+    # Pages with bad URLs are never fetched, so none of them is tokenised.
+    pages = I.deal_pages(spark, folder).where(U.url_error(F.expr(I.TYPED_URL)).isNull())
+    offers = shared(
+        rank_and_filter(deduplicate(generic_candidates(cleaned_pages(pages)))))
     requested = F.expr(I.TYPED_URL)
     urls = I.pages(spark, folder).select(
         (F.col("page_id") + 2).alias("row_number"), requested.alias("requested_url"),
@@ -690,7 +692,7 @@ union all select page_id, candidate_count + 1, case when fallback_response_text
   then 'LLM_FALLBACK_OUTPUT' || chr(10) || fallback_response_text else 'LLM_FALLBACK_ERROR' || chr(10) || fallback_error end
 from enriched where fallback_response_text is not null or fallback_error is not null""")
 def render_text(spark, folder):
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     enriched = report.with_fallback_results(
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
     return render.text_report(enriched, offers)
@@ -720,7 +722,7 @@ union all select r.page_id, rank, '    {{' || chr(10) || {_JSON_BODY} || chr(10)
 union all select page_id, candidate_count + 1, case when candidate_count > 0 then '  ]' else '  "candidates": []' end
   || chr(10) || '}}' from summaries""")
 def render_json(spark, folder):
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     return render.json_report(_summaries(spark, folder, offers), offers)
 
 
@@ -735,7 +737,7 @@ def parse_lines(spark, folder):
   length(s_name) as text_size, overall_confidence as heuristic_confidence, candidate_count as candidates
 from summaries join supplier on page_id = s_suppkey""")
 def run_summary(spark, folder):
-    offers = stored(fixture_offers(spark, folder), "offers")
+    offers = shared(fixture_offers(spark, folder))
     summaries = report.page_summaries(I.supplier_pages(spark, folder), offers)
     return summaries.select(
         "page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)")).alias("title"),

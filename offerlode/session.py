@@ -1,8 +1,6 @@
 """Session settings for tests, benches and stand-alone runs."""
 
-import tempfile
-from uuid import uuid4
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,18 +21,10 @@ def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> Spar
     return session
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="offerlode-")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` kept for the branches of a plan that all read it.
 
-    For results that several branches of a plan use: the work before them runs once, the
-    lineage ends here, and the files outlive lost executors.
+    Lazy, in memory and on the executors' disks; the lineage stays, so what a lost executor
+    held is computed again.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/{label}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

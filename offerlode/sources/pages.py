@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlode.functions import values as V
 from offerlode.functions.text import page_title
-from offerlode.functions.urls import url_error
+from offerlode.functions.urls import normalized_url, url_error
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def page_records(pages: DataFrame) -> DataFrame:
           for name in ("status_code", "elapsed_ms")])
 
 
-def page_error(url: Column, root_dropped: Column, html: Column) -> Column:
-    """Why a page gives no report: a bad URL, or nothing left to serialise."""
+def page_error(url: Column, root_dropped: Column, html: Column,
+               parse_error: Column | None = None) -> Column:
+    """Why a page gives no report: a bad URL, nothing left to serialise, or no parse."""
     empty = (F.coalesce(F.btrim(html), F.lit("")) == "") | root_dropped
     return F.coalesce(
         url_error(url),
-        F.when(empty, F.concat(F.lit(V.EMPTY_PAGE_PREFIX), url, F.lit("."))))
+        F.when(empty, F.concat(F.lit(V.EMPTY_PAGE_PREFIX), normalized_url(url), F.lit("."))),
+        F.lit(None) if parse_error is None else parse_error)
 
 
 def decode_body(body: Column, encoding: Column) -> Column:

@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from offerlode.session import checkpoint_folder
-
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
@@ -22,17 +20,15 @@ def page_stream(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA,
 
 
 def start_intake(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str,
-                 checkpoint: str | None = None) -> StreamingQuery:
+                 checkpoint: str) -> StreamingQuery:
     """Append the plan's result for each micro-batch under ``path``.
 
     Every batch writes its own folder and overwrites it when replayed, so a restart after
-    a failure leaves each page once.
+    a failure leaves each page once. ``checkpoint`` is a shared folder of this stream alone;
+    it has to outlive the stream, or batches would be numbered from 0 again.
     """
-    spark = stream.sparkSession
-    folder = checkpoint or f"{checkpoint_folder(spark)}/intake"
-
     def write(batch: DataFrame, number: int) -> None:
         plan(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", folder)
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
