@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import types as T
 
+from offerlode.functions import values as V
+
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -28,9 +30,6 @@ IMPLIED_END = {
 }
 P_BOUNDARY = ("div", "td", "th", "li", "section", "article", "table", "body", "button")
 
-# Deeper elements join their ancestor at this depth, so paths stay short on broken pages.
-MAX_DEPTH = 256
-
 OPEN, TEXT, CLOSE, LINK = 0, 1, 2, 3
 
 ATTRIBUTES = {
@@ -40,6 +39,11 @@ ATTRIBUTES = {
     "content": "content",
 }
 
+# What a rule on an element may look at besides its tag.
+RULE_ATTRIBUTES = frozenset(
+    "hidden aria-hidden style role id class aria-label data-testid".split())
+RULE_TAGS = frozenset((*V.REMOVED_TAGS, *V.STRUCTURAL_TAGS, "head", "title"))
+
 _ELEMENT = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("anc", T.ArrayType(T.IntegerType())),
@@ -71,7 +75,8 @@ class _Recorder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements, self.events, self.stack = [], [], []
         self.line, self.doctype = 0, False
-        self.unopened = Counter()
+        self.open_tags = Counter()
+        self.marked, self.wrappers = [], []
         self.line_starts = [0, *(found.end() for found in re.finditer("\n", html))]
         self.feed(html)
         self.close()
@@ -88,6 +93,10 @@ class _Recorder(HTMLParser):
     def _end(self, stop: int) -> None:
         index = self.stack.pop()
         element = self.elements[index]
+        self.open_tags[element["tag"]] -= 1
+        for kept in (self.marked, self.wrappers):
+            if kept and kept[-1] == index:
+                kept.pop()
         if element["tag"] == "a" and element["_href"]:
             self._event(LINK, index, f"]({element['_href']})")
         if element["tag"] in BLOCK:
@@ -99,6 +108,8 @@ class _Recorder(HTMLParser):
         kinds, bounds = IMPLIED_END.get(tag, ((), ()))
         if tag in BLOCK and not kinds:
             kinds, bounds = ("p",), P_BOUNDARY
+        if not any(self.open_tags[kind] for kind in kinds):
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             open_tag = self.elements[self.stack[depth]]["tag"]
             if open_tag in kinds:
@@ -118,7 +129,7 @@ class _Recorder(HTMLParser):
         source = self.get_starttag_text() or ""
         self.elements.append({
             "tag": tag,
-            "anc": [*self.stack, index],
+            "anc": self._ancestors(index),
             "attrs": list(values),
             **{field: values.get(name) for name, field in ATTRIBUTES.items()},
             "first": len(self.events), "last": len(self.events) + 1,
@@ -129,20 +140,29 @@ class _Recorder(HTMLParser):
             self._event(LINK, index, "[")
         if tag in VOID:
             return
-        if len(self.stack) < MAX_DEPTH:
-            self.stack.append(index)
-        else:
-            self.unopened[tag] += 1
+        self.stack.append(index)
+        self.open_tags[tag] += 1
+        if tag in RULE_TAGS or RULE_ATTRIBUTES & values.keys():
+            self.marked.append(index)
+        if tag in V.EMPTY_WRAPPER_TAGS:
+            self.wrappers.append(index)
+
+    def _ancestors(self, index: int) -> list[int]:
+        """The element and those around it that decide about it.
+
+        Plain elements are dropped by no rule and are left out, at any depth. Of wrappers the
+        nearest is enough: if one further out is empty, it is empty too.
+        """
+        nearest = self.wrappers[-1:]
+        if nearest and nearest[0] in self.marked:
+            nearest = []
+        return [*self.marked, *nearest, index]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.unopened[tag]:
-            self.unopened[tag] -= 1
-            return
-        open_tags = [self.elements[index]["tag"] for index in self.stack]
-        if tag in open_tags:
+        if self.open_tags[tag]:
             at = self._offset()
             while True:
                 ended = self.elements[self.stack[-1]]["tag"]

@@ -115,12 +115,12 @@ def test_routing(spark, pages):
 
 
 def test_very_deep_page_keeps_its_text():
-    from offerlode.functions.tokenizer import MAX_DEPTH, TEXT, record
+    from offerlode.functions.tokenizer import TEXT, record
 
     depth = 20_000
     page = record("<div>" * depth + "deep" + "</div>" * depth + "<p>after\n<b>x")
     assert page["error"] is None
     assert [e["text"] for e in page["events"] if e["kind"] == TEXT] == ["deep", "after\n", "x"]
-    assert max(len(e["anc"]) for e in page["elements"]) <= MAX_DEPTH + 1
+    assert max(len(e["anc"]) for e in page["elements"]) <= 2
     last = page["elements"][-1]
-    assert last["tag"] == "b" and len(last["anc"]) == 2
+    assert last["tag"] == "b" and len(last["anc"]) == 1
