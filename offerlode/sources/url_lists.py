@@ -63,10 +63,14 @@ def url_list(df: DataFrame, url_column: str | None = None, header: bool = True,
 
     With a header the first data row is number 2.  Without one (``header=False``, columns
     in file order) the first cell of the first row that looks like a URL names the column
-    and the first row is number 1.  ``row_number`` names an existing number column.
+    and the first row is number 1.  A table read with a header that has none is recognised
+    by a column name that is a URL itself: that name is the first row then, number 1.
+    ``row_number`` names an existing number column.
     """
-    start = 2
+    start, taken = 2, None
     name = find_url_column(df, url_column) if header or url_column else None
+    if name is None and header:
+        name = taken = _url_in_header(df)
     if name is None:
         first = df.limit(1).select(*[
             looks_like_url(F.col(column).cast("string")).alias(column)
@@ -76,8 +80,22 @@ def url_list(df: DataFrame, url_column: str | None = None, header: bool = True,
             raise UrlListError(
                 "Could not detect a URL column. Name it explicitly.")
         name, start = hits[0], 1
-    numbered = df if row_number else number_rows(df.select(name), start)
-    url = strip_space(F.col(name).cast("string"))
-    return numbered.select(
+    numbered = df if row_number else number_rows(df.select(F.col(f"`{name}`").alias("url")), start)
+    url = strip_space((F.col(f"`{name}`") if row_number else F.col("url")).cast("string"))
+    rows = numbered.select(
         F.col(row_number or "row_number").cast("bigint").alias("row_number"),
         url.alias("url")).where(F.col("url") != "")
+    if taken is None or row_number:
+        return rows
+    own = df.sparkSession.range(1).select(
+        F.lit(1).cast("bigint").alias("row_number"), strip_space(F.lit(taken)).alias("url"))
+    return own.union(rows)
+
+
+def _url_in_header(df: DataFrame) -> str | None:
+    """The first column name that is plainly a URL, with scheme, path or ``www.``; schema only."""
+    flags = df.sparkSession.range(1).select(*[
+        looks_like_url(F.lit(name)).alias(f"h{i}") for i, name in enumerate(df.columns)
+    ]).first()
+    return next((name for name, flag in zip(df.columns, flags) 
+                 if flag and "." in name and ("/" in name or name.lower().startswith("www."))), None)

@@ -9,6 +9,7 @@ from offerlode.functions import scoring as S
 from offerlode.functions.tokenizer import record
 from offerlode.operators.signals import capture_steps, may_have_signal, with_folded
 from offerlode.sources.pages import page_error
+from offerlode.sources.url_lists import url_list
 
 PLAIN = ["Envio gratis en pedidos", "codigo: AHORRO20 en zapatos", "cupom: DESC20 na loja", "cupon AHORRO20 hoy"]
 SEEDS = PLAIN + [
@@ -80,3 +81,9 @@ def test_deep_elements_keep_their_ancestors(depth):
     assert [event["text"] for event in inside if event["kind"] == 1] == ["yes", "yes"]
     assert hidden not in elements["p"]["anc"] and coupon not in elements["p"]["anc"]
     assert sum(len(element["anc"]) for element in page["elements"]) < 4 * len(page["elements"])
+
+
+def test_headerless_list_keeps_its_first_row(spark):
+    frame = spark.createDataFrame([("x", "b.example.com"), ("y", None)], ["n", "https://a.example.com/1"])
+    got = sorted((row.row_number, row.url) for row in url_list(frame).collect())
+    assert got == [(1, "https://a.example.com/1"), (2, "b.example.com")]
