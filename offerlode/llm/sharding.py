@@ -18,17 +18,15 @@ HOT_SHARE = 64
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of every row.
+    """(doc_id, size, text_crc32, text_key) of every row.
 
     size is the text's UTF-8 bytes plus 1; a null text has none, and the crc of the empty text.
-    At most HOT_SHARE texts can pass either share, so the table of those is broadcast.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"),
     )
-    return slim
 
 
 def hot_texts(slim: DataFrame) -> DataFrame:
@@ -41,7 +39,10 @@ def hot_texts(slim: DataFrame) -> DataFrame:
 
 
 def with_slots(slim: DataFrame) -> DataFrame:
-    """Adds vslot: by text, and for hot texts by text and doc_id."""
+    """Adds vslot: by text, and for hot texts by text and doc_id.
+
+    At most HOT_SHARE texts can pass either share, so the table of those is broadcast.
+    """
     by_text = F.pmod(F.xxhash64("text_key"), F.lit(SLOTS))
     by_row = F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(SLOTS))
     marked = slim.join(F.broadcast(hot_texts(slim)), F.col("text_key") == F.col("hot_key"), "left")
@@ -125,7 +126,7 @@ def shards(docs: DataFrame, count: int) -> DataFrame:
     rows follow each other. An empty table gives no rows. Only the sizes of the slots, SLOTS
     numbers whatever the input, reach the driver.
     """
-    placed = durable(with_slots(records(docs)), "shard-records")
+    placed = durable(with_slots(durable(records(docs), "shard-records")), "shard-slots")
     sizes = durable(slot_sizes(placed), "slot-sizes")
     known = {row["vslot"]: row["bytes"] for row in sizes.collect()}
     slot_map = map_table(docs.sparkSession, first_map(known, count), 1)
