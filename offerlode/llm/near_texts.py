@@ -211,15 +211,8 @@ def _groups(docs: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
     rooted = bands.join(components(links, "a", "b"), F.col("digest") == F.col("node"), "left").select(
         "fp", "digest", F.coalesce("root", "digest").alias("root")
     )
-    sides = rooted.select(F.col("fp").alias("bucket"), F.lit(0).alias("side"), "digest", "root").union(
-        rooted.select(F.col("fp"), F.lit(1), "digest", "root")
-    ).union(
-        close.join(rooted.withColumnRenamed("fp", "b"), "b").select(F.col("a"), F.lit(1), "digest", "root")
-    )
-    mixed = sides.groupBy("bucket").agg(
-        F.min("root").alias("least"), F.max("root").alias("most"), F.sum("side").alias("texts")
-    ).where("least != most and texts > 2").select(F.col("bucket").alias("mixed"))
-    rest = durable(sides.join(mixed, F.col("bucket") == F.col("mixed"), "left_semi").select("bucket", "side", "digest"), "mixed")
+    rooted = durable(rooted, "rooted-bands")
+    rest = durable(_mixed_buckets(rooted, close), "mixed")
     if rest.isEmpty():
         return components(links, "a", "b")
     needed = rest.select(F.col("digest").alias("node")).distinct()
@@ -228,6 +221,33 @@ def _groups(docs: DataFrame, digest: str, classes: DataFrame) -> DataFrame:
     return components(durable(links.union(found), "all-links"), "a", "b")
 
 
+def _mixed_buckets(rooted: DataFrame, close: DataFrame) -> DataFrame:
+    """(bucket, side, digest): the texts that are still to be compared, first side by second.
+
+    Of two near bands the one with more texts is the bucket, so that its texts are listed once
+    for all the smaller ones around it. Bands that hold one group only, or no more than the two
+    texts compared already, are left out.
+    """
+    bands = rooted.groupBy("fp").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")
+    )
+    a, b = (bands.select(*[F.col(name).alias(f"{name}_{side}") for name in bands.columns]) for side in "ab")
+    larger = F.col("n_a") >= F.col("n_b")
+    pairs = (
+        close.join(a, F.col("a") == F.col("fp_a")).join(b, F.col("b") == F.col("fp_b"))
+        .where("n_a + n_b > 2 and (least_a != most_a or least_b != most_b or least_a != least_b)")
+        .select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("bucket"),
+                F.when(larger, F.col("b")).otherwise(F.col("a")).alias("other"))
+    )
+    alone = bands.where("n > 2 and least != most").select(F.col("fp").alias("bucket"))
+    first = alone.union(pairs.select("bucket")).distinct().join(rooted, F.col("bucket") == F.col("fp"))
+    second = alone.join(rooted, F.col("bucket") == F.col("fp"))
+    near = pairs.join(rooted, F.col("other") == F.col("fp"))
+    return first.select("bucket", F.lit(0).alias("side"), "digest").union(
+        second.select("bucket", F.lit(1), "digest")
+    ).union(near.select("bucket", F.lit(1), "digest"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of equal or similar texts, with all columns of docs.
 
