@@ -98,7 +98,29 @@ select doc_id, count(*) as n_lines, count(s.key) as n_dropped,
 from lines left join shared s on lines.key = s.key group by doc_id
 """
 
+LINKS_SQL = f"""
+with recursive usable as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+  on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {vector_dedup.THRESHOLD}
+), reached as (
+  select vec_id as a, vec_id as b from embeddings
+  union select reached.a, links.b from reached join links on reached.b = links.a
+), least as (
+  select a, min(b) as component_id from reached group by a
+), counted as (
+  select a, count(*) as n from links group by a
+)
+select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join least l on e.vec_id = l.a left join counted c on e.vec_id = c.a
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_vector_dedup": LINKS_SQL,
     "op5_line_dedup": LINES_SQL,
     "op6_chat": chat.PERSPECTIVES_SQL,
 }

@@ -39,7 +39,7 @@ TOKEN_COST = 1.0
 #: Features found in fewer fitted documents keep the weight of their stem.
 LEAST_DOCS = 3
 HISTOGRAM_STEP = 0.1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Holds the logistic curve's parameters where the classes are separable.
 RIDGE = 0.02
 WORD = re.compile(r"\w+")
