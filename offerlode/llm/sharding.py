@@ -31,11 +31,12 @@ def records(docs: DataFrame) -> DataFrame:
 
 def hot_texts(slim: DataFrame) -> DataFrame:
     """(text_key): texts whose copies pass a share of all bytes or rows; 2 * HOT_SHARE at most."""
+    total_bytes, total_rows = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     copies = slim.groupBy("text_key").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    whole = slim.agg(F.sum("size").alias("all_b"), F.count("*").alias("all_n"))
-    return copies.join(
-        F.broadcast(whole), (F.col("b") * HOT_SHARE > F.col("all_b")) | (F.col("n") * HOT_SHARE > F.col("all_n"))
-    ).where("n > 1").select(F.col("text_key").alias("hot_key"))
+    return copies.where(
+        (F.col("n") > 1)
+        & ((F.col("b") * HOT_SHARE > F.lit(total_bytes)) | (F.col("n") * HOT_SHARE > F.lit(total_rows)))
+    ).select(F.col("text_key").alias("hot_key"))
 
 
 def with_slots(slim: DataFrame) -> DataFrame:
