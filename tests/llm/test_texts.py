@@ -503,6 +503,25 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert len(missed) <= 0.05 * len(set(want.values())), missed
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "replaced"])
+def test_near_texts_meet_after_edits_in_one_piece(spark, kind):
+    rnd = random.Random(8)
+    texts = []
+    for group in range(60):
+        base = [f"w{rnd.getrandbits(40):x}" for _ in range(rnd.randint(150, 600))]
+        block = [f"w{rnd.getrandbits(40):x}" for _ in range(len(base))]
+        copy = {
+            "appended": base + block[:int(0.22 * len(base))],
+            "truncated": base[:len(base) - int(0.18 * len(base))],
+            "replaced": base[:40] + block[:int(0.08 * len(base))] + base[40 + int(0.08 * len(base)):],
+        }[kind]
+        texts += [" ".join(base), " ".join(copy)]
+    assert all(0.8 <= similarity(a, b) <= 0.85 for a, b in zip(texts[::2], texts[1::2]))
+    rows = [(i, t, "en", "a", 0, "", "") for i, t in enumerate(texts)]
+    got = near_texts.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, len(texts), 2))
+
+
 def test_tiles_find_what_comparing_all_finds(spark, monkeypatch):
     monkeypatch.setattr(near_texts, "TILE_ROWS", 3)
     rnd = random.Random(7)
