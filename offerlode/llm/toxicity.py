@@ -7,13 +7,18 @@ documents, so a rare or unseen word takes the weight of its stem. The weight is
 the share against that of all documents. A constant is taken off each token; then ordinary text
 drifts downwards and a passage has to earn its length.
 
-Passages: one linear scan finds all maximal segments of positive sum.
-
-Calibration: for text without passages the largest segment sum of n tokens follows an extreme
-value law, P(sum >= x) = 1 - exp(-K n exp(-lambda x)). lambda solves sum p(s) exp(lambda s) = 1
-over the token scores of clean documents, K follows from the number of their segments. A
-document's evidence is the sum, over its segments, of lambda x - ln(K n) where that is
-positive; a logistic curve fitted on documents that the counts have not seen maps it to 0..1.
+Passages: one linear scan finds all maximal segments of positive sum, repeats of a word
+included. Within a segment a word speaks once: its repeats are no new evidence there, and the
+segments of positive sum that are left in it tell whether it is a passage.
+
+Calibration: for text without passages the largest segment sum of n distinct tokens follows an
+extreme value law, P(sum >= x) = 1 - exp(-K n exp(-lambda x)). lambda solves
+sum p(s) exp(lambda s) = 1 over the token scores of clean documents, K follows from the number of
+their segments. A passage's evidence is the sum, over the segments left in it, of
+lambda x - ln(K n) where that is positive. A document's evidence is that of its passages,
+strongest first, each by the share of its words' weight that those before it don't hold, so a
+repeated text is worth as much as one copy; a logistic curve fitted on documents that the counts
+have not seen maps it to 0..1.
 """
 
 from __future__ import annotations
@@ -89,16 +94,20 @@ class TokenScores(dict):
         self[token] = score
         return score
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Scores of a text's tokens. A word speaks once: its repeats are no new evidence."""
+    def of(self, text: str | None) -> tuple[list[str], np.ndarray]:
+        """A text's tokens and their scores."""
         tokens = (text or "").split()
-        scores = np.array([self[token] for token in tokens], dtype=np.float64)
-        seen: set[str] = set()
-        for at in np.flatnonzero(scores > 0).tolist():
-            if tokens[at] in seen:
-                scores[at] = -TOKEN_COST
-            seen.add(tokens[at])
-        return scores
+        return tokens, np.array([self[token] for token in tokens], dtype=np.float64)
+
+
+def once(tokens: list[str], scores: np.ndarray) -> np.ndarray:
+    """Scores in which repeats of a word of positive score cost as much as any token."""
+    scores, seen = scores.copy(), set()
+    for at in np.flatnonzero(scores > 0).tolist():
+        if tokens[at] in seen:
+            scores[at] = -TOKEN_COST
+        seen.add(tokens[at])
+    return scores
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -130,13 +139,28 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(start, end, top - bottom) for start, end, bottom, top, _ in stack]
 
 
-def passages(scores: np.ndarray, model: Model) -> list[tuple[int, int, float]]:
+def passages(tokens: list[str], scores: np.ndarray, model: Model) -> list[tuple[int, int, float]]:
     """Significant segments: (first token, token after the last, evidence)."""
     if not len(scores):
         return []
-    noise = math.log(model.scale * len(scores))
-    found = ((a, b, model.rate * total - noise) for a, b, total in segments(scores))
-    return [(a, b, evidence) for a, b, evidence in found if evidence > 0]
+    noise = math.log(model.scale * len(set(tokens)))
+    found = []
+    for a, b, total in segments(scores):
+        if model.rate * total > noise:
+            held = segments(once(tokens[a:b], scores[a:b]))
+            found.append((a, b, sum(max(0.0, model.rate * x - noise) for _, _, x in held)))
+    return [passage for passage in found if passage[2] > 0]
+
+
+def document_evidence(tokens: list[str], scores: np.ndarray, found: list[tuple[int, int, float]]) -> float:
+    """The passages' evidence, each by the share of its words' weight that is new."""
+    total, seen = 0.0, set()
+    for a, b, evidence in sorted(found, key=lambda passage: (-passage[2], passage[0])):
+        weight = {tokens[at]: float(scores[at]) for at in range(a, b) if scores[at] > 0}
+        new = [weight[token] for token in weight if token not in seen]
+        total += evidence if len(new) == len(weight) else evidence * sum(new) / sum(weight.values())
+        seen |= weight.keys()
+    return total
 
 
 def probability(evidence: float, model: Model) -> float:
@@ -237,11 +261,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in small(batches):
             out = {"toxic": [], "n": [], "sums": [], "bins": [], "times": []}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = tokens.of(text)
-                bins, times = np.unique(np.round(scores / HISTOGRAM_STEP).astype(int), return_counts=True)
+                words, scores = tokens.of(text)
+                bins, times = np.unique(
+                    np.round(once(words, scores) / HISTOGRAM_STEP).astype(int), return_counts=True
+                )
                 out["toxic"].append(toxic)
-                out["n"].append(len(scores))
-                out["sums"].append([total for _, _, total in segments(scores)])
+                out["n"].append(len(set(words)))
+                out["sums"].append([
+                    x for a, b, _ in segments(scores) for _, _, x in segments(once(words[a:b], scores[a:b]))
+                ])
                 out["bins"].append(bins.tolist())
                 out["times"].append(times.tolist())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
@@ -265,10 +293,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         floor = float(np.median(sums)) if len(sums) else 0.0
         model.scale = max((sums >= floor).sum(), 1) / total * math.exp(model.rate * floor)
     if documents:
-        evidence = np.array([
-            sum(max(0.0, model.rate * s - math.log(model.scale * n)) for s in sums) for _, n, sums in documents
-        ])
-        model.slope, model.offset = _logistic(evidence, np.array([float(toxic) for toxic, _, _ in documents]))
+        calibrated = rows.sparkSession.sparkContext.broadcast(model)
+
+        def weigh(batches):
+            tokens = TokenScores(calibrated.value)
+            for batch in small(batches):
+                read = [tokens.of(text) for text in batch.column(0).to_pylist()]
+                evidence = [document_evidence(*one, passages(*one, calibrated.value)) for one in read]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), pa.array(evidence, pa.float64())], ["toxic", "evidence"]
+                )
+
+        weighed = rows.where("part = 0").select("text", "toxic").mapInArrow(
+            weigh, "toxic int, evidence double"
+        ).collect()
+        toxic, evidence = (np.array([float(row[at]) for row in weighed]) for at in (0, 1))
+        model.slope, model.offset = _logistic(evidence, toxic)
     for used in (rows, scanned):
         forget(used)
     return model
@@ -298,8 +338,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], only_clean: bool = Fal
         fitted = shared.value
         tokens = TokenScores(fitted)
         for batch in small(batches):
-            found = [passages(tokens.of(text), fitted) for text in batch.column(0).to_pylist()]
-            chance = [probability(sum(e for _, _, e in spans), fitted) for spans in found]
+            found, chance = [], []
+            for text in batch.column(0).to_pylist():
+                words, scores = tokens.of(text)
+                found.append(passages(words, scores, fitted))
+                chance.append(probability(document_evidence(words, scores, found[-1]), fitted))
             batch = batch.select(range(1, batch.num_columns))
             if only_clean:
                 yield batch.filter(pa.array([p < 0.5 for p in chance]))

@@ -233,6 +233,27 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, no_labels), ["doc_id"]).count() == 0
 
 
+def test_repeats_hide_no_passage():
+    model = toxicity.Model({"vile": (0, 90), "scum": (0, 90), "the": (90, 10)}, 0.1, rate=1.5, scale=0.3, slope=2.0, offset=-2.0)
+    tokens = toxicity.TokenScores(model)
+
+    def found(text):
+        read = tokens.of(text)
+        spans = toxicity.passages(*read, model)
+        return [span[:2] for span in spans], toxicity.document_evidence(*read, spans)
+
+    fill = " ".join(f"the{i}" for i in range(100))
+    spans, twice = found(f"vile scum {fill} vile scum")
+    assert spans == [(0, 2), (102, 104)]
+    assert twice == pytest.approx(found(f"vile scum {fill}")[1])
+    # Words that stand far apart before the passage take nothing from it.
+    far = " ".join(f"the{i}" for i in range(3000))
+    assert (6002, 6004) in found(f"vile {far} scum {far} vile scum")[0]
+    _, one = found("vile scum")
+    _, many = found("vile scum " * 500)
+    assert many == pytest.approx(one) and toxicity.probability(many, model) >= 0.5
+
+
 def test_stem_gives_unseen_words_their_weight():
     model = toxicity.Model({"vequ*": (0, 90), "veq*": (0, 90), "the": (90, 10)}, 0.1)
     assert toxicity.word_score("vequxyz", model) > 3
