@@ -3,8 +3,11 @@
 A page is read once into blocks of text, each with its path of tags from the root. For each
 path, text length, punctuation and link text are added up over its blocks; length and
 punctuation per block, smoothed over neighbouring blocks and fused into one ratio, tell prose
-from furniture. The subtree that holds the prose is the article; parts of it that are marked as
-furniture by tag, role or class, and lists of nothing but links, are left out.
+from furniture. Blocks whose ratio reaches a share of the mean are chosen. Article and main
+elements with chosen blocks are taken whole, if they hold most of the chosen text; else the
+subtree that holds most of it, the chosen blocks outside, and short blocks between chosen ones.
+Parts that are marked as furniture by tag, role or class, and lists of nothing but links, are
+left out.
 """
 
 from __future__ import annotations
@@ -65,6 +68,8 @@ SMOOTH = 1
 PROSE = 0.25
 #: Share of the prose that the article's subtree holds.
 HELD = 0.8
+#: Share of the prose that article and main elements hold where they are the content.
+NAMED = 0.5
 
 
 @dataclass
@@ -212,45 +217,57 @@ def blocks_of(page: str) -> list[Block]:
     return reader.blocks
 
 
-def path_ratios(blocks: list[Block]) -> list[float]:
-    """The fused ratio of each block's tag path, smoothed over neighbours in page order."""
+def path_ratios(blocks: list[Block]) -> tuple[list[float], list[float]]:
+    """The fused ratio of each block's tag path, and the same smoothed over neighbours in page order."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for block in blocks:
         chars[block.tags] += max(len(block.text) - block.linked, 0)
         marks[block.tags] += len(PUNCTUATION.findall(block.text))
         count[block.tags] += 1
     raw = [chars[b.tags] / count[b.tags] * (1 + marks[b.tags] / count[b.tags]) for b in blocks]
-    return [
+    return raw, [
         sum(raw[max(0, at - SMOOTH):at + SMOOTH + 1]) / len(raw[max(0, at - SMOOTH):at + SMOOTH + 1])
         for at in range(len(raw))
     ]
 
 
 def article_blocks(blocks: list[Block]) -> list[str]:
-    """Texts of the blocks in the subtree that holds the prose, without furniture."""
+    """Texts of the blocks that the path ratios choose, and of what stands with them."""
     blocks = [block for block in blocks if not block.furniture]
     if not blocks:
         return []
-    ratios = path_ratios(blocks)
+    raw, ratios = path_ratios(blocks)
     chars = [max(len(block.text) - block.linked, 0) for block in blocks]
-    mean = sum(r * n for r, n in zip(ratios, chars)) / max(sum(chars), 1)
-    prose = [n if ratio >= PROSE * mean else 0 for ratio, n in zip(ratios, chars)]
+    least = PROSE * sum(r * n for r, n in zip(ratios, chars)) / max(sum(chars), 1)
+    prose = [n if ratio >= least else 0 for ratio, n in zip(ratios, chars)]
+    named = {
+        next(number for number, tag in zip(block.path, block.tags) if tag in ("article", "main"))
+        for block, n in zip(blocks, prose) if n and ("article" in block.tags or "main" in block.tags)
+    }
+    in_named = [not named.isdisjoint(block.path) for block in blocks]
+    if named and sum(n for n, held in zip(prose, in_named) if held) >= NAMED * sum(prose):
+        return [block.text for block, held in zip(blocks, in_named) if held and not _link_list(block)]
     weight: dict[int, int] = defaultdict(int)
     tag_of, depth_of = {}, {}
     for block, n in zip(blocks, prose):
         for depth, (number, tag) in enumerate(zip(block.path, block.tags)):
             weight[number] += n
             tag_of[number], depth_of[number] = tag, depth
-    named = [number for number in weight if tag_of[number] in ("article", "main")]
     most = max(weight.values())
-    if named and max(weight[number] for number in named) > 0:
-        root = max(named, key=lambda number: (weight[number], depth_of[number], -number))
-    else:
-        # Below the article there are only its own blocks; the container above them is meant.
-        enough = [n for n in weight if weight[n] >= HELD * most and tag_of[n] not in ("p", "li", "td", "pre", "blockquote")]
-        root = max((n for n in enough if tag_of[n] in BLOCK or not n), key=lambda n: (depth_of[n], -n))
-    inside = [(block, ratio) for block, ratio in zip(blocks, ratios) if root in block.path]
-    return [block.text for block, ratio in inside if not _link_list(block)]
+    # Below the article there are only its own blocks; the container above them is meant.
+    enough = [n for n in weight if weight[n] >= HELD * most and tag_of[n] not in ("p", "li", "td", "pre", "blockquote")]
+    root = max((n for n in enough if tag_of[n] in BLOCK or not n), key=lambda n: (depth_of[n], -n))
+    # Outside the subtree a block is chosen by its own path, not by its neighbours' as well.
+    chosen = [n > 0 and (root in b.path or own >= least) for b, n, own in zip(blocks, prose, raw)]
+    first, last = (order.index(True) if any(chosen) else 0 for order in (chosen, chosen[::-1]))
+    last = len(blocks) - 1 - last
+    parents = {block.path[-2:-1] for block, held in zip(blocks, chosen) if held}
+    return [
+        block.text for at, block in enumerate(blocks)
+        if not _link_list(block) and (
+            chosen[at] or in_named[at] or root in block.path or first < at < last and block.path[-2:-1] in parents
+        )
+    ]
 
 
 def _link_list(block: Block) -> bool:

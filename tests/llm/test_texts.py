@@ -427,6 +427,18 @@ def test_html_keeps_the_article_only():
     ])
 
 
+PROSE = "A sentence that goes on, with commas, for a while, and then it ends. " * 4
+
+
+def test_html_ratios_choose_the_blocks():
+    two = f"<body><article><h1>One</h1><p>{PROSE}</p></article><article><p>Second: {PROSE}</p></article></body>"
+    assert html_text.main_text(two).split("\n") == ["One", PROSE.strip(), f"Second: {PROSE}".strip()]
+    main = f"<body><main><h1>Title</h1><article><p>{PROSE}</p></article></main></body>"
+    assert html_text.main_text(main).split("\n") == ["Title", PROSE.strip()]
+    lead = f"<body><div><p>Lead: {PROSE}</p></div><div>{f'<p>{PROSE}</p>' * 9}</div><div>Home</div></body>"
+    assert html_text.main_text(lead).split("\n") == [f"Lead: {PROSE}".strip()] + [PROSE.strip()] * 9
+
+
 def test_html_of_odd_pages(spark):
     pages = [
         (1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain text", "x"), (4, "u", "<p>a<p>b", "x"), (5, "u", "<", "x"),
