@@ -6,8 +6,8 @@ punctuation per block, smoothed over neighbouring blocks and fused into one rati
 from furniture. Blocks whose ratio reaches a share of the mean are chosen. Article and main
 elements with chosen blocks are taken whole, if they hold most of the chosen text; else the
 subtree that holds most of it, the chosen blocks outside, and short blocks between chosen ones.
-Parts that are marked as furniture by tag, role or class, and lists of nothing but links, are
-left out.
+Parts that are marked as furniture by tag, role or style, or by class where the ratios agree, and lists of nothing but
+links outside the article, are left out.
 """
 
 from __future__ import annotations
@@ -53,6 +53,11 @@ DROP_WORDS = frozenset(
     "social related recommended recommendations comment comments commentlist respond disqus replies pagination pager "
     "toolbar skip search masthead copyright disclaimer paywall".split()
 )
+#: Of these, words that tell of content and not of layout: no article inside makes it the page's own.
+OTHER_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense adbox adslot sponsor sponsored promo promos promotion related "
+    "recommended recommendations comment comments commentlist respond disqus replies".split()
+)
 HEADER_WORDS = frozenset("header head topbar".split())
 ARTICLE_WORDS = frozenset("article post entry story content main page body".split())
 
@@ -70,6 +75,10 @@ PROSE = 0.25
 HELD = 0.8
 #: Share of the prose that article and main elements hold where they are the content.
 NAMED = 0.5
+#: Share of the prose that keeps an element with a furniture word.
+MOST = 0.5
+#: What an element's tag, role, style, class and id say of it.
+CONTENT, LAYOUT, OTHER, FURNITURE = range(4)
 
 
 @dataclass
@@ -79,6 +88,7 @@ class Block:
     text: str
     linked: int
     furniture: bool
+    marked: tuple[tuple[int, int], ...]
 
 
 @dataclass
@@ -88,6 +98,7 @@ class Node:
     drop: bool
     link: bool
     article: bool
+    marked: tuple[tuple[int, int], ...] = ()
 
 
 @dataclass
@@ -112,7 +123,7 @@ class Reader:
             if text:
                 self.blocks.append(Block(
                     tuple(node.number for node in self.stack), tuple(node.tag for node in self.stack),
-                    text, self.linked, self.stack[-1].drop,
+                    text, self.linked, self.stack[-1].drop, self.stack[-1].marked,
                 ))
             self.parts, self.linked = [], 0
 
@@ -132,8 +143,11 @@ class Reader:
         self.elements += 1
         above = self.stack[-1]
         article = above.article or tag in ("article", "main")
-        drop = above.drop or furniture(tag, attributes, above.article)
-        self.stack.append(Node(tag, self.elements, drop, above.link or tag == "a", article))
+        kind = furniture(tag, attributes, above.article)
+        marked = above.marked + ((self.elements, kind),) if kind in (LAYOUT, OTHER) else above.marked
+        self.stack.append(Node(
+            tag, self.elements, above.drop or kind == FURNITURE, above.link or tag == "a", article, marked
+        ))
 
     def close_nearest(self, tags: tuple[str, ...]) -> None:
         """End open elements of these tags, up to the nearest that holds blocks of its own."""
@@ -161,32 +175,32 @@ class Reader:
                 return
 
 
-def furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is furniture by its tag, role, style or the words of class and id."""
+def furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """FURNITURE by tag, role or style, LAYOUT or OTHER by the words of class and id, else CONTENT."""
     if tag in DROP_TAGS:
-        return True
+        return FURNITURE
     if tag == "header" and not in_article:
-        return True
+        return FURNITURE
     if not attributes:
-        return False
+        return CONTENT
     words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" and value.lower() != "until-found":
-            return True
+            return FURNITURE
         if name == "aria-hidden" and value.lower() == "true":
-            return True
+            return FURNITURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return FURNITURE
         if name == "role" and value.lower() in DROP_ROLES and not (in_article and value.lower() == "banner"):
-            return True
+            return FURNITURE
         if name in ("class", "id"):
             words |= {word.lower() for word in WORDS.findall(value)}
     if tag in ("html", "body", "main", "article") and not words & {"comment", "ad", "advert", "related", "promo"}:
-        return False
+        return CONTENT
     if words & DROP_WORDS:
-        return True
-    return bool(words & HEADER_WORDS) and not in_article and not words & ARTICLE_WORDS
+        return OTHER if words & OTHER_WORDS else LAYOUT
+    return LAYOUT if words & HEADER_WORDS and not in_article and not words & ARTICLE_WORDS else CONTENT
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -231,22 +245,58 @@ def path_ratios(blocks: list[Block]) -> tuple[list[float], list[float]]:
     ]
 
 
+def _prose(blocks: list[Block]) -> tuple[list[float], list[int], float]:
+    """Each block's own ratio, its characters if the smoothed ratio chooses it, and the least ratio."""
+    raw, ratios = path_ratios(blocks)
+    chars = [max(len(block.text) - block.linked, 0) for block in blocks]
+    least = PROSE * sum(r * n for r, n in zip(ratios, chars)) / max(sum(chars), 1)
+    return raw, [n if ratio >= least else 0 for ratio, n in zip(ratios, chars)], least
+
+
+def _unmarked(blocks: list[Block]) -> list[Block]:
+    """Blocks in no element whose furniture word the path ratios bear out.
+
+    An element that holds most of the prose is no furniture, nor is one with an article or main
+    element inside if its word tells of layout. Comments, advertising and the like are furniture
+    beside an article or main element, whatever they hold.
+    """
+    if not any(block.marked for block in blocks):
+        return blocks
+    _, prose, _ = _prose(blocks)
+    held: dict[int, int] = defaultdict(int)
+    articles: set[int] = set()
+    apart = False
+    for block, n in zip(blocks, prose):
+        inside = "article" in block.tags or "main" in block.tags
+        apart |= bool(n) and inside and all(kind != OTHER for _, kind in block.marked)
+        for number, _ in block.marked:
+            held[number] += n
+            if n and inside and any(
+                tag in ("article", "main") for tag in block.tags[block.path.index(number):]
+            ):
+                articles.add(number)
+
+    def content(number: int, kind: int) -> bool:
+        if kind == LAYOUT and number in articles:
+            return True
+        return held[number] > 0 and held[number] >= MOST * sum(prose) and not (kind == OTHER and apart)
+
+    return [block for block in blocks if all(content(*mark) for mark in block.marked)]
+
+
 def article_blocks(blocks: list[Block]) -> list[str]:
     """Texts of the blocks that the path ratios choose, and of what stands with them."""
-    blocks = [block for block in blocks if not block.furniture]
+    blocks = _unmarked([block for block in blocks if not block.furniture])
     if not blocks:
         return []
-    raw, ratios = path_ratios(blocks)
-    chars = [max(len(block.text) - block.linked, 0) for block in blocks]
-    least = PROSE * sum(r * n for r, n in zip(ratios, chars)) / max(sum(chars), 1)
-    prose = [n if ratio >= least else 0 for ratio, n in zip(ratios, chars)]
+    raw, prose, least = _prose(blocks)
     named = {
         next(number for number, tag in zip(block.path, block.tags) if tag in ("article", "main"))
         for block, n in zip(blocks, prose) if n and ("article" in block.tags or "main" in block.tags)
     }
     in_named = [not named.isdisjoint(block.path) for block in blocks]
     if named and sum(n for n, held in zip(prose, in_named) if held) >= NAMED * sum(prose):
-        return [block.text for block, held in zip(blocks, in_named) if held and not _link_list(block)]
+        return [block.text for block, held in zip(blocks, in_named) if held]
     weight: dict[int, int] = defaultdict(int)
     tag_of, depth_of = {}, {}
     for block, n in zip(blocks, prose):
@@ -261,10 +311,11 @@ def article_blocks(blocks: list[Block]) -> list[str]:
     chosen = [n > 0 and (root in b.path or own >= least) for b, n, own in zip(blocks, prose, raw)]
     first, last = (order.index(True) if any(chosen) else 0 for order in (chosen, chosen[::-1]))
     last = len(blocks) - 1 - last
+    whole = tag_of[root] not in ("", "html", "body")
     parents = {block.path[-2:-1] for block, held in zip(blocks, chosen) if held}
     return [
         block.text for at, block in enumerate(blocks)
-        if not _link_list(block) and (
+        if (not _link_list(block) or whole and root in block.path or first < at < last) and (
             chosen[at] or in_named[at] or root in block.path or first < at < last and block.path[-2:-1] in parents
         )
     ]

@@ -439,6 +439,15 @@ def test_html_ratios_choose_the_blocks():
     assert html_text.main_text(lead).split("\n") == [f"Lead: {PROSE}".strip()] + [PROSE.strip()] * 9
 
 
+def test_html_class_words_drop_no_article():
+    for name in ("content has-sidebar", "with-nav", "page-header-banner", "share-layout"):
+        page = f"<body><div class='{name}'><article><p>{PROSE}</p></article></div><div class=comments><p>{PROSE}</p></div></body>"
+        assert html_text.main_text(page) == PROSE.strip()
+        assert html_text.main_text(f"<body><div class='{name}'><p>{PROSE}</p></div></body>") == PROSE.strip()
+    sources = f"<article><p>{PROSE}</p><ul><li><a href=x>Source one</a></ul></article>"
+    assert html_text.main_text(f"<body><ul><li><a>Home</a></ul>{sources}</body>").split("\n") == [PROSE.strip(), "Source one"]
+
+
 def test_html_of_odd_pages(spark):
     pages = [
         (1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain text", "x"), (4, "u", "<p>a<p>b", "x"), (5, "u", "<", "x"),
