@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlode.llm import (
-    ann, bpe, chat, html_text, line_dedup, mixing, sharding, simhash, toxicity, vector_dedup,
+    ann, bpe, chat, conversation_trie, html_text, line_dedup, mixing, packing, periodic, sharding, simhash, toxicity, vector_dedup,
 )
 from offerlode.llm.common import durable, table
 
@@ -70,6 +70,18 @@ def op10_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.linked_vectors(table(spark, folder, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_sharding": op9_sharding,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_packing": op12_packing,
+    "op13_periodic": op13_periodic,
 }
 
 LINES_SQL = r"""
