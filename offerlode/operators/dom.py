@@ -1,11 +1,9 @@
 """HTML cleaning, text and container selection over tokenised pages.
 
-A page is one row: elements and events are arrays of it, so every rule here is
+A page is one row: what survives cleaning is in arrays of it, so every rule here is
 row-local and nothing is shuffled until candidates exist.
 """
 
-from functools import reduce
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from offerlode.functions import tokenizer
 from offerlode.functions import values as V
-from offerlode.functions.regex import SPACE, contains_any
-from offerlode.functions.text import bound, computed_once, with_store_from_page
+from offerlode.functions.regex import SPACE
+from offerlode.functions.text import bound, with_store_from_page
 from offerlode.functions.tokenizer import (
     CLOSE, LINK, OPEN, TEXT, TOKEN_FIELDS, tokenize_batches,
 )
@@ -26,89 +24,26 @@ cloudpickle.register_pickle_by_value(tokenizer)
 
 
 def tokenize(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Columns of ``pages`` plus ``elements``, ``events``, ``has_doctype``, ``error``."""
+    """Columns of ``pages`` plus the kept parts of each page, its flags and ``error``."""
     kept = [field for field in pages.schema.fields if field.name != "error"]
     schema = T.StructType(kept + TOKEN_FIELDS)
     arrow = to_arrow_schema(schema)
-    return pages.mapInArrow(tokenize_batches(html, arrow), schema)
-
-
-# --- cleaning rules, each a predicate on one element ------------------------------
-
-def is_removed_tag(element: Column) -> Column:
-    return element["tag"].isin(*V.REMOVED_TAGS)
-
-
-def is_structural_tag(element: Column) -> Column:
-    return element["tag"].isin(*V.STRUCTURAL_TAGS)
-
-
-def is_hidden(element: Column) -> Column:
-    style = F.lower(F.replace(element["style"], F.lit(" "), F.lit("")))
-    return F.coalesce(
-        F.array_contains(element["attrs"], "hidden")
-        | (F.lower(element["aria_hidden"]) == "true")
-        | contains_any(style, V.HIDDEN_STYLES),
-        F.lit(False))
-
-
-def is_noise(element: Column) -> Column:
-    role = F.lower(F.btrim(element["role"]))
-    # Values stay apart, so that no keyword spans two of them; class names are words.
-    values = F.lower(F.concat_ws(
-        "\u0001", element["id"], F.regexp_replace(element["cls"], SPACE + "+", "\u0001"),
-        element["aria_label"], element["testid"]))
-    return F.coalesce(role.isin(*V.NOISE_ROLES), F.lit(False)) | contains_any(
-        values, V.NOISE_ATTRIBUTE_WORDS)
-
-
-def is_dropped(element: Column) -> Column:
-    return reduce(lambda a, b: a | b, [
-        F.coalesce(rule(element), F.lit(False))
-        for rule in (is_removed_tag, is_structural_tag, is_hidden, is_noise)])
-
+    return pages.select(*[field.name for field in kept]).mapInArrow(
+        tokenize_batches(html, arrow), schema)
 
-def with_kept(tokens: DataFrame) -> DataFrame:
-    """``gone[i]``: element i or an ancestor of it is dropped; ``has_body``: body survives."""
-    c = F.col
-    marked = computed_once(tokens, _drop=F.transform("elements", is_dropped))
-    marked = computed_once(marked, _gone=F.transform(
-        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(c("_drop"), i))))
 
-    def any_dropped(tag: str, flags: str) -> Column:
-        return F.exists(
-            F.zip_with("elements", c(flags), lambda e, gone: (e["tag"] == tag) & gone),
-            lambda dropped: dropped)
-
-    marked = computed_once(
-        marked, has_body=~any_dropped("body", "_gone"),
-        root_dropped=any_dropped("html", "_drop") & ~c("has_doctype"))
-    # Elements of the head are not part of a surviving body.
-    in_head = lambda e: F.exists(e["anc"], lambda i: F.get(
-        c("elements"), i)["tag"].isin("head", "title"))
-    return computed_once(marked, gone=F.transform(
-        "elements", lambda e, i: F.get(c("_gone"), i) | (c("has_body") & in_head(e)))
-    ).drop("_drop", "_gone")
-
-
-def _kept_event(event: Column) -> Column:
-    return (event["element"] < 0) | ~F.coalesce(
-        F.get(F.col("gone"), event["element"]), F.lit(False))
-
-
-def kept_events(*kinds: int) -> Column:
-    return F.filter(
-        "events", lambda event: event["kind"].isin(*kinds) & _kept_event(event))
+def events_of(*kinds: int) -> Column:
+    return F.filter("events", lambda event: event["kind"].isin(*kinds))
 
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def text_nodes(kept: DataFrame, *columns: str) -> DataFrame:
+def text_nodes(tokens: DataFrame, *columns: str) -> DataFrame:
     """One row per non-blank text node of the cleaned page."""
-    exploded = kept.select(
-        *columns, F.posexplode(kept_events(TEXT)).alias("node_idx", "node"))
+    exploded = tokens.select(
+        *columns, F.posexplode(events_of(TEXT)).alias("node_idx", "node"))
     return exploded.select(
         *columns, "node_idx", F.col("node.element").alias("element"),
         F.col("node.line").alias("block"), _strip(F.col("node.text")).alias("text")
@@ -117,8 +52,7 @@ def text_nodes(kept: DataFrame, *columns: str) -> DataFrame:
 
 def cleaned_text() -> Column:
     """Markdown-like text: one line per block, links as ``[text](target)``."""
-    parts = F.filter(
-        kept_events(TEXT, LINK), lambda event: event["text"] != "")
+    parts = F.filter(events_of(TEXT, LINK), lambda event: event["text"] != "")
     joined = bound(parts, lambda all_parts: F.transform(
         all_parts, lambda part, i: F.concat(
             F.when((i > 0) & (part["line"] != F.get(all_parts, i - 1)["line"]), "\n")
@@ -130,44 +64,26 @@ def cleaned_text() -> Column:
 
 def cleaned_html() -> Column:
     """Body of the cleaned page without empty wrappers; blank or rootless pages give ''."""
-    def is_content(event: Column) -> Column:
-        tag = F.get(F.col("elements"), event["element"])["tag"]
-        return _kept_event(event) & (
-            ((event["kind"] == TEXT) & (_strip(event["text"]) != ""))
-            | ((event["kind"] == OPEN) & tag.isin(*V.NON_EMPTY_MARKERS)))
-
-    empty = F.transform("elements", lambda e: e["tag"].isin(*V.EMPTY_WRAPPER_TAGS) & ~F.exists(
-        F.slice(F.col("events"), e["first"] + 1, e["last"] - e["first"]), is_content))
-    inside_empty = bound(empty, lambda flags: F.transform(
-        "elements", lambda e: F.exists(e["anc"], lambda i: F.get(flags, i))))
-    kept = bound(inside_empty, lambda flags: F.filter(
-        kept_events(OPEN, TEXT, CLOSE), lambda event: ~F.coalesce(
-            F.get(flags, event["element"]) | (F.col("has_body") & (
-                F.get(F.col("elements"), event["element"])["tag"] == "html")),
-            F.lit(False))))
+    kept = F.filter(events_of(OPEN, TEXT, CLOSE), lambda event: ~event["blank"] & ~F.coalesce(
+        F.col("has_body") & (F.get(F.col("elements"), event["element"])["tag"] == "html"),
+        F.lit(False)))
     body = F.array_join(F.transform(kept, lambda event: event["text"]), "")
     return F.when(F.col("root_dropped"), F.lit("")).otherwise(_strip(body))
 
 
 def first_text(tag: str) -> Column:
-    """Text of the first kept element of ``tag``, pieces joined by blanks."""
-    found = F.get(F.filter(
-        F.transform("elements", lambda e, i: F.struct(
-            e.alias("e"), F.get(F.col("gone"), i).alias("gone"))),
-        lambda z: (z["e"]["tag"] == tag) & ~z["gone"]), F.lit(0))["e"]
-    return _joined(found["first"], found["last"])
-
+    """Text of the first element of ``tag``, pieces joined by blanks."""
+    found = F.get(F.filter("elements", lambda e: e["tag"] == tag), F.lit(0))
+    return joined_text(found["first"], found["last"])
 
-def _pieces(first: Column, last: Column) -> Column:
-    inside = F.filter(
-        F.slice(F.col("events"), first + 1, last - first),
-        lambda event: (event["kind"] == TEXT) & _kept_event(event))
-    return F.filter(F.transform(inside, lambda event: _strip(event["text"])),
-                    lambda text: text != "")
 
-
-def _joined(first: Column, last: Column) -> Column:
-    return F.array_join(_pieces(first, last), " ")
+def joined_text(first: Column, last: Column) -> Column:
+    """Non-blank text between two events, pieces joined by blanks."""
+    inside = F.filter(F.slice(F.col("events"), first + 1, last - first),
+                      lambda event: event["kind"] == TEXT)
+    pieces = F.filter(F.transform(inside, lambda event: _strip(event["text"])),
+                      lambda text: text != "")
+    return F.array_join(pieces, " ")
 
 
 def site_name() -> Column:
@@ -176,60 +92,48 @@ def site_name() -> Column:
     return F.when(~F.col("has_body"), F.get(found, F.lit(0))["content"])
 
 
-def with_page_store(kept: DataFrame, url: str = "url") -> DataFrame:
+def with_page_store(tokens: DataFrame, url: str = "url") -> DataFrame:
     """``store`` of the page: headings of what is left after cleaning, else the URL."""
     named = with_store_from_page(
-        kept.withColumns({"_h1": first_text("h1"), "_title": first_text("title"),
-                          "_site": site_name()}),
+        tokens.withColumns({"_h1": first_text("h1"), "_title": first_text("title"),
+                            "_site": site_name()}),
         "store", "_h1", "_title", "_site").drop("_h1", "_title", "_site")
     return named.withColumn("store", F.coalesce("store", store_from_url(F.col(url))))
 
 
 # --- containers -------------------------------------------------------------------
 
-def selector_matches(element: Column) -> Column:
-    """Numbers of the container selectors an element satisfies."""
-    by_class = [
-        F.when(element["cls"].contains(word), F.lit(number))
-        for number, word in enumerate(V.CONTAINER_CLASS_WORDS)]
-    by_data = [
-        F.when(F.array_contains(element["attrs"], name), F.lit(number))
-        for number, name in enumerate(
-            V.CONTAINER_DATA_ATTRIBUTES, len(V.CONTAINER_CLASS_WORDS))]
-    return F.array_compact(F.array(*by_class, *by_data))
-
-
-def _container_structs(html: str | None) -> Column:
-    found = F.filter(
-        F.transform("elements", lambda e, i: F.struct(
-            i.alias("container"), selector_matches(e).alias("selectors"),
-            F.get(F.col("gone"), i).alias("gone"),
-            e["first"].alias("first"), e["last"].alias("last"),
-            e["start"].alias("start"), e["stop"].alias("stop"))),
-        lambda c: ~c["gone"] & (F.size(c["selectors"]) > 0))
-    snippet = lambda c: F.lit("") if html is None else F.substring(
-        F.col(html), c["start"] + 1,
-        F.least(c["stop"] - c["start"], F.lit(V.SNIPPET_CHARS)))
-    return F.transform(found, lambda c: F.struct(
-        c["container"].alias("container"), c["selectors"].alias("selectors"),
-        _pieces(c["first"], c["last"]).alias("strings"), snippet(c).alias("raw_html")))
-
-
 def container_line_array(html: str | None = None) -> Column:
-    """The whole text of each container, then each of its strings, in reading order.
+    """The whole text of each container, then each string in its best container.
 
-    Elements are (ord_hi, line_no, line, raw_html), once per selector that matches.
+    Elements are (ord_hi, line_no, line, raw_html), ord_hi being the container's selector
+    and place.  Every string is listed once: of nested containers the one with the first
+    selector, then the outermost, has it.
     """
-    def lines(c: Column) -> Column:
-        texts = F.concat(F.array(F.array_join(c["strings"], " ")), c["strings"])
-        return F.flatten(F.transform(c["selectors"], lambda selector: F.transform(
-            texts, lambda text, n: F.struct(
-                (F.shiftleft(selector.cast("bigint"), 32) + c["container"]).alias("ord_hi"),
-                n.alias("line_no"), text.alias("line"), c["raw_html"].alias("raw_html")))))
+    def snippet(c: Column) -> Column:
+        return F.lit("") if html is None else F.substring(
+            F.col(html), c["start"] + 1,
+            F.least(c["stop"] - c["start"], F.lit(V.SNIPPET_CHARS)))
+
+    def row(c: Column, line_no: Column, line: Column) -> Column:
+        return F.struct(c["rank"].alias("ord_hi"), line_no.alias("line_no"),
+                        line.alias("line"), c["raw_html"].alias("raw_html"))
+
+    cut = F.transform("containers", lambda c: F.struct(
+        c["rank"].alias("rank"), c["first"].alias("first"), c["last"].alias("last"),
+        snippet(c).alias("raw_html")))
+    inside = F.filter("strings", lambda s: s["container"] >= 0)
+
+    def whole(c: Column) -> Column:
+        texts = F.slice(F.col("strings"), c["first"] + 1, c["last"] - c["first"])
+        return row(c, F.lit(0), F.array_join(F.transform(texts, lambda s: s["text"]), " "))
 
-    return F.flatten(F.transform(_container_structs(html), lines))
+    return bound(cut, lambda found: F.concat(
+        F.transform(found, whole),
+        F.transform(inside, lambda s: row(
+            F.get(found, s["container"]), s["line_no"], s["text"]))))
 
 
-def container_lines(kept: DataFrame, *columns: str, html: str | None = None) -> DataFrame:
-    return kept.select(*columns, F.explode(container_line_array(html)).alias("l")).select(
+def container_lines(tokens: DataFrame, *columns: str, html: str | None = None) -> DataFrame:
+    return tokens.select(*columns, F.explode(container_line_array(html)).alias("l")).select(
         *columns, "l.*")

@@ -11,31 +11,29 @@ from offerlode.functions.text import (
 )
 from offerlode.functions.tokenizer import OPEN
 from offerlode.operators.dedup import deduplicate
-from offerlode.operators.dom import _joined, _kept_event, first_text
+from offerlode.operators.dom import first_text, joined_text
 from offerlode.operators.signals import CANDIDATE_FIELDS, with_score
 
 
 def _inside(first: Column, last: Column, tag: str) -> Column:
-    """Kept elements of ``tag`` below an element, in document order."""
+    """Elements of ``tag`` below an element, in document order."""
     opened = F.filter(
         F.slice(F.col("events"), first + 2, last - first - 1),
-        lambda event: (event["kind"] == OPEN) & _kept_event(event))
+        lambda event: event["kind"] == OPEN)
     elements = F.transform(opened, lambda event: F.get(F.col("elements"), event["element"]))
     return F.filter(elements, lambda element: element["tag"] == tag)
 
 
 def _texts(elements: Column) -> Column:
-    joined = F.transform(elements, lambda e: _joined(e["first"], e["last"]))
+    joined = F.transform(elements, lambda e: joined_text(e["first"], e["last"]))
     return F.filter(F.transform(joined, normalize_plain), lambda text: text != "")
 
 
 def offer_strips(kept: DataFrame, html: str = "html") -> DataFrame:
     """One row per offer strip: title, badges, metadata, call-to-action text, raw data."""
     strips = F.filter(
-        F.transform("elements", lambda e, i: F.struct(
-            e.alias("e"), i.alias("number"), F.get(F.col("gone"), i).alias("gone"))),
-        lambda s: ~s["gone"] & (s["e"]["tag"] == "a")
-        & (s["e"]["component"] == "offer_strip"))
+        F.transform("elements", lambda e, i: F.struct(e.alias("e"), i.alias("number"))),
+        lambda s: (s["e"]["tag"] == "a") & (s["e"]["component"] == "offer_strip"))
     rows = kept.select("*", store_from_site_heading(first_text("h1")).alias("_store")).select(
         "*", F.explode(strips).alias("s"))
     first, last = F.col("s.e.first"), F.col("s.e.last")
@@ -44,10 +42,10 @@ def offer_strips(kept: DataFrame, html: str = "html") -> DataFrame:
         "page_id", F.coalesce("_store", F.lit(V.UNKNOWN_STORE)).alias("store"),
         F.col("s.number").cast("bigint").alias("ord_hi"),
         F.col("s.e.x_data").alias("x_data"),
-        F.when(title.isNotNull(), _joined(title["first"], title["last"])).alias("title"),
+        F.when(title.isNotNull(), joined_text(title["first"], title["last"])).alias("title"),
         _texts(_inside(first, last, "span")).alias("badges"),
         _texts(_inside(first, last, "div")).alias("metadata"),
-        _joined(first, last).alias("all_text"),
+        joined_text(first, last).alias("all_text"),
         F.substring(F.col(html), F.col("s.e.start") + 1,
                     F.col("s.e.stop") - F.col("s.e.start")).alias("raw_html"))
 

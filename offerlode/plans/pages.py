@@ -55,8 +55,8 @@ def text_candidates(pages: DataFrame) -> DataFrame:
 
 
 def cleaned_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Tokenised pages with their cleaning flags; blank pages never reach Python."""
-    return dom.with_kept(dom.tokenize(pages.where(F.btrim(html) != ""), html))
+    """Tokenised pages; blank pages never reach Python."""
+    return dom.tokenize(pages.where(F.btrim(html) != ""), html)
 
 
 def default_routes() -> Routes:

@@ -104,3 +104,15 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("case when page_id % 4 = 0 then concat(title, ' | 5% off | NO_CODE | none') "
                "end").alias("response_text"),
         F.expr("case when page_id % 4 = 1 then 'quota exceeded' end").alias("response_error"))
+
+
+# The fetch log of the derived pages: a visitor's errors are retries of the page with that
+# number, and the last event tells how it ended.
+FETCH_SQL = """select s_suppkey as page_id, 1 + count(case when event_type = 'error' then 1 end) as attempts,
+  case when {last}(event_type, event_id) = 'error' then 'timeout' end as error
+from supplier left join events on user_id = s_suppkey group by s_suppkey"""
+
+
+def fetch_log(spark: SparkSession, folder: str) -> DataFrame:
+    sql = FETCH_SQL.format(last="max_by").replace("from supplier left join events", "from {supplier} left join {events}")
+    return spark.sql(sql, supplier=table(spark, folder, "supplier"), events=table(spark, folder, "events"))

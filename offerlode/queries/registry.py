@@ -212,7 +212,7 @@ _PARTLY_EMPTY = """case page_id % 10 when 0 then '  ' when 1 then
 from pages""")
 def html_empty_pages(spark, folder):
     pages = I.pages(spark, folder, html=_PARTLY_EMPTY, url=I.TYPED_URL)
-    kept = dom.with_kept(dom.tokenize(pages))
+    kept = dom.tokenize(pages)
     return kept.select("page_id", page_error(
         F.col("url"), F.col("root_dropped"), F.col("html"), F.col("error")).alias("error"))
 
@@ -597,10 +597,10 @@ def fallback_enrich(spark, folder):
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
 
 
-@query("run_metrics", f"""{Q.CANDIDATES.replace('from offers group by', 'from offers where page_id % 10 <> 0 group by')}, {Q.deduplicated()},
-log as (select 1 + s_suppkey % 3 as attempts, s_suppkey % 10 = 0 as failed from supplier),
-fetched as (select count(*) as urls_processed, count(*) filter (not failed) as urls_succeeded,
-  count(*) filter (failed) as urls_failed, cast(sum(attempts - 1) as bigint) as total_retries from log),
+@query("run_metrics", f"""{Q.CANDIDATES}, {Q.deduplicated()},
+log as ({I.FETCH_SQL.format(last='arg_max')}),
+fetched as (select count(*) as urls_processed, count(*) filter (error is null) as urls_succeeded,
+  count(*) filter (error is not null) as urls_failed, cast(sum(attempts - 1) as bigint) as total_retries from log),
 totals as (select (select count(*) from (select distinct page_id, {Q.text_key()} from cand)) as extracted,
   (select count(*) from deduped) as after_dedup,
   (select sum(cast(round(confidence * 100) as bigint)) from kept) as hundredths, (select count(*) from kept) as retained)
@@ -610,11 +610,7 @@ select urls_processed, urls_succeeded, urls_failed, total_retries,
   cast(printf('%.1f', (extracted - after_dedup) / extracted * 100) as double) as dedup_reduction_pct,
   cast(printf('%.3f', cast(hundredths as double) / retained / 100) as double) as avg_confidence from fetched, totals""")
 def run_metrics(spark, folder):
-    fetches = I.supplier_pages(spark, folder).select(
-        (1 + F.col("page_id") % 3).alias("attempts"),
-        F.expr("case when page_id % 10 = 0 then 'timeout' end").alias("error"))
-    fetched = fixture_candidates(spark, folder).where(F.col("page_id") % 10 != 0)
-    return report.run_metrics(fetches, fetched)
+    return report.run_metrics(I.fetch_log(spark, folder), fixture_candidates(spark, folder))
 
 
 _BATCH_SQL = f"""{_PAGE_CAND}, {Q.deduplicated()},
