@@ -10,6 +10,7 @@ cuts one when the counter is at least a quantum, and what is not spent stays for
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -18,10 +19,11 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from offerlode.llm.common import durable, same, small
 from offerlode.llm.running import before
@@ -33,36 +35,70 @@ QUANTUM = 256
 #: Windows of a span, which one task fills.
 SPAN_WINDOWS = 64
 CLOSING_ID = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Words new to the cache that are encoded in one call.
 CALL_WORDS = 4000
 #: Python's split takes these for blanks, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+WORD_END = "</w>"
+#: Words with a character beyond Latin letters and signs, or the start of a special token.
+UNPLAIN = re.compile("[^\x21-\u024f]|<\\|")
 
 
 class Coder:
-    """Ids of texts, word by word: the tokenizer never joins what blanks separate."""
+    """Ids of texts, word by word: the tokenizer never joins what blanks separate.
+
+    A new word is cut into the tokenizer's own pieces here where that is plain (lower case of
+    Latin letters, its own pattern), and pieces that are new are encoded many at a time without
+    its normaliser. Other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str | None):
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer = Tokenizer.from_file(path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            self.pattern = _piece_pattern(json.load(file))
+        if self.pattern:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[rank for token, rank in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _cut(self, word: str) -> list[str] | None:
+        if not self.pattern or UNPLAIN.search(word):
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        # One sign or digit behind letters is a piece of its own.
+        return [low[:-1], low[-1]] if low[:-1].isalpha() else self.pattern.findall(low)
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, self.type)
-        starts = np.fromiter((start for start, _ in found.offsets), np.int64, len(ids))
-        ends = np.cumsum([len(word) + 1 for word in words])
-        cuts = [0, *np.searchsorted(starts, ends).tolist()]
-        self.known.update(
-            (word, ids[first:last].tobytes()) for word, first, last in zip(words, cuts[:-1], cuts[1:])
-        )
+        cut = [(word, self._cut(word)) for word in words]
+        new = list({piece for _, pieces in cut if pieces for piece in pieces}.difference(self.pieces))
+        if new:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.type)
+            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            self.pieces.update((piece, ids[first:last].tobytes()) for piece, first, last in zip(new, cuts[:-1], cuts[1:], strict=True))
+        for word, pieces in cut:
+            if pieces is None:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                self.known[word] = np.array(ids, self.type).tobytes()
+            else:
+                self.known[word] = b"".join([self.pieces[piece] for piece in pieces])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of this vocabulary's width."""
         split = [text.split(" ") if SEPARATORS.search(text) else text.split() for text in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        for cache in (self.known, self.pieces):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
         new = list(set(chain.from_iterable(split)).difference(self.known))
         for first in range(0, len(new), CALL_WORDS):
             self._learn(new[first:first + CALL_WORDS])
@@ -70,6 +106,17 @@ class Coder:
         return [b"".join([known[word] for word in words]) for words in split]
 
 
+def _piece_pattern(model: dict) -> regex.Pattern | None:
+    """The pattern of pieces, if the tokenizer lower-cases and cuts the way Coder does."""
+    cuts = (model["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [step["type"] for step in (model["normalizer"] or {}).get("normalizers", [])]
+    if kinds != ["NFC", "Replace", "Lowercase"] or [cut["type"] for cut in cuts] != ["Split", "ByteLevel"]:
+        return None
+    if model["model"].get("end_of_word_suffix") != WORD_END or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"]:
+        return None
+    return regex.compile(cuts[0]["pattern"]["Regex"])
+
+
 @lru_cache(maxsize=2)
 def coder(path: str | None) -> Coder:
     """One coder for each Python worker and vocabulary."""
