@@ -47,25 +47,24 @@ _ENTITY_TOKENS = (
 )
 
 
-# Marks around names in the entity table; neither occurs in a name or a value.
-_NAME, _VALUE = "\u0001", "\u0002"
-
-
 @lru_cache(maxsize=1)
-def _entity_table() -> str:
-    return "".join(f"{_NAME}{name}{_VALUE}{value}" for name, value in html5.items()) + _NAME
+def _entity_json() -> str:
+    """Values of the named entities by first letter, then by name."""
+    table: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        table.setdefault(name[0], {})[name] = value
+    return json.dumps(table)
 
 
-def _named_entity(name: Column) -> Column:
-    """Value of an entity name, null for an unknown one.
+def _first_named(candidates: Column) -> Column:
+    """Value and rest of the first (name, rest) whose name is known, null for none.
 
-    The table is one string literal: it costs nothing to plan and is searched only for
-    references that are neither numeric nor among the common five.
+    The table is a literal map of maps, so a name is looked for among those of its letter.
     """
-    table = F.lit(_entity_table())
-    marked = F.concat(F.lit(_NAME), name, F.lit(_VALUE))
-    after = F.substring_index(F.split_part(table, marked, F.lit(2)), _NAME, 1)
-    return F.when((name != "") & (after != ""), after)
+    table = F.from_json(F.lit(_entity_json()), "map<string,map<string,string>>")
+    values = F.transform(candidates, lambda c: F.concat(F.try_element_at(
+        F.try_element_at(table, F.left(c["name"], F.lit(1))), c["name"]), c["rest"]))
+    return F.get(F.filter(values, lambda value: value.isNotNull()), F.lit(0))
 
 
 @lru_cache(maxsize=1)
@@ -121,16 +120,14 @@ def _token_parts(token: Column) -> Column:
 
 
 def _decode_parts(part: Column) -> Column:
+    """A reference by its whole name, or by the longest known name it starts with."""
     token = part["token"]
+    whole = F.struct(F.substring(token, 2, 40).alias("name"), F.lit("").alias("rest"))
+    start = F.struct(part["name"].alias("name"), part["rest"].alias("rest"))
     return (
         F.when(~token.startswith("&") | (F.length(token) == 1), token)
         .when(part["numeric"] & (F.length(token) > 2), _code_point(part["number"]))
-        .otherwise(F.coalesce(
-            _named_entity(F.substring(token, 2, 40)),
-            F.when(part["name"] != "",
-                   F.concat(_named_entity(part["name"]), part["rest"])),
-            token,
-        ))
+        .otherwise(F.coalesce(_first_named(F.array(whole, start)), token))
     )
 
 
@@ -376,12 +373,12 @@ def store_from_heading(value: Column) -> Column:
 def with_store_from_page(df: DataFrame, store: str, h1: str, title: str,
                          site_name: str) -> DataFrame:
     """Store from the first heading that names one, null when none does."""
-    found = []
-    for position, source in enumerate((h1, title, site_name)):
-        name = f"_heading{position}"
-        df = normalize_generic(df.withColumn(name, F.col(source)), name)
-        found.append(store_from_heading(F.col(name)))
-    return df.withColumn(store, F.coalesce(*found)).drop("_heading0", "_heading1", "_heading2")
+    names = F.transform(F.array(h1, title, site_name), lambda heading: bound(
+        decode_entities(heading), lambda decoded: bound(
+            visible(decoded), lambda seen: strip(collapse(seen), V.STRIP_GENERIC))))
+    found = F.transform(names, store_from_heading)
+    return df.withColumn(
+        store, F.get(F.filter(found, lambda name: name.isNotNull()), F.lit(0)))
 
 
 def store_from_site_heading(h1: Column) -> Column:

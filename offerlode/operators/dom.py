@@ -92,13 +92,13 @@ def site_name() -> Column:
     return F.when(~F.col("has_body"), F.get(found, F.lit(0))["content"])
 
 
-def with_page_store(tokens: DataFrame, url: str = "url") -> DataFrame:
-    """``store`` of the page: headings of what is left after cleaning, else the URL."""
+def with_page_store(tokens: DataFrame, url: str = "url", store: str = "store") -> DataFrame:
+    """Adds the page's store: headings of what is left after cleaning, else the URL."""
     named = with_store_from_page(
         tokens.withColumns({"_h1": first_text("h1"), "_title": first_text("title"),
                             "_site": site_name()}),
-        "store", "_h1", "_title", "_site").drop("_h1", "_title", "_site")
-    return named.withColumn("store", F.coalesce("store", store_from_url(F.col(url))))
+        store, "_h1", "_title", "_site").drop("_h1", "_title", "_site")
+    return named.withColumn(store, F.coalesce(store, store_from_url(F.col(url))))
 
 
 # --- containers -------------------------------------------------------------------

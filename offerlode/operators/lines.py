@@ -52,15 +52,17 @@ def _wanted() -> Column:
         & ~is_noise_line(F.col("offer"), F.col("low"), F.col("fold")))
 
 
-def offer_lines(parts: DataFrame) -> DataFrame:
+def offer_lines(parts: DataFrame, always: Column | None = None) -> DataFrame:
     """Parts that may be offers: right length, maybe a signal, not noise; cheap tests first.
 
-    Returns the columns of ``parts`` with ``part`` replaced by ``offer`` and ``fold``.
+    Returns the columns of ``parts`` with ``part`` replaced by ``offer`` and ``fold``.  Rows
+    for which ``always`` holds stay whatever their text.
     """
     keep = tuple(name for name in parts.columns if name != "part")
     ready = with_folded(clean_lines(
         parts.select("*", F.col("part").alias("offer")), "offer", only_if_left=True))
-    return keep_rows(ready, _wanted(), keep, ("offer", "fold"))
+    wanted = _wanted() if always is None else always | _wanted()
+    return keep_rows(ready, wanted, keep, ("offer", "fold"))
 
 
 def first_positions(lines: DataFrame, position: Column, keys: tuple[str, ...]) -> DataFrame:

@@ -12,6 +12,7 @@ from offerlode.functions.text import (
 from offerlode.functions.tokenizer import OPEN
 from offerlode.operators.dedup import deduplicate
 from offerlode.operators.dom import first_text, joined_text
+from offerlode.operators.routing import LineExtractor, line_struct, mark
 from offerlode.operators.signals import CANDIDATE_FIELDS, with_score
 
 
@@ -29,25 +30,25 @@ def _texts(elements: Column) -> Column:
     return F.filter(F.transform(joined, normalize_plain), lambda text: text != "")
 
 
-def offer_strips(kept: DataFrame, html: str = "html") -> DataFrame:
-    """One row per offer strip: title, badges, metadata, call-to-action text, raw data."""
+def strip_lines(tokens: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """One row with notes per offer strip: title, badges, metadata, button text, raw data."""
     strips = F.filter(
         F.transform("elements", lambda e, i: F.struct(e.alias("e"), i.alias("number"))),
         lambda s: (s["e"]["tag"] == "a") & (s["e"]["component"] == "offer_strip"))
-    rows = kept.select("*", store_from_site_heading(first_text("h1")).alias("_store")).select(
-        "*", F.explode(strips).alias("s"))
-    first, last = F.col("s.e.first"), F.col("s.e.last")
-    title = F.get(_inside(first, last, "h3"), F.lit(0))
-    return rows.select(
-        "page_id", F.coalesce("_store", F.lit(V.UNKNOWN_STORE)).alias("store"),
-        F.col("s.number").cast("bigint").alias("ord_hi"),
-        F.col("s.e.x_data").alias("x_data"),
-        F.when(title.isNotNull(), joined_text(title["first"], title["last"])).alias("title"),
-        _texts(_inside(first, last, "span")).alias("badges"),
-        _texts(_inside(first, last, "div")).alias("metadata"),
-        joined_text(first, last).alias("all_text"),
-        F.substring(F.col(html), F.col("s.e.start") + 1,
-                    F.col("s.e.stop") - F.col("s.e.start")).alias("raw_html"))
+
+    def row(s: Column) -> Column:
+        element, first, last = s["e"], s["e"]["first"], s["e"]["last"]
+        titles = F.transform(_inside(first, last, "h3"), lambda e: joined_text(e["first"], e["last"]))
+        notes = F.struct(
+            element["x_data"].alias("x_data"), F.get(titles, F.lit(0)).alias("title"),
+            _texts(_inside(first, last, "span")).alias("badges"),
+            _texts(_inside(first, last, "div")).alias("metadata"),
+            joined_text(first, last).alias("all_text"))
+        html = F.substring(F.col("html"), element["start"] + 1, element["stop"] - element["start"])
+        return line_struct(s["number"], F.lit(0), mark(s["number"]), html, notes=notes)
+
+    store = F.coalesce(store_from_site_heading(first_text("h1")), F.lit(V.UNKNOWN_STORE))
+    return tokens, store, F.transform(strips, row)
 
 
 def offer_type() -> Column:
@@ -93,9 +94,9 @@ def with_site_fields(strips: DataFrame) -> DataFrame:
     })
 
 
-def site_candidates(kept: DataFrame, html: str = "html") -> DataFrame:
+def candidates_of_strips(rows: DataFrame) -> DataFrame:
     """Scored and deduplicated offers of the strips; never sets a coupon code."""
-    strips = offer_strips(kept, html).withColumns({
+    strips = rows.select("page_id", "store", "ord_hi", "raw_html", "notes.*").withColumns({
         "offer": clean_site_offer(F.col("title")), "offer_type": offer_type()})
     wanted = (
         F.col("title").isNotNull() & (F.col("offer") != "")
@@ -122,3 +123,6 @@ def site_candidates(kept: DataFrame, html: str = "html") -> DataFrame:
         scored, F.col("confidence") >= V.SITE_MIN_CONFIDENCE,
         ("page_id", "ord_hi", "ord_lo"), CANDIDATE_FIELDS)
     return deduplicate(good)
+
+
+site_candidates = LineExtractor(strip_lines, candidates_of_strips)

@@ -1,6 +1,6 @@
 """Page plans: HTML in, candidates out, for every registered extractor."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlode.functions import values as V
@@ -9,41 +9,40 @@ from offerlode.functions.urls import store_from_url
 from offerlode.operators import dom
 from offerlode.operators import lines as L
 from offerlode.operators.dedup import distinct_offers, keep_first
-from offerlode.operators.routing import Routes
+from offerlode.operators.routing import LineExtractor, Routes, line_struct
 from offerlode.operators.signals import parse_offers, with_folded
 from offerlode.operators.site_rules import site_candidates
 
-COLUMNS = ("page_id", "store")
-
-
-def page_lines(kept: DataFrame, html: str | None = "html") -> DataFrame:
-    """Container lines, then text lines of cleaned pages that carry ``store``.
+def generic_lines(tokens: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Container lines, then the lines of the cleaned text; store from the page's headings.
 
     Both passes come out of one row of the page, so it is read and tokenised once.
     """
-    text_lines = F.transform(
-        F.split(F.col("_text"), LINE_BREAK), lambda line, n: F.struct(
-            F.lit(L.PASS_TEXT).alias("ord_hi"), n.alias("line_no"), line.alias("line"),
-            F.lit("").alias("raw_html")))
-    both = F.concat(dom.container_line_array(html), text_lines)
-    return kept.withColumn("_text", dom.cleaned_text()).select(
-        *COLUMNS, F.explode(both).alias("l")).select(*COLUMNS, "l.*")
+    named = dom.with_page_store(tokens, store="_page_store")
+    found = F.transform(dom.container_line_array("html"), lambda c: line_struct(
+        c["ord_hi"], c["line_no"], c["line"], c["raw_html"]))
+    text = F.transform(
+        F.split(dom.cleaned_text(), LINE_BREAK), lambda line, n: line_struct(
+            F.lit(L.PASS_TEXT), n, line, F.lit("")))
+    return named, F.col("_page_store"), F.concat(found, text)
+
+
+def candidates_of_rows(firsts: DataFrame) -> DataFrame:
+    """Candidates of distinct gated lines (page_id, store, ord_hi, ord_lo, offer, raw_html)."""
+    ready = with_folded(firsts).drop("low")
+    return distinct_offers(parse_offers(ready, ("page_id", "ord_hi", "ord_lo", "raw_html")))
 
 
 def candidates_of_lines(lines: DataFrame) -> DataFrame:
-    """Candidates of (page_id, store, ord_hi, line_no, line, raw_html), both passes."""
+    """Candidates of (page_id, store, ord_hi, line_no, line, raw_html)."""
     gated = L.offer_lines(L.explode_parts(lines)).withColumn(
         "ord_lo", L.text_position("line_no")).drop("line_no", "part_no", "fold")
-    firsts = keep_first(
-        gated, ["page_id", "offer"], [F.col("ord_hi"), F.col("ord_lo")])
-    ready = with_folded(firsts).drop("low")
-    found = parse_offers(ready, ("page_id", "ord_hi", "ord_lo", "raw_html"))
-    return distinct_offers(found)
+    return candidates_of_rows(keep_first(
+        gated, ["page_id", "offer"], [F.col("ord_hi"), F.col("ord_lo")]))
 
 
-def generic_candidates(kept: DataFrame) -> DataFrame:
-    """Two-pass extraction of cleaned pages (page_id, url, html and their tokens)."""
-    return candidates_of_lines(page_lines(dom.with_page_store(kept)))
+#: Two-pass extraction of tokenised pages (page_id, url, html and their tokens).
+generic_candidates = LineExtractor(generic_lines, candidates_of_rows)
 
 
 def text_candidates(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         # Methods beyond 8000 bytes are never compiled to machine code; let Spark split them.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Parsing is heavier than its rows are wide: small shuffles still use every core.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
