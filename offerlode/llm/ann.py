@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ BLOCK_ROWS = 16384
 QUERY_ROWS = 2048
 QUERY_STEP = 128
 SEED = 8
+#: Components from here on are not squared: no code is made of such a vector, it is reranked.
+LARGE = 1e100
 
 
 class Codec:
@@ -42,10 +45,14 @@ class Codec:
     def encode(self, values: np.ndarray):
         """(packed signs, length, inner product of unit difference and code) of each row."""
         away = values - self.centre
+        # Rows too long to square have no usable code; bounds() leaves them open.
+        large = np.abs(away).max(1) >= LARGE
+        away = np.where(large[:, None], 0.0, away)
         length = np.linalg.norm(away, axis=1)
         turned = (away @ self.rotation.T) / np.where(length > 0, length, 1)[:, None]
         align = np.abs(turned).sum(1) / np.sqrt(self.bits)
-        return np.packbits(turned >= 0, axis=1), length, np.where(length > 0, align, 1.0)
+        length[large] = np.inf
+        return np.packbits(turned >= 0, axis=1), length, np.where((length > 0) & ~large, align, 1.0)
 
     def bounds(self, queries: np.ndarray, codes: np.ndarray, length: np.ndarray, align: np.ndarray):
         """Estimated inner products (queries by rows) and their error bounds."""
@@ -58,13 +65,19 @@ class Codec:
         return estimate, BOUND * size * spread
 
 
-def _fit(rows: DataFrame, dtype: str) -> Codec | None:
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("raw").collect()
-    if not sample:
-        return None
-    lengths = [len(raw) for (raw,) in sample]
-    usual = max(sorted(set(lengths)), key=lengths.count)
-    return Codec(matrix([bytes(raw) for (raw,) in sample if len(raw) == usual], dtype).mean(axis=0))
+def _fit(rows: DataFrame, dtype: str) -> dict[int, Codec]:
+    """A codec for each length in bytes; its centre is the mean of a bounded sample.
+
+    Vectors too long to square are left out of the mean, but not of the index.
+    """
+    codecs = {}
+    for (size,) in rows.select(F.octet_length("raw")).distinct().orderBy(F.octet_length("raw")).collect():
+        of_size = rows.where(F.octet_length("raw") == size)
+        sample = of_size.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("raw").collect()
+        values = matrix([bytes(raw) for (raw,) in sample], dtype)
+        fair = values[np.abs(values).max(1) < LARGE]
+        codecs[size] = Codec(fair.mean(axis=0) if len(fair) else np.zeros(values.shape[1]))
+    return codecs
 
 
 def _top_of_tile(codec: Codec, queries, rows, top: int):
@@ -74,8 +87,11 @@ def _top_of_tile(codec: Codec, queries, rows, top: int):
     out = []
     for start in range(0, len(query_ids), QUERY_STEP):
         some = query_values[start:start + QUERY_STEP]
-        estimate, error = codec.bounds(some, codes, length, align)
-        low, high = estimate - error, estimate + error
+        with np.errstate(all="ignore"):
+            estimate, error = codec.bounds(some, codes, length, align)
+        known = np.isfinite(estimate) & np.isfinite(error)
+        low = np.where(known, estimate - error, -np.inf)
+        high = np.where(known, estimate + error, np.inf)
         same = query_ids[start:start + QUERY_STEP, None] == ids[None, :]
         low[same], high[same] = -np.inf, -np.inf
         if len(ids) > top:
@@ -84,7 +100,8 @@ def _top_of_tile(codec: Codec, queries, rows, top: int):
             reach = np.full(len(some), -np.inf)
         for at in range(len(some)):
             chosen = np.flatnonzero((high[at] >= reach[at]) & ~same[at])
-            exact = (values[chosen] * some[at]).sum(axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (values[chosen] * some[at]).sum(axis=1)
             order = np.lexsort((ids[chosen], -exact))[:top]
             out.append((np.full(len(order), start + at), chosen[order], exact[order]))
     return (np.concatenate(parts) for parts in zip(*out))
@@ -94,9 +111,10 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the top rows by inner product for each query row.
 
     is_query is a condition on the rows of (vec_id, embedding). A query's own id is no candidate.
-    Ties go to the smaller vec_id. Vectors that are null, zero or not finite, of another length
-    than is usual in the fitted sample, or without vec_id take no part. Rows with the same
-    vec_id are asked once and returned once.
+    Ties go to the smaller vec_id. Vectors that are null, zero or not finite or without vec_id
+    take no part; of several vectors with one vec_id one does, the bytewise smallest. Vectors of
+    different lengths have no inner product: each length is searched by itself. Vectors too long
+    to square are reranked against every query of their length.
     """
     dtype = float_type(vectors, "embedding")
     typed = "float" if dtype == "<f4" else "double"
@@ -112,20 +130,19 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     )
     rows = kept.mapInArrow(pack, "vec_id long, raw binary").groupBy("vec_id").agg(F.min("raw").alias("raw"))
     rows = durable(rows, "ann-rows")
-    codec = _fit(rows, dtype)
-    empty = "query_id long, rank int, vec_id long, score double"
-    if codec is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    size = len(codec.centre) * int(dtype[-1])
-    rows = rows.where(F.octet_length("raw") == size)
-    shared = vectors.sparkSession.sparkContext.broadcast(codec)
+    codecs = _fit(rows, dtype)
+    if not codecs:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = vectors.sparkSession.sparkContext.broadcast(codecs)
 
     def index(batches):
         for batch in batches:
-            if batch.num_rows:
-                codes, length, align = shared.value.encode(matrix(batch.column(1).to_pylist(), dtype))
+            sizes = pc.binary_length(batch.column(1))
+            for size in pc.unique(sizes).to_pylist():
+                part = batch.filter(pc.equal(sizes, size))
+                codes, length, align = shared.value[size].encode(matrix(part.column(1).to_pylist(), dtype))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), batch.column(1), pa.array([code.tobytes() for code in codes], pa.binary()),
+                    part.column(0), part.column(1), pa.array([code.tobytes() for code in codes], pa.binary()),
                     pa.array(length), pa.array(align),
                 ], ["vec_id", "raw", "code", "length", "align"])
 
@@ -142,7 +159,8 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     right = indexed.withColumn("row_block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn(
         "query_block", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1)))
     )
-    tile = ["query_block", "row_block"]
+    tile = ["query_block", "row_block", "size"]
+    left, right = (side.withColumn("size", F.octet_length("raw")) for side in (left, right))
 
     def search(queries, rows):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -151,7 +169,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
         query_ids, ids = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         asked_at, found_at, scores = _top_of_tile(
-            shared.value, (query_ids, matrix(queries.column("raw").to_pylist(), dtype)),
+            shared.value[queries.column("size")[0].as_py()], (query_ids, matrix(queries.column("raw").to_pylist(), dtype)),
             (ids, matrix(rows.column("raw").to_pylist(), dtype), codes,
              rows.column("length").to_numpy(), rows.column("align").to_numpy()), top,
         )

@@ -15,6 +15,8 @@ from offerlode.llm.common import same
 
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Start of every marker; in texts and names it is set apart, so that no turn can forge one.
+MARK, APART = "<|", "< |"
 #: Turns whose lengths one task adds up; offsets of blocks are added in a second step.
 BLOCK_TURNS = 1024
 
@@ -23,13 +25,15 @@ def perspectives(turns: DataFrame) -> DataFrame:
     """One row for each turn and participant of (conv_id, turn, role, text).
 
     Columns: conv_id, perspective, turn, role (system, user or assistant), name (of another
-    speaker, else null), segment, in_loss, start and stop (characters of the rendered dialogue).
+    speaker, else null), segment, in_loss, start and stop (characters of the rendered dialogue)
+    and loss_start, where the text behind the header of an own turn begins, else null. Markers in
+    texts and names are set apart by a blank, and line breaks in names become blanks.
     A speaker is a role other than system; a null role speaks as "unknown", a null text is
     empty. Turns are ordered by turn, then role and text; repeated rows are turns of their own.
     A conversation of system turns only has no participants, and no rows. Null conv_ids are
     one conversation. Other columns are ignored.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(MARK), F.lit(APART))
     base = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"),
         text.alias("text"),
@@ -39,7 +43,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     ).distinct()
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(own, "assistant").otherwise("user")
-    name = F.when(~own & (F.col("speaker") != SYSTEM), F.col("speaker"))
+    plain = F.replace(F.translate("speaker", "\r\n", "  "), F.lit(MARK), F.lit(APART))
+    name = F.when(~own & (F.col("speaker") != SYSTEM), plain)
     seen = base.join(people, same(F.col("conv_id"), F.col("conv"))).select(
         "conv_id", "perspective", "turn", "speaker", role.alias("role"), name.alias("name"), own.alias("in_loss"), "text",
         F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS).alias("block"),
@@ -60,23 +65,26 @@ def perspectives(turns: DataFrame) -> DataFrame:
         same(F.col("conv_id"), F.col("conv")) & (F.col("perspective") == F.col("view")) & (F.col("block") == F.col("part")),
     )
     stop = (F.col("before") + F.col("stop")).cast("long")
+    start = stop - F.length("segment")
+    own_text = stop - F.length("text") - len(CLOSE)
     return joined.select(
-        "conv_id", "perspective", "turn", "role", "name", "segment", "in_loss",
-        (stop - F.length("segment")).alias("start"), stop.alias("stop"),
+        "conv_id", "perspective", "turn", "role", "name", "segment", "in_loss", start.alias("start"), stop.alias("stop"),
+        F.when(F.col("in_loss"), own_text).alias("loss_start"),
     )
 
 
 #: The same rows for DuckDB.
 PERSPECTIVES_SQL = f"""
 with base as (
-  select conv_id, cast(turn as bigint) as turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text
-  from conversations
+  select conv_id, cast(turn as bigint) as turn, coalesce(role, 'unknown') as speaker,
+    replace(coalesce(text, ''), '{MARK}', '{APART}') as text from conversations
 ), people as (
   select distinct conv_id as conv, speaker as perspective from base where speaker <> '{SYSTEM}'
 ), seen as (
   select conv_id, perspective, turn, speaker, text,
     case when speaker = '{SYSTEM}' then '{SYSTEM}' when speaker = perspective then 'assistant' else 'user' end as role,
-    case when speaker not in (perspective, '{SYSTEM}') then speaker end as name, speaker = perspective as in_loss
+    case when speaker not in (perspective, '{SYSTEM}')
+      then replace(replace(replace(speaker, chr(13), ' '), chr(10), ' '), '{MARK}', '{APART}') end as name, speaker = perspective as in_loss
   from base join people on conv_id is not distinct from conv
 ), rendered as (
   select *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) || text || '<|im_end|>' || chr(10) as segment from seen
@@ -85,5 +93,6 @@ with base as (
     rows between unbounded preceding and current row) as total from rendered
 )
 select conv_id, perspective, turn, role, name, segment, in_loss,
-  cast(total - length(segment) as bigint) as start, cast(total as bigint) as stop from placed
+  cast(total - length(segment) as bigint) as start, cast(total as bigint) as stop,
+  case when in_loss then cast(total - length(text) - {len(CLOSE)} as bigint) end as loss_start from placed
 """

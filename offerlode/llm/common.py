@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def configured_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only a local master, where there is one machine, may do without the setting.
+    Only a local master, where there is one machine, may do without the setting; a folder of
+    its own is made once for the session then.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured_dir(spark)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="offerlode-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="offerlode-")
 
 
 def durable(frame: DataFrame, name: str) -> DataFrame:

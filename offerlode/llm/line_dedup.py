@@ -10,7 +10,6 @@ table, so its errors never reach a result.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -231,8 +230,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     found = candidate_lines(named, _loaded(frequent), digest, min_chars)
     exact = found.join(frequent.select("key"), "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
     names = [free_name(named, name) for name in ("n_lines", "n_dropped")]
-    drop = free_name(named, "drop_keys")
-    joined = named.join(exact.withColumnRenamed("keys", drop), same(F.col(digest), F.col("id")), "left").select(
+    drop, of = free_name(named, "drop_keys"), free_name(named, "of_text")
+    found_keys = exact.withColumnsRenamed({"keys": drop, "id": of})
+    joined = named.join(found_keys, same(F.col(digest), F.col(of)), "left").select(
         *[F.col(f"`{name}`") for name in docs.columns], drop
     )
     at, columns_out = docs.columns.index("text"), [*docs.columns, *names]
@@ -262,6 +262,3 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
     return joined.mapInArrow(run, schema)
 
-
-def text_sha256(text: bytes | None) -> str:
-    return hashlib.sha256(text or b"").hexdigest()

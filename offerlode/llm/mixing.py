@@ -185,13 +185,14 @@ def mix(docs: DataFrame) -> DataFrame:
     """All columns of docs; each row is repeated as often as the mix takes it, or left out."""
     digest = free_name(docs, "mix_digest")
     named = docs.withColumn(digest, F.md5(F.col("text").cast("string")))
-    chosen = decisions(docs).where("copies > 0").select(
-        F.col("doc_id").alias("unit_id"), F.col("source").alias("unit_source"),
-        F.col("digest").alias("unit_digest"), F.col("copies").alias("unit_copies"),
-    )
+    names = {name: free_name(named, f"unit_{name}") for name in ("doc_id", "source", "digest", "copies")}
+    chosen = decisions(docs).where("copies > 0").select(*[F.col(name).alias(new) for name, new in names.items()])
     on = (
-        same(named["doc_id"], chosen["unit_id"]) & same(named["source"], chosen["unit_source"])
-        & same(named[digest], chosen["unit_digest"])
+        same(F.col("doc_id"), F.col(names["doc_id"])) & same(F.col("source"), F.col(names["source"]))
+        & same(F.col(digest), F.col(names["digest"]))
+    )
+    taken = named.join(chosen, on)
+    copy = free_name(taken, "unit_copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(
+        *[F.col(f"`{name}`") for name in docs.columns]
     )
-    taken = named.join(chosen, on).withColumn("unit_copy", F.explode(F.sequence(F.lit(1), "unit_copies")))
-    return taken.select(*[named[name] for name in docs.columns])

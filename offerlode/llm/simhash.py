@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlode.llm.common import small
+from offerlode.llm.common import durable, free_name, same, small
 from offerlode.llm.components import components
 
 SEED = 42
@@ -45,20 +45,22 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long.
-
-    A null or empty text and one of blanks only have fingerprint zero.
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, digest: str | None = None) -> DataFrame:
+    """(doc_id, fp) and, if a column is named, digest: the fingerprint of every whole text, as a
+    signed long. A null or empty text and one of blanks only have fingerprint zero.
     """
+    extra = [F.col(digest).alias("digest")] if digest else []
 
     def run(batches):
         for batch in small(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(text, words) for text in texts], "<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]]
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(
+        run, "doc_id long, fp long" + ", digest string" * len(extra)
     )
 
 
@@ -120,6 +122,15 @@ def close_pairs(prints: DataFrame, segments: int = 32) -> DataFrame:
     )
 
 
+def rooted_prints(prints: DataFrame) -> DataFrame:
+    """(fp, first_id, root): each distinct fingerprint, its smallest doc_id and its group."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(close_pairs(distinct), "a", "b")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(prints: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp): groups of texts linked at MAX_BITS or less.
 
@@ -127,11 +138,31 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     fingerprints are joined; no group of copies is expanded. Rows without doc_id keep their
     group; it is null if no row of the group has one.
     """
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(close_pairs(distinct), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = rooted_prints(prints)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     groups = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One document of each group of texts linked at MAX_BITS or less, with all columns of docs.
+
+    The document with the smallest doc_id stays (null last; of several texts with that id the one
+    with the smallest digest, of equal rows one). Null, empty and blank texts have fingerprint
+    zero and are one group. An empty table gives no rows.
+    """
+    digest = free_name(docs, "text_digest")
+    named = docs.withColumn(digest, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    prints = durable(fingerprints(named, words, digest), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    kept = durable(
+        prints.join(rooted_prints(prints).select("fp", "root"), "fp").groupBy("root").agg(first.alias("kept"))
+        .select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.digest").alias("kept_digest")), "kept",
+    )
+    on = same(named["doc_id"].cast("long"), kept["kept_id"]) & (named[digest] == kept["kept_digest"])
+    chosen = named.join(kept, on, "left_semi")
+    if not prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id", digest).orderBy(*[F.col(f"`{name}`") for name in docs.columns if name != "text"])
+        at = free_name(chosen, "row")
+        chosen = chosen.withColumn(at, F.row_number().over(order)).where(F.col(at) == 1)
+    return chosen.select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -140,3 +140,23 @@ def test_components_of_chains_and_stars(spark, monkeypatch, task_edges):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
     assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_nearest_of_mixed_lengths_and_huge_vectors(spark):
+    rng = np.random.default_rng(4)
+    short, long = rng.standard_normal((90, 8)), rng.standard_normal((60, 12))
+    rows = [(i, v.tolist(), 0, "") for i, v in enumerate([*short, *long])]
+    rows[7] = (7, (short[7] * 1e200).tolist(), 0, "")
+    frame = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    values = {row[0]: np.array(row[1]) for row in rows}
+    got = collections.defaultdict(list)
+    for row in ann.nearest(frame, F.col("vec_id") % 20 == 0, 5).orderBy("rank").collect():
+        got[row.query_id].append(row.vec_id)
+    assert set(got) == set(range(0, 150, 20))
+    hits = 0
+    for query, found in got.items():
+        near = [i for i in values if i != query and len(values[i]) == len(values[query])]
+        near = sorted(near, key=lambda i: (-(values[i] * values[query]).sum(), i))[:5]
+        assert len(found) == 5 and (7 in near) == (7 in found)
+        hits += len(set(near) & set(found))
+    assert hits >= 0.95 * 5 * len(got)
