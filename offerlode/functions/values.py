@@ -213,6 +213,7 @@ FALLBACK_PROMPT_PREFIX = (
     "Ignore headers, footers, navigation, and unrelated site chrome.\n\n"
 )
 NO_DEALS = "NO_DEALS_FOUND"
+NO_TITLE = "(no title)"
 
 # --- output columns ---------------------------------------------------------------
 RECORD_FIELDS = (

@@ -98,11 +98,12 @@ def route(pages: DataFrame, routes: Routes, url: str = "url") -> DataFrame:
     ).withColumn("extractor", F.coalesce("extractor", F.lit(V.GENERIC)))
 
 
-def page_rows(tokens: DataFrame, routes: Routes, page: Column | None = None) -> DataFrame:
+def page_rows(tokens: DataFrame, routes: Routes, page: Column | None = None,
+              lines_if: Column | None = None) -> DataFrame:
     """(page_id, extractor, store and what ``distinct_lines`` keeps) of routed, tokenised pages.
 
     A page is scanned and tokenised once, whichever extractor reads it.  With ``page``, each
-    page also gives a row that holds this record.
+    page also gives a row that holds this record; ``lines_if`` limits the pages that give more.
     """
     c, named = F.col, tokens
     stores, arrays = F.lit(None).cast("string"), F.lit(None)
@@ -113,6 +114,8 @@ def page_rows(tokens: DataFrame, routes: Routes, page: Column | None = None) ->
         arrays = F.when(c("extractor") == name, rows).otherwise(arrays)
     if page is not None:
         own = F.array(line_struct(F.lit(0), F.lit(0), mark(F.lit("page")), F.lit(""), page=page))
+        if lines_if is not None:
+            arrays = F.when(lines_if, arrays)
         arrays = F.concat(own, F.coalesce(arrays, F.slice(own, 1, 0)))
     lines = named.select("page_id", "extractor", stores.alias("store"), F.explode(arrays).alias("l"))
     return distinct_lines(lines.select("page_id", "extractor", "store", "l.*"))

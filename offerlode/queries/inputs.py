@@ -72,6 +72,11 @@ ROUTED_URL = f"case when page_id % 4 = 0 then {SITE_URL} when page_id % 4 = 1 "
     f"then 'retailmenot.com/view/x' else url end"
 
 
+# Pages of a batch: some came back blank, some lose their root, the rest hold offers.
+LOST_ROOT = f"concat('<html class=\"navbar\"><body>', {ID}, '% off</body></html>')"
+BATCH_HTML = f"case page_id % 16 when 5 then '  ' when 15 then {LOST_ROOT} else {DEAL_HTML} end"
+
+
 def pages(spark: SparkSession, folder: str, **columns: str) -> DataFrame:
     """The page table with extra SQL columns, dealt out to all cores when it is small."""
     base = spread(table(spark, folder, "pages").select("page_id", "url", "html"))

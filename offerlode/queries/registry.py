@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlode.functions import text as X
 from offerlode.functions import urls as U
 from offerlode.functions import values as V
+from offerlode.functions.tokenizer import VOID
 from offerlode.operators import batch, dom, report
 from offerlode.operators import lines as L
 from offerlode.operators.custom import custom_extractor
@@ -25,7 +26,7 @@ from offerlode.queries import inputs as I
 from offerlode.queries import sql as Q
 from offerlode.session import shared
 from offerlode.sinks import render
-from offerlode.sources.pages import page_error, page_records
+from offerlode.sources.pages import decode_body, page_contents, page_error, page_records
 from offerlode.sources.tables import offer_lines, spread, table
 from offerlode.sources.url_lists import url_list
 
@@ -201,6 +202,44 @@ def html_to_text(spark, folder):
     return L.explode_text(text).where(F.col("line") != "").select("page_id", "line")
 
 
+_VOID = ", ".join(f"'{tag}'" for tag in sorted(VOID))
+# Start tags and texts of the cleaned body, and the length that its end tags add to it.
+_CLEANED = f"""bodies as (select page_id, {_BODY.replace('html,', I.DEAL_HTML + ',')} as b from pages),
+opened as (select page_id, trim({_sql_decode("regexp_replace(regexp_extract(b, '(?s)<body>.*'), '</[^>]*>', '', 'g')")}) as open_html,
+  list_sum(list_transform(list_filter(regexp_extract_all(regexp_extract(b, '(?s)<body>.*'), '<([a-z0-9]+)', 1),
+    lambda t: t not in ({_VOID})), lambda t: length(t) + 3)) as end_chars,
+  {_sql_decode(f"regexp_replace({_BLOCKED.replace('b,', 'replace(b, chr(10), chr(32)),')}, '<[^>]*>', '', 'g')")} as t from bodies),
+cleaned as (select page_id, open_html, length(open_html) + end_chars as html_size, array_to_string(list_filter(list_transform(
+  string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as cleaned_text from opened)"""
+
+
+@query("page_record", f"""with {_CLEANED} select p.page_id, url as requested_url, url as final_url, {_TITLE} as title, raw_chars, open_html as cleaned_html_open, html_size as cleaned_html_chars, cleaned_text,
+  cast(null as integer) as status_code, cast(null as integer) as elapsed_ms
+from (select *, length({I.DEAL_HTML}) as raw_chars from pages) p join cleaned c on p.page_id = c.page_id""")
+def page_record(spark, folder):
+    """All eight fields; of the cleaned HTML its length, and the whole of it but for end tags."""
+    found = page_contents(I.deal_pages(spark, folder))
+    return found.select(
+        "page_id", "requested_url", "final_url", "title",
+        F.length("raw_html").cast("bigint").alias("raw_chars"),
+        F.trim(F.regexp_replace("cleaned_html", "</[^>]*>", "")).alias("cleaned_html_open"),
+        F.length("cleaned_html").cast("bigint").alias("cleaned_html_chars"), "cleaned_text",
+        "status_code", "elapsed_ms")
+
+
+_ENCODINGS = "case page_id % 5 when 0 then 'utf-8' when 1 then 'latin-1' when 2 then 'no-such-set' when 3 then 'UTF8' end"
+
+
+@query("body_decode", f"""select page_id, case when page_id % 5 = 1 then 'caf' || chr(195) || chr(169) || ' ' || substr(url, 1, 40)
+  else 'café ' || substr(url, 1, 40) || case when page_id % 2 = 0 then chr(65533) || '.' else '' end end as text from pages""")
+def body_decode(spark, folder):
+    body = F.concat(
+        F.encode(F.concat(F.lit("café "), F.substring("url", 1, 40)), "UTF-8"),
+        F.when((F.col("page_id") % 2 == 0) & (F.col("page_id") % 5 != 1), F.unhex(F.lit("FF2E"))).otherwise(F.unhex(F.lit(""))))
+    return I.pages(spark, folder).select(
+        "page_id", decode_body(body, F.expr(_ENCODINGS)).alias("text"))
+
+
 _PARTLY_EMPTY = """case page_id % 10 when 0 then '  ' when 1 then
   concat('<html class="navbar">', html, '</html>') when 2 then '<body></body>' else html end"""
 
@@ -613,56 +652,54 @@ def run_metrics(spark, folder):
     return report.run_metrics(I.fetch_log(spark, folder), fixture_candidates(spark, folder))
 
 
-_BATCH_SQL = f"""{_PAGE_CAND}, {Q.deduplicated()},
+_STEM = f"""stems as (select page_id, printf('row_%05d_', page_id + 2) ||
+  substr(case when slug = '' then 'url' else slug end, 1, 80) as stem from (select page_id, trim(regexp_replace(lower(
+  case when trim(s, '_/') = '' then url else s end), '[^a-z0-9]+', '_', 'g'), '_') as slug from (
+  select page_id, url, host || path || case when query <> '' then '_' || query else '' end as s from split_urls)))"""
+_BATCH_SQL = f"""{_PAGE_CAND.replace("from pages))", "from pages where page_id % 16 not in (5, 15)))")}, {Q.deduplicated()},
 page_scores as (select page_id, count(*) as n, {Q.mean_confidence(
     f"cast(sum(case when rank <= 5 then cast(confidence * cast({Q.UNITS} as double) as bigint) end) as double)",
     "count(case when rank <= 5 then 1 end)")} as overall from ranked group by page_id),
-typed as (select page_id, {I.TYPED_URL} as url from pages),
-flagged as (select p.page_id, p.page_id + 2 as row_number, t.url as requested_url, p.url as final_url,
+{_STRIPPED}, {_FULL}, {_STEM},
+flagged as (select p.page_id, p.page_id + 2 as row_number, {I.TYPED_URL} as requested_url, p.url as final_url,
   {_TITLE} as title, case when p.page_id % 8 = 2 then '{V.URL_BAD_SCHEME}' when p.page_id % 8 = 3 then '{V.URL_EMPTY}'
-  when p.page_id % 8 = 4 then '{V.URL_NO_DOMAIN}' end as error from pages p join typed t on p.page_id = t.page_id),
-summary as (select f.row_number, f.requested_url, case when error is null then 'ok' else 'error' end as status,
+  when p.page_id % 8 = 4 then '{V.URL_NO_DOMAIN}' when p.page_id % 16 in (5, 15) then '{V.EMPTY_PAGE_PREFIX}' || trim({I.TYPED_URL}) || '.'
+  end as error from pages p),
+summary as (select f.page_id, f.row_number, f.requested_url, case when error is null then 'ok' else 'error' end as status,
   case when error is null then final_url else '' end as final_url,
-  case when error is null then title else '' end as title,
+  case when error is null then title else '' end as title, '' as status_code, '' as elapsed_ms,
   case when error is null then printf('%.2f', overall) else '' end as overall_confidence,
-  cast(case when error is null then n else 0 end as varchar) as candidate_count, 'no' as used_llm_fallback,
-  case when error is null then r.offer_type else '' end as top_offer_type, coalesce(error, '') as error
-  from flagged f left join page_scores s on f.page_id = s.page_id
-  left join (select page_id, offer_type from ranked where rank = 1) r on f.page_id = r.page_id)"""
+  cast(case when error is null then n else 0 end as varchar) as candidate_count, 'no' as used_llm_fallback, '' as fallback_error,
+  case when error is null then r.offer else '' end as top_offer,
+  case when error is null then r.offer_type else '' end as top_offer_type,
+  case when error is null then 'output/html/' || stem || '.html' else '' end as html_path,
+  case when error is null then 'output/text/' || stem || '.txt' else '' end as text_path,
+  case when error is null then 'output/deals/' || stem || '.json' else '' end as deals_path, coalesce(error, '') as error
+  from flagged f left join page_scores s on f.page_id = s.page_id join stems on f.page_id = stems.page_id
+  left join (select page_id, offer, offer_type from ranked where rank = 1) r on f.page_id = r.page_id)"""
 
 
-def _batch_summary(spark, folder):
+def _batch(spark, folder, contents=False):
     # Pages with bad URLs are never fetched, so none of them is tokenised.
-    pages = I.deal_pages(spark, folder).where(U.url_error(F.expr(I.TYPED_URL)).isNull())
-    offers = shared(
-        rank_and_filter(deduplicate(generic_candidates(cleaned_pages(pages)))))
-    requested = F.expr(I.TYPED_URL)
+    pages = I.pages(spark, folder, requested_url=I.TYPED_URL, html=I.BATCH_HTML)
+    fetched = pages.where(U.url_error(F.col("requested_url")).isNull())
     urls = I.pages(spark, folder).select(
-        (F.col("page_id") + 2).alias("row_number"), requested.alias("requested_url"),
-        "page_id", U.url_error(requested).alias("error"))
-    records = page_records(I.pages(spark, folder)).select(
-        "page_id", "final_url", "title", "status_code", "elapsed_ms")
-    results = report.page_summaries(records, offers).withColumns({
-        "used_llm_fallback": F.lit(False), "fallback_error": F.lit(None).cast("string")})
-    tops = top_offers(offers).select(
-        "page_id", F.col("offer").alias("top_offer"), F.col("offer_type").alias("top_offer_type"))
-    return batch.batch_summary(urls, results, tops)
+        (F.col("page_id") + 2).alias("row_number"), F.expr(I.TYPED_URL).alias("requested_url"),
+        "page_id", F.col("url").alias("final_url"))
+    return urls, batch.run_batch(fetched, default_routes(), contents)
 
 
-@query("batch_summary", f"""{_BATCH_SQL} select cast(row_number as varchar) as row_number, requested_url, status,
-  final_url, title, overall_confidence, candidate_count, used_llm_fallback, top_offer_type, error from summary""")
+@query("batch_summary", f"""{_BATCH_SQL} select cast(row_number as varchar) as row_number,
+  {', '.join(name for name in V.SUMMARY_FIELDS if name != 'row_number')} from summary""")
 def batch_summary(spark, folder):
-    return batch.summary_text(_batch_summary(spark, folder)).select(
-        "row_number", "requested_url", "status", "final_url", "title", "overall_confidence",
-        "candidate_count", "used_llm_fallback", "top_offer_type", "error")
+    return batch.summary_text(batch.summarize_batch(
+        *_batch(spark, folder), extension="json", save_html=True))
 
 
-@query("batch_totals", """select count(*) as total, count(*) filter (page_id % 8 not in (2, 3, 4)) as succeeded,
-  count(*) filter (page_id % 8 in (2, 3, 4)) as failed from pages""")
+@query("batch_totals", f"""{_BATCH_SQL} select count(*) as total, count(*) filter (status = 'ok') as succeeded,
+  count(*) filter (status = 'error') as failed from summary""")
 def batch_totals(spark, folder):
-    requested = F.expr(I.TYPED_URL)
-    return batch.batch_totals(I.pages(spark, folder).select(
-        F.when(U.url_error(requested).isNull(), "ok").otherwise("error").alias("status")))
+    return batch.batch_totals(batch.summarize_batch(*_batch(spark, folder)))
 
 
 # --- output -----------------------------------------------------------------------
@@ -679,6 +716,12 @@ def render_record(spark, folder):
         "reasons", F.concat_ws(",", "reasons"))
 
 
+@query("render_csv", f"""{Q.OFFERS} select page_id, {', '.join(
+  f"coalesce(cast({'round(confidence, 3)' if name == 'confidence' else name} as varchar), '') as {name}" for name in V.CSV_FIELDS)} from kept""")
+def render_csv(spark, folder):
+    return render.csv_fields(fixture_offers(spark, folder), "page_id")
+
+
 @query("render_text", f"""{_ENRICHED} select page_id, cast(0 as bigint) as seq,
   'OVERALL_CONFIDENCE=' || printf('%.2f', overall_confidence) || chr(10) || 'USED_LLM_FALLBACK=' ||
   case when fallback_response_text is null then 'no' else 'yes' end || chr(10) || 'HEURISTIC_CANDIDATES' ||
@@ -729,17 +772,13 @@ def parse_lines(spark, folder):
     return render.parse_output_lines(lines)
 
 
-@query("run_summary", f"""{Q.REPORTS} select page_id, coalesce(nullif(s_name, ''), '(no title)') as title,
-  length(s_name) as text_size, overall_confidence as heuristic_confidence, candidate_count as candidates
-from summaries join supplier on page_id = s_suppkey""")
+@query("run_summary", f"""{_BATCH_SQL}, {_CLEANED.replace("cleaned as", "cleaned_pages as")}
+select s.page_id, requested_url, final_url, coalesce(nullif(title, ''), '{V.NO_TITLE}') as title,
+  cast(null as integer) as status_code, html_size, length(cleaned_text) as text_size, cast(null as integer) as elapsed_ms,
+  coalesce(p.overall, 0.0) as heuristic_confidence, false as llm_fallback, cast(coalesce(p.n, 0) as bigint) as candidates
+from summary s join cleaned_pages c on s.page_id = c.page_id left join page_scores p on s.page_id = p.page_id where status = 'ok'""")
 def run_summary(spark, folder):
-    offers = shared(fixture_offers(spark, folder))
-    summaries = report.page_summaries(I.supplier_pages(spark, folder), offers)
-    return summaries.select(
-        "page_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(no title)")).alias("title"),
-        F.length("title").cast("bigint").alias("text_size"),
-        F.col("overall_confidence").alias("heuristic_confidence"),
-        F.col("candidate_count").alias("candidates"))
+    return batch.run_summary(*_batch(spark, folder, contents=True))
 
 
 @query("custom_extractor", f"""select page_id, 'item ' || cast(page_id as varchar) as store,

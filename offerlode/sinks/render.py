@@ -52,6 +52,12 @@ def records(candidates: DataFrame, *keys: str) -> DataFrame:
         for name in V.RECORD_FIELDS])
 
 
+def csv_fields(candidates: DataFrame, *keys: str) -> DataFrame:
+    """The 13 CSV columns as text, blanks for nulls."""
+    return records(candidates, *keys).select(*keys, *[
+        F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in V.CSV_FIELDS])
+
+
 FALLBACK_COLUMNS = ("used_llm_fallback", "fallback_response_text", "fallback_error")
 
 
