@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerlode.operators.dedup import normalize_candidates
 from offerlode.operators.lines import PASS_TEXT
 from offerlode.operators.signals import CANDIDATE_FIELDS, with_score
 
@@ -28,7 +29,8 @@ def scored_candidates(rows: DataFrame, source: str) -> DataFrame:
     for name in ("ord_hi", "ord_lo"):
         if name not in given:
             missing[name] = F.lit(PASS_TEXT if name == "ord_hi" else 0).cast("bigint")
-    return with_score(rows.withColumns(missing), bonus=False).select(
+    tidy = normalize_candidates(rows.withColumns(missing))
+    return with_score(tidy, bonus=False).select(
         "page_id", "ord_hi", "ord_lo", *CANDIDATE_FIELDS)
 
 

@@ -12,6 +12,8 @@ from offerlode.functions.scoring import best_offer_text, same_text_key, with_can
 from offerlode.functions.text import normalize_candidate_text
 
 POSITION = ("ord_hi", "ord_lo", "offer")
+#: Largest count for which Spark limits groups before the shuffle.
+GROUP_LIMIT = 1_000
 
 
 def best_first() -> list[Column]:
@@ -63,6 +65,8 @@ def rank_and_filter(candidates: DataFrame, min_confidence: float = V.MIN_CONFIDE
     kept = candidates.where(F.col("confidence") >= min_confidence)
     if max_results is None or max_results <= 0:
         return kept
+    if max_results > GROUP_LIMIT:  # no map-side limit: rank by many tasks instead
+        return with_rank(kept, "_rank").where(F.col("_rank") <= max_results).drop("_rank")
     return keep_first(kept, ["page_id"], best_first(), max_results)
 
 
@@ -70,28 +74,62 @@ def top_offers(candidates: DataFrame, count: int = 1, rank: str | None = None) -
     return keep_first(candidates, ["page_id"], best_first(), count, rank)
 
 
-BUCKET_BITS = 30
+#: Pages of more offers are ranked by many tasks, in stretches between quantiles.
+LARGE_PAGE = 10_000
+STRETCHES = 1_000
 
 
-def with_rank(candidates: DataFrame, rank: str = "rank",
-              bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def _stretches(candidates: DataFrame, large: DataFrame, stretches: int) -> DataFrame:
+    """(page_id, confidence, ord_hi, bounds): quantiles of the positions on large pages.
+
+    The sketch is a partial aggregate of bounded size, so a page with a third of all rows is
+    summed up by all tasks that hold some of it.
+    """
+    share = [at / stretches for at in range(1, stretches)]
+    rows = candidates.select("page_id", "confidence", "ord_hi", "ord_lo").join(
+        large, "page_id", "left_semi")
+    return rows.groupBy("page_id", "confidence", "ord_hi").agg(
+        F.percentile_approx("ord_lo", share, 10 * stretches).alias("_bounds"))
+
+
+def with_rank(candidates: DataFrame, rank: str = "rank", total: str | None = None,
+              large_page: int = LARGE_PAGE, stretches: int = STRETCHES) -> DataFrame:
     """Exact rank of every candidate of its page, also where one page is very large.
 
-    Rank = candidates in better buckets + row number inside the own bucket.  A bucket is
-    a confidence value and a stretch of positions, so a large page is sorted by many
-    tasks and only its bucket counts meet in one.
+    Rank = candidates in better buckets + row number inside the own bucket.  A page of up to
+    ``large_page`` candidates is one bucket.  A larger one has a bucket for each confidence,
+    pass and stretch between quantiles of the positions, so it is sorted by many tasks and
+    only its bucket counts meet in one.  ``total`` adds the page's number of candidates; it
+    comes from the same counts.
     """
-    bucketed = candidates.withColumn("_stretch", F.shiftright("ord_lo", bucket_bits))
-    bucket = ["page_id", "confidence", "ord_hi", "_stretch"]
-    counts = bucketed.groupBy(*bucket).agg(F.count("*").alias("_size"))
-    ahead = Window.partitionBy("page_id").orderBy(
-        F.col("confidence").desc(), "ord_hi", "_stretch"
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(
-        "_ahead", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).drop("_size")
-    inside = Window.partitionBy(*bucket).orderBy("ord_lo", "offer")
-    numbered = bucketed.withColumn("_inside", F.row_number().over(inside))
-    ranked = numbered.join(offsets, bucket)
-    return ranked.withColumn(
-        rank, (F.col("_ahead") + F.col("_inside")).cast("bigint")
-    ).drop("_stretch", "_ahead", "_inside")
+    counts = candidates.groupBy("page_id").agg(F.count("*").alias("_total"))
+    large = counts.where(F.col("_total") > large_page)
+    bounds = _stretches(candidates, large, stretches)
+    order = ["page_id", "confidence", "ord_hi"]
+    split = F.col("_bounds").isNotNull()
+    bucketed = candidates.join(bounds, order, "left").withColumns({
+        "_confidence": F.when(split, F.col("confidence")),
+        "_hi": F.when(split, F.col("ord_hi")),
+        "_stretch": F.when(split, F.size(F.filter(
+            "_bounds", lambda bound: bound < F.col("ord_lo")))),
+    }).drop("_bounds")
+    bucket = ["page_id", "_confidence", "_hi", "_stretch"]
+    inside = Window.partitionBy(*bucket)
+    numbered = bucketed.withColumns({
+        "_inside": F.row_number().over(inside.orderBy(*best_first())),
+        "_own": F.count("*").over(inside)})
+    sizes = bucketed.where(F.col("_stretch").isNotNull()).groupBy(*bucket).agg(
+        F.count("*").alias("_size"))
+    page = Window.partitionBy("page_id")
+    ahead = page.orderBy(F.col("_confidence").desc(), "_hi", "_stretch").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(name).alias(f"at{name}") for name in bucket],
+        F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"),
+        F.sum("_size").over(page).alias("_all"))
+    on = [F.col(name) == F.col(f"at{name}") for name in bucket]
+    ranked = numbered.join(offsets, on, "left")
+    added = {rank: (F.coalesce("_ahead", F.lit(0)) + F.col("_inside")).cast("bigint")}
+    if total is not None:
+        added[total] = F.coalesce("_all", "_own").cast("bigint")
+    return ranked.withColumns(added).select(*candidates.columns, *added)

@@ -58,6 +58,18 @@ def csv_fields(candidates: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in V.CSV_FIELDS])
 
 
+def csv_report(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Fragments of the CSV report: a header for every page, then its ranked rows."""
+    options = {"escape": '"', "emptyValue": "", "nullValue": ""}
+    head = summaries.select(
+        "page_id", F.lit(0).cast("bigint").alias("seq"), F.lit(",".join(V.CSV_FIELDS)).alias("text"))
+    row = F.to_csv(F.struct(*[
+        F.round("confidence", 3).alias(name) if name == "confidence" else F.col(name)
+        for name in V.CSV_FIELDS]), options)
+    return head.unionByName(with_rank(candidates).select(
+        "page_id", F.col("rank").alias("seq"), row.alias("text")))
+
+
 FALLBACK_COLUMNS = ("used_llm_fallback", "fallback_response_text", "fallback_error")
 
 
@@ -104,6 +116,17 @@ def json_text(value: Column) -> Column:
         F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
 
+def json_number(value: Column) -> Column:
+    """A double as JSON libraries print it: an exponent only from 1e16 on, with its sign."""
+    text = value.cast("string")
+    plain = F.concat(F.regexp_replace(
+        value.cast("decimal(38,10)").cast("string"), r"\.?0+$", ""), F.lit(".0"))
+    whole = F.abs(value).between(1e7, 9.999999999999998e15)
+    exact = F.regexp_replace(value.cast("decimal(38,10)").cast("string"), r"0+$", "")
+    signed = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E([0-9])", "e+$1")
+    return F.when(whole & exact.endswith("."), plain).when(whole, exact).otherwise(signed)
+
+
 def json_report(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Fragments of the indented JSON report; null candidate fields stay in."""
     c, count = F.col, F.col("candidate_count")
@@ -134,16 +157,15 @@ def json_report(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
         elif name == "confidence":
             value = F.round(c(name), 3).cast("string")
         elif name in ("discount_percent", "cashback_percent"):
-            value = F.coalesce(c(name).cast("string"), F.lit("null"))
+            value = F.coalesce(json_number(c(name)), F.lit("null"))
         else:
             value = json_text(c(name))
         return F.concat(F.lit(f'      "{name}": '), value)
 
-    ranked = with_rank(candidates).join(
-        summaries.select("page_id", "candidate_count"), "page_id")
+    ranked = with_rank(candidates, total="page_total")
     body = F.concat(
         F.lit("    {\n"), F.concat_ws(",\n", *map(entry, V.RECORD_FIELDS)),
-        F.when(c("rank") < count, F.lit("\n    },")).otherwise(F.lit("\n    }")))
+        F.when(c("rank") < c("page_total"), F.lit("\n    },")).otherwise(F.lit("\n    }")))
     return outer.unionByName(ranked.select(
         "page_id", c("rank").alias("seq"), body.alias("text")))
 

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame
 
 from offerlode.functions import values as V
-from offerlode.operators.dom import cleaned_html, cleaned_text
-from offerlode.sinks.render import json_report, records, text_report
+from offerlode.operators.batch import observed, summary_text
+from offerlode.sinks.packed import content_documents, report_documents, write_packed
+from offerlode.sinks.render import csv_report, json_report, records, text_report
 
 EXTENSIONS = {"text": "txt", "json": "json", "csv": "csv"}
 
@@ -22,50 +23,41 @@ def _csv(df: DataFrame, path: str, mode: str) -> None:
      .option("emptyValue", "").option("nullValue", "").csv(path))
 
 
-def _write_fragments(fragments: DataFrame, path: str, mode: str, keys: DataFrame | None) -> None:
-    """Ordered text files; by output stem when ``keys`` (page_id, output_stem) is given.
-
-    A range layout on (stem, page, seq) keeps a document in order across file parts.
-    """
-    if keys is None:
-        fragments.repartitionByRange("page_id", "seq").sortWithinPartitions(
-            "page_id", "seq").select("text").write.mode(mode).text(path)
-        return
-    named = fragments.join(keys, "page_id")
-    named.repartitionByRange("output_stem", "page_id", "seq").sortWithinPartitions(
-        "output_stem", "page_id", "seq").select("text", "output_stem").write.mode(
-        mode).partitionBy("output_stem").text(path)
+def report_fragments(summaries: DataFrame, candidates: DataFrame, fmt: str) -> DataFrame:
+    """(page_id, seq, text) of page reports in one of the three formats."""
+    made = {"text": text_report, "json": json_report, "csv": csv_report}
+    return made[output_format(fmt)](summaries, candidates)
 
 
 def write_reports(summaries: DataFrame, candidates: DataFrame, fmt: str, path: str,
                   mode: str = "overwrite", keys: DataFrame | None = None) -> None:
-    """Page reports in one of the three formats."""
+    """Page reports as files in page order, or packed by output stem.
+
+    ``keys`` (page_id, output_stem) packs one document per page (see ``sinks.packed``).
+    Otherwise a range layout on (page, seq) keeps a document in order across file parts.
+    """
     chosen = output_format(fmt)
-    if chosen == "csv":
-        rows = records(candidates, "page_id")
-        if keys is None:
-            _csv(rows.select(*V.CSV_FIELDS), path, mode)
-        else:
-            named = rows.join(keys, "page_id").select(*V.CSV_FIELDS, "output_stem")
-            (named.write.mode(mode).partitionBy("output_stem").option("header", True)
-             .option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path))
-    elif chosen == "json":
-        _write_fragments(json_report(summaries, candidates), path, mode, keys)
+    if keys is not None:
+        write_packed(report_documents(report_fragments(summaries, candidates, chosen), keys), path, mode)
+    elif chosen == "csv":
+        _csv(records(candidates).select(*V.CSV_FIELDS), path, mode)
     else:
-        _write_fragments(text_report(summaries, candidates), path, mode, keys)
+        report_fragments(summaries, candidates, chosen).repartitionByRange(
+            "page_id", "seq").sortWithinPartitions("page_id", "seq").select("text").write.mode(
+            mode).text(path)
 
 
-def write_page_contents(kept: DataFrame, keys: DataFrame, folder: str,
-                        html: bool = True, mode: str = "overwrite") -> None:
-    """Cleaned HTML and text of pages under ``html/`` and ``text/`` by output stem."""
-    pages = kept.join(keys, "page_id")
-    contents = {"text": cleaned_text()} | ({"html": cleaned_html()} if html else {})
-    for name, content in contents.items():
-        pages.select(content.alias("value"), "output_stem").write.mode(mode).partitionBy(
-            "output_stem").text(f"{folder}/{name}")
+def write_page_outputs(contents: DataFrame, keys: DataFrame, folder: str,
+                       reports: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """Cleaned HTML, text and, where given, report fragments of pages, in one packed write."""
+    documents = content_documents(contents, keys)
+    if reports is not None:
+        documents = documents.unionByName(report_documents(reports, keys))
+    write_packed(documents, folder, mode)
 
 
-def write_batch_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The 17-column summary as CSV (see ``operators.batch.summary_text``)."""
-    from offerlode.operators.batch import summary_text
-    _csv(summary_text(summary), path, mode)
+def write_batch_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> dict:
+    """The 17-column summary as CSV; returns the batch totals, counted while it is written."""
+    counted, totals = observed(summary)
+    _csv(summary_text(counted), path, mode)
+    return totals.get
