@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlode.llm.common import small
+from offerlode.llm.common import release_memory, small
 
-CACHE_PIECES = 250_000
-CACHE_PREFIXES = 350_000
-CACHE_PAIRS = 300_000
+CACHE_PIECES = 220_000
+CACHE_PREFIXES = 280_000
+CACHE_PAIRS = 250_000
 #: Bytes of a piece up to which it is cached and shares its prefixes with others.
 SHORT = 64
 TAIL = 4
@@ -280,6 +280,7 @@ def _with_column(frame: DataFrame, source: str, name: str, change) -> DataFrame:
     at = frame.columns.index(source)
 
     def run(batches):
+        release_memory()
         for batch in small(batches):
             made = pa.array(change(batch.column(at)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,14 @@ def small(batches, rows: int = 256):
             yield batch.slice(start, rows)
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker freed; to be called before large caches fill."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null meets null; it still joins by hash."""
     return left.eqNullSafe(right)
