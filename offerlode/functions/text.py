@@ -47,24 +47,35 @@ _ENTITY_TOKENS = (
 )
 
 
+# Marks around the names of a letter; neither occurs in a name or a value.
+_NAME, _VALUE = "\u0001", "\u0002"
+
+
 @lru_cache(maxsize=1)
 def _entity_json() -> str:
-    """Values of the named entities by first letter, then by name."""
-    table: dict[str, dict[str, str]] = {}
+    """Names and values of the named entities, one marked list for each first letter."""
+    lists: dict[str, str] = {}
     for name, value in html5.items():
-        table.setdefault(name[0], {})[name] = value
-    return json.dumps(table)
+        lists[name[0]] = lists.get(name[0], _NAME) + f"{name}{_VALUE}{value}{_NAME}"
+    return json.dumps(lists)
 
 
 def _first_named(candidates: Column) -> Column:
     """Value and rest of the first (name, rest) whose name is known, null for none.
 
-    The table is a literal map of maps, so a name is looked for among those of its letter.
+    The table is a literal map from a letter to the names that begin with it, some hundred
+    characters.  A map of maps would be the same to read, but no two plans with one compare
+    equal, so their shuffles would not be shared.
     """
-    table = F.from_json(F.lit(_entity_json()), "map<string,map<string,string>>")
-    values = F.transform(candidates, lambda c: F.concat(F.try_element_at(
-        F.try_element_at(table, F.left(c["name"], F.lit(1))), c["name"]), c["rest"]))
-    return F.get(F.filter(values, lambda value: value.isNotNull()), F.lit(0))
+    table = F.from_json(F.lit(_entity_json()), "map<string,string>")
+
+    def value(c: Column) -> Column:
+        marked = F.concat(F.lit(_NAME), c["name"], F.lit(_VALUE))
+        after = F.split_part(F.try_element_at(table, F.left(c["name"], F.lit(1))), marked, F.lit(2))
+        found = F.substring_index(after, _NAME, 1)
+        return F.when(found != "", F.concat(found, c["rest"]))
+
+    return F.get(F.filter(F.transform(candidates, value), lambda one: one.isNotNull()), F.lit(0))
 
 
 @lru_cache(maxsize=1)

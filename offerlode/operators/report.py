@@ -7,6 +7,8 @@ from offerlode.functions import scoring as S
 from offerlode.functions import values as V
 from offerlode.functions.text import strip_space
 from offerlode.operators.dedup import keyed_offers, top_offers, with_rank
+from offerlode.operators.dom import tokenize
+from offerlode.operators.routing import Routes, extract_all, route
 
 
 def page_counts(pages: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -71,6 +73,20 @@ def page_reports(summaries: DataFrame, candidates: DataFrame,
     }).drop("_list")
 
 
+def legacy_report(pages: DataFrame, routes: Routes) -> DataFrame:
+    """(page_id, overall_confidence, chunk, candidates) straight from the extractors' candidates.
+
+    No deduplication across spellings and no confidence filter follows; the mean is that of the
+    five best.  Kept for callers of the older interface.
+    """
+    found = extract_all(route(pages, routes), routes, _tokenized)
+    return page_reports(page_summaries(pages.select("page_id"), found), found).drop("candidate_count")
+
+
+def _tokenized(pages: DataFrame) -> DataFrame:
+    return tokenize(pages.where(F.btrim("html") != ""))
+
+
 def needs_fallback(threshold: float = V.FALLBACK_THRESHOLD) -> Column:
     return F.col("overall_confidence") < min(1.0, max(0.0, threshold))
 

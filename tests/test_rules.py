@@ -69,20 +69,6 @@ def test_marked_sections_are_comments():
     assert record("<p>a</p><![open")["error"] is None
 
 
-@pytest.mark.parametrize("depth", [300, 20_000])
-def test_deep_elements_keep_their_ancestors(depth):
-    page = record("<b>" * depth + '<div style="display:none">no<i>no</i></div><div class="coupon">yes<u>yes</u></div>'
-                  + "</b>" * depth + "<p>after</p>")
-    elements = {element["tag"]: element for element in page["elements"]}
-    hidden, coupon = (i for i, element in enumerate(page["elements"]) if element["tag"] == "div")
-    assert hidden in elements["i"]["anc"] and hidden not in elements["u"]["anc"]
-    assert coupon in elements["u"]["anc"]
-    inside = page["events"][page["elements"][coupon]["first"]:page["elements"][coupon]["last"]]
-    assert [event["text"] for event in inside if event["kind"] == 1] == ["yes", "yes"]
-    assert hidden not in elements["p"]["anc"] and coupon not in elements["p"]["anc"]
-    assert sum(len(element["anc"]) for element in page["elements"]) < 4 * len(page["elements"])
-
-
 def test_headerless_list_keeps_its_first_row(spark):
     frame = spark.createDataFrame([("x", "b.example.com"), ("y", None)], ["n", "https://a.example.com/1"])
     got = sorted((row.row_number, row.url) for row in url_list(frame).collect())
