@@ -38,7 +38,7 @@ def may_have_signal(folded: Column) -> Column:
 
 NUMBERS = (
     "percent", "upto_percent", "extra", "cashback", "zh_extra", "zh_low", "zh_zhe",
-    "zh_cashback", "ko_percent", "ja_percent", "es_percent",
+    "zh_cashback",
 )
 
 
@@ -68,11 +68,8 @@ def captures(folded: Column, foreign: Column) -> dict[str, Column]:
         "zh_cashback": (among(("返利",)), V.ZH_CASHBACK),
         "zh_code": (among(("优惠码", "折扣码", "优惠券")), V.ZH_CODE),
         "zh_min": (among(("满",)), V.ZH_FULL_MINUS),
-        "ko_percent": (percent, V.KO_PERCENT),
         "ko_code": (among(("쿠폰", "할인코드", "프로모")), V.KO_CODE),
-        "ja_percent": (percent, V.JA_PERCENT),
         "ja_code": (among(("クーポン", "割引コード")), V.JA_CODE),
-        "es_percent": (percent, V.ES_PERCENT),
         "es_code": (contains_any(folded, ("digo", "cup")), V.ES_CODE),
     }
     found = {
@@ -136,8 +133,20 @@ def percent_steps() -> dict[str, Column]:
     zhe = F.when((c("c_zh_zhe") > 0) & (c("c_zh_zhe") < 10) & c("c_zh_extra").isNull()
                  & c("c_zh_low").isNull(), _from_zhe(c("c_zh_zhe")))
 
+    def empty(earlier: tuple[str, ...]) -> Column:
+        return F.coalesce(*map(c, earlier)).isNull()
+
     def fill(earlier: tuple[str, ...], value: Column) -> Column:
-        return F.when(F.coalesce(*map(c, earlier)).isNull(), value)
+        return F.when(empty(earlier), value)
+
+    def last_resort(name: str, step: str, pattern: str) -> dict[str, Column]:
+        """A detector that only fills an empty percent runs only where it is empty."""
+        wanted = c("fold").contains("%") & empty(PERCENT_WINNERS[:PERCENT_WINNERS.index(step)])
+        return {
+            f"r_{name}": F.when(wanted, grab(c("fold"), pattern)),
+            f"c_{name}": to_number(c(f"r_{name}")),
+            step: _in_range(c(f"c_{name}")),
+        }
 
     return {
         "p_direct": _in_range(c("c_percent")),
@@ -146,9 +155,9 @@ def percent_steps() -> dict[str, Column]:
         "p_extra": fill(("p_direct", "p_upto"), _in_range(c("c_extra"))),
         "p_zh_low": fill(PERCENT_WINNERS[:4], _from_zhe(c("c_zh_low"))),
         "p_zhe": fill(PERCENT_WINNERS[:5], zhe),
-        "p_korean": fill(PERCENT_WINNERS[:6], _in_range(c("c_ko_percent"))),
-        "p_japanese": fill(PERCENT_WINNERS[:7], _in_range(c("c_ja_percent"))),
-        "p_spanish": fill(PERCENT_WINNERS[:8], _in_range(c("c_es_percent"))),
+        **last_resort("ko_percent", "p_korean", V.KO_PERCENT),
+        **last_resort("ja_percent", "p_japanese", V.JA_PERCENT),
+        **last_resort("es_percent", "p_spanish", V.ES_PERCENT),
     }
 
 
@@ -239,15 +248,23 @@ def offer_type(sale: Column, shipping: Column, reward: Column, bogo: Column,
     )
 
 
+# Every phrase of the general spend pattern ends in one of these.
+_SPEND_WORDS = ("with ", "on ", "over ", "spend ", "purchase ", "of ")
+
+
 def with_min_spend(df: DataFrame) -> DataFrame:
     """Spend threshold of a line; ``c_zh_min`` is the one read with its discount."""
     folded = F.col("fold")
+    none = F.col("c_zh_min").isNull()
     df = df.withColumns({
-        "_spend1": F.when(folded.contains("off "), grab(folded, V.EN_AMOUNT_OFF_MIN_SPEND)),
+        "_spend1": F.when(none & folded.contains("off "), grab(folded, V.EN_AMOUNT_OFF_MIN_SPEND)),
         "_spend2": F.when(
-            folded.contains("free shipping"), grab(folded, V.EN_SHIPPING_MIN_SPEND)),
-        "_spend3": grab(folded, V.EN_MIN_SPEND),
+            none & folded.contains("free shipping"), grab(folded, V.EN_SHIPPING_MIN_SPEND)),
     })
+    # The general pattern runs only where the special ones found nothing.
+    open_spend = none & (F.coalesce(some(F.col("_spend1")), some(F.col("_spend2"))).isNull())
+    df = df.withColumn("_spend3", F.when(
+        open_spend & contains_any(folded, _SPEND_WORDS), grab(folded, V.EN_MIN_SPEND)))
     found = F.coalesce(*[some(F.col(name)) for name in ("_spend1", "_spend2", "_spend3")])
     return df.withColumn("min_spend", F.coalesce("c_zh_min", F.btrim(found))).drop(
         "_spend1", "_spend2", "_spend3")

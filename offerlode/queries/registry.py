@@ -58,9 +58,8 @@ _URLS = f"typed as (select page_id, {I.TYPED_URL} as url from pages)"
 select cast(page_id + 2 as bigint) as row_number, trim(url) as url from typed
 where trim(url) <> ''""")
 def src_url_list(spark, folder):
-    typed = I.pages(spark, folder).select(
-        (F.col("page_id") + 2).alias("Row No"), F.expr(I.TYPED_URL).alias(" Page-URL "))
-    return url_list(typed, row_number="Row No")
+    """Numbered by the file: its rows are in page_id order from 0, and the first is number 2."""
+    return url_list(table(spark, folder, "pages").select(F.expr(I.TYPED_URL).alias(" Page-URL ")))
 
 
 @query("url_looks_like", f"""with {_URLS}, full_urls as (

@@ -1,5 +1,8 @@
 """Session settings for tests, benches and stand-alone runs."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +26,30 @@ def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> Spar
     return session
 
 
+_SHARED: list[DataFrame] = []
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """``df`` kept for the branches of a plan that all read it.
+    """``df`` kept for the branches of a plan that all read it, until ``release_shared``.
 
     Lazy, in memory and on the executors' disks; the lineage stays, so what a lost executor
     held is computed again.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(kept)
+    return kept
+
+
+def release_shared() -> None:
+    """Drop what ``shared`` kept; to be called once the results that read it are written."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
+@contextmanager
+def sharing() -> Iterator[None]:
+    """Scope of one action: what is shared inside is dropped at its end."""
+    try:
+        yield
+    finally:
+        release_shared()

@@ -1,5 +1,6 @@
 """URL lists from any tabular source."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,26 @@ def find_url_column(df: DataFrame, url_column: str | None = None) -> str | None:
     return next((headers[name] for name in V.URL_HEADERS if name in headers), None)
 
 
+def _file_rows(df: DataFrame) -> DataFrame | None:
+    """``df`` with its rows' places in the file, where one Parquet file is read as it is."""
+    files = df.inputFiles()
+    if len(files) != 1 or not files[0].endswith(".parquet"):
+        return None
+    try:
+        return df.select("*", F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:  # no longer the plain rows of the file
+        return None
+
+
 def number_rows(df: DataFrame, start: int, name: str = "row_number") -> DataFrame:
-    """Consecutive numbers in file order.
+    """Consecutive numbers in file order; rows stay where they are, no task sorts the table.
 
-    Counts per partition meet in the driver (one small row each); rows stay where they
-    are, so no single task sorts the table.
+    A list in one Parquet file is numbered by the file itself, in the one scan.  Of other
+    tables the partitions are counted first (one small row each meets in the driver).
     """
+    placed = _file_rows(df)
+    if placed is not None:
+        return placed.withColumn(name, F.col("_place") + start).drop("_place")
     tagged = df.select("*", F.spark_partition_id().alias("_part"),
                        F.monotonically_increasing_id().alias("_id"))
     sizes = tagged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("low"))

@@ -10,6 +10,8 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from offerlode.session import sharing  # noqa: E402
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -34,8 +36,9 @@ def rows_of(columns, rows):
 
 def compare(spark, con, folder, name, plan, sql):
     """(equal, spark rows, sql rows, first differing rows)."""
-    df = plan(spark, folder)
-    left = rows_of(df.columns, [tuple(row) for row in df.collect()])
+    with sharing():
+        df = plan(spark, folder)
+        left = rows_of(df.columns, [tuple(row) for row in df.collect()])
     if sql is None:
         return len(left) > 0, len(left), None, []
     result = con.sql(sql)

@@ -190,6 +190,11 @@ def test_url_lists(spark, tmp_path):
     bare = spark.createDataFrame([("/x", "a.com"), ("/y", "b.com")], ["_c0", "_c1"])
     assert [r["url"] for r in url_list(bare.coalesce(1), header=False).collect()] == [
         "a.com", "b.com"]
+    spark.range(0, 50).selectExpr("id", "concat('s', id, '.example.com') as url").coalesce(1).write.parquet(f"{tmp_path}/list")
+    filed = url_list(spark.read.parquet(f"{tmp_path}/list"))
+    assert [r["row_number"] for r in filed.orderBy("row_number").collect()] == list(range(2, 52))
+    plan = filed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
     numbered = number_rows(spark.range(0, 100, 1, 7), 2).collect()
     assert sorted(r["row_number"] - r["id"] for r in numbered) == [2] * 100
 

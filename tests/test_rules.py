@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlode.functions import scoring as S
 from offerlode.functions.tokenizer import record
-from offerlode.operators.signals import capture_steps, may_have_signal, with_folded
+from offerlode.operators.signals import capture_steps, may_have_signal, percent_steps, with_folded
 from offerlode.sources.pages import page_error
 from offerlode.sources.url_lists import url_list
 
@@ -31,7 +31,7 @@ def variants():
 def test_gate_never_hides_a_signal(spark):
     lines = sorted(set(variants()))
     frame = with_folded(spark.createDataFrame([(line,) for line in lines], "offer string"))
-    steps = capture_steps()
+    steps = {**capture_steps(), **percent_steps()}
     # Words that only hint at a deal are no signal of their own.
     fired = [name for name in steps if name[:2] in ("c_", "m_") and name not in ("m_word", "m_zh_word")]
     found = frame.withColumn("gate", may_have_signal(F.col("fold"))).select(
