@@ -59,6 +59,14 @@ def forget(frame: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """Highest N of the finished folders path/version=N, null if there is none."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+    return max((int(one.getPath().getParent().getName().split("=")[1]) for one in found), default=None)
+
+
 def free_name(frame: DataFrame, wanted: str) -> str:
     """A column name that the frame doesn't use yet."""
     taken = {name.lower() for name in frame.columns}

@@ -14,11 +14,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlode.llm.common import durable, free_name, same, small
+from offerlode.llm.common import durable, free_name, newest_version, same, small
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -216,15 +216,41 @@ def candidate_lines(docs: DataFrame, loaded, id_name: str, min_chars: int) -> Da
     return docs.select(id_name, F.col("text").cast("string")).mapInArrow(run, "id string, key binary")
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def update_counts(spark: SparkSession, path: str, added: DataFrame | None = None,
+                  removed: DataFrame | None = None, min_chars: int = MIN_CHARS) -> int:
+    """Store the next version of the counts under path: the newest one with documents inserted
+    or deleted. Returns its number; version 0 comes from an empty state. A version is written
+    whole or not seen, and an older one stays as it was, so an update can be taken back.
+    """
+    version = newest_version(spark, path)
+    counts = load_counts(spark, path, version) if version is not None else spark.createDataFrame([], "key binary, refs long")
+    if added is not None:
+        counts = add_documents(counts, added, min_chars)
+    if removed is not None:
+        counts = remove_documents(counts, removed, min_chars)
+    number = 0 if version is None else version + 1
+    counts.write.parquet(f"{path}/version={number}")
+    return number
+
+
+def load_counts(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(key, refs) of a stored version, the newest if none is named."""
+    number = newest_version(spark, path) if version is None else version
+    return spark.read.schema("key binary, refs long").parquet(f"{path}/version={number}")
+
+
+def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
+                      counts: DataFrame | None = None) -> DataFrame:
     """All columns of docs, the text without the lines that min_docs documents share, and
     n_lines (before) and n_dropped.
 
     A null or empty text is one empty line; a null text stays null. If every line goes, the
     text is empty. Rows with equal texts lose equal lines, so texts are matched by digest and
     neither repeated nor null ids matter. New columns whose names are taken get underscores.
+    counts are those of docs unless a stored state (load_counts) is given.
     """
-    frequent = durable(reference_counts(docs, min_chars).where(F.col("refs") >= min_docs), "line-counts")
+    known = reference_counts(docs, min_chars) if counts is None else counts
+    frequent = durable(known.where(F.col("refs") >= min_docs), "line-counts")
     digest = free_name(docs, "text_digest")
     named = docs.withColumn(digest, F.md5(F.col("text").cast("string")))
     found = candidate_lines(named, _loaded(frequent), digest, min_chars)

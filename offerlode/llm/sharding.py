@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerlode.llm.common import durable
+from offerlode.llm.common import durable, newest_version
 
 SLOTS = 4096
 #: A text whose copies hold more than 1 / HOT_SHARE of the bytes or rows is spread over slots.
@@ -101,6 +101,36 @@ def map_table(spark: SparkSession, chosen: list[int], version: int) -> DataFrame
     ).select("version", "vslot", F.col("shard").cast("int").alias("shard"))
 
 
+def store_map(spark: SparkSession, path: str, chosen: list[int]) -> int:
+    """Write the next version of the map under path and return its number, 1 for the first.
+
+    Earlier versions stay, so readers of one keep it while the next is made.
+    """
+    version = (newest_version(spark, path) or 0) + 1
+    map_table(spark, chosen, version).drop("version").coalesce(1).write.parquet(f"{path}/version={version}")
+    return version
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, shard of each slot) as stored, the newest unless one is named: SLOTS numbers."""
+    number = newest_version(spark, path) if version is None else version
+    rows = spark.read.parquet(f"{path}/version={number}").select("vslot", "shard").collect()
+    return number, [shard for _, shard in sorted(tuple(row) for row in rows)]
+
+
+def rebalance(spark: SparkSession, path: str, placed: DataFrame, shards: int) -> DataFrame:
+    """Edit the newest map for a number of shards, store it as the next version and return the
+    records that have to be copied: those of placed (with vslot) whose slot changed its shard,
+    with from_shard and to_shard. All other records stay where they are.
+    """
+    sizes = {row["vslot"]: row["bytes"] for row in slot_sizes(placed).collect()}
+    _, before = load_map(spark, path)
+    store_map(spark, path, edited := rebalanced(before, sizes, shards))
+    moves = [(slot, old, new) for slot, (old, new) in enumerate(zip(before, edited)) if old != new]
+    moved = spark.createDataFrame(moves, "moved_slot int, from_shard int, to_shard int")
+    return placed.join(F.broadcast(moved), F.col("vslot") == F.col("moved_slot")).drop("moved_slot")
+
+
 def place(placed: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Adds shard and slot, the row's place in its shard, gapless from 0.
 

@@ -565,3 +565,50 @@ def test_chat_markers_in_texts_forge_no_turn(spark):
         assert row.segment.startswith("<|im_start|>") and row.segment.split("\n")[0].count(" name=") == (not row.in_loss)
         if row.in_loss:
             assert row.segment[row.loss_start - row.start:].startswith(("hi", "yes"))
+
+
+def test_stored_line_counts_bring_lines_back(spark, tmp_path):
+    rows = [(i, f"own {i}\nshared\n" + ("rare\n" if i < 12 else "")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"{tmp_path}/counts"
+    assert line_dedup.update_counts(spark, path, docs.where("doc_id < 15")) == 0
+    assert line_dedup.update_counts(spark, path, docs.where("doc_id >= 15")) == 1
+    plain = sorted(map(tuple, line_dedup.drop_shared_lines(docs, 10).collect()))
+    stored = line_dedup.drop_shared_lines(docs, 10, counts=line_dedup.load_counts(spark, path))
+    assert sorted(map(tuple, stored.collect())) == plain and any("rare" not in text for i, text, *_ in plain if i < 12)
+    assert line_dedup.update_counts(spark, path, removed=docs.where("doc_id < 4")) == 2
+    left = docs.where("doc_id >= 4")
+    back = line_dedup.drop_shared_lines(left, 10, counts=line_dedup.load_counts(spark, path)).collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, line_dedup.drop_shared_lines(left, 10).collect()))
+    assert all("rare" in r.text for r in back if r.doc_id < 12) and all("shared" not in r.text for r in back)
+    old = line_dedup.drop_shared_lines(docs, 10, counts=line_dedup.load_counts(spark, path, 1))
+    assert sorted(map(tuple, old.collect())) == plain
+
+
+def test_slot_map_versions_move_only_their_records(spark, tmp_path, docs):
+    placed = sharding.with_slots(sharding.records(docs)).cache()
+    sizes = {row["vslot"]: row["bytes"] for row in sharding.slot_sizes(placed).collect()}
+    path = f"{tmp_path}/map"
+    first = sharding.first_map(sizes, 4)
+    assert sharding.store_map(spark, path, first) == 1 and sharding.load_map(spark, path) == (1, first)
+    moved = sharding.rebalance(spark, path, placed, 5)
+    version, second = sharding.load_map(spark, path)
+    assert version == 2 and sharding.load_map(spark, path, 1) == (1, first) and 4 in second
+    rows = moved.collect()
+    assert rows and all((first[r.vslot], second[r.vslot]) == (r.from_shard, r.to_shard) and r.to_shard == 4 for r in rows)
+    assert len(rows) == sum(first[r.vslot] != second[r.vslot] for r in placed.collect()) < placed.count() / 3
+
+
+def test_slots_equal_brute_force(spark, small, docs):
+    """op9's places by a plain walk over shards and slots."""
+    rows = queries.op9_sharding(spark, small).collect()
+    placed = sharding.with_slots(sharding.records(docs)).collect()
+    sizes = collections.Counter()
+    for r in placed:
+        sizes[r.vslot] += r.size
+    shard_of = sharding.first_map(dict(sizes), 8)
+    want, taken = set(), collections.Counter()
+    for r in sorted(placed, key=lambda r: (shard_of[r.vslot], r.vslot, r.doc_id, r.text_crc32, r.size)):
+        want.add((r.doc_id, r.size, shard_of[r.vslot], taken[shard_of[r.vslot]]))
+        taken[shard_of[r.vslot]] += 1
+    assert {(r.doc_id, r.size, r.shard, r.slot) for r in rows} == want
