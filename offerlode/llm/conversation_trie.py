@@ -480,3 +480,43 @@ def prefix_trie(turns: DataFrame, block: int = BLOCK, batches: int = BATCHES) ->
     """
     trie, grouped, ends = build(rebuilt(durable(ordered_turns(turns), "trie-numbered")), block, batches)
     return expanded(trie, node_totals(trie, grouped), end_digests(ends))
+
+
+#: The same rows for DuckDB. A prefix is named by the digests of its turns, end to end.
+TRIE_SQL = r"""
+with ids as (select distinct conv_id as c from conversations where conv_id is not null),
+heads as (
+  select c, c - c % 20 as p, xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+    list_transform(string_split(cast(c as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda a, i: case when a & 1 = 1 then xor(a >> 1, cast(3988292384 as bigint)) else a >> 1 end)), cast(4294967295 as bigint)) % 4 as h
+  from ids
+), numbered as (
+  select conv_id as c, md5(length(role) || ':' || role || text) as key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+), sized as (
+  select h.c, h.p, h.h, least(h.h, coalesce(n, 0)) as g
+  from heads h left join (select c, count(*) as n from numbered group by c) l on h.p = l.c
+), rebuilt as (
+  select s.c, n.i as d, n.key, n.words from sized s join numbered n on n.c = s.p and n.i <= s.h
+  union all select s.c, s.g + n.i - s.h, n.key, n.words from sized s join numbered n on n.c = s.c and n.i > s.h
+), member as (
+  select c, d, words, string_agg(key, '') over (partition by c order by d rows between unbounded preceding and current row) as path from rebuilt
+  union all select c, 0, 0, '' from ids
+), node as (
+  select path, min(d) as depth, min(c) as conv_id, count(*) as n_convs, max(words) as words,
+    case when min(d) > 0 then substr(path, 1, length(path) - 32) end as above from member group by path
+), child as (select above, count(*) as n from node where above is not null group by above),
+ended as (
+  select path, string_agg(cast(c as varchar), ',' order by c) as convs
+  from (select c, path from member qualify row_number() over (partition by c order by d desc) = 1) group by path
+), subtree as (
+  select m.path, count(*) filter (k.n is null) as n_leaves, sum((x.n_convs - 1) * x.words) as saved
+  from node x join member m on m.c = x.conv_id and m.d <= x.depth left join child k on k.above = x.path group by m.path
+)
+select x.conv_id, x.depth, u.conv_id as parent_conv_id, x.n_convs, coalesce(k.n, 0) as n_children,
+  t.n_leaves, cast(t.saved as bigint) as saved_tokens, sha256(coalesce(e.convs, '')) as ends_sha256
+from node x join subtree t on t.path = x.path left join node u on u.path = x.above
+  left join child k on k.above = x.path left join ended e on e.path = x.path
+"""

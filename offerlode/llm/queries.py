@@ -135,6 +135,7 @@ from embeddings e join least l on e.vec_id = l.a left join counted c on e.vec_id
 """
 
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": conversation_trie.TRIE_SQL,
     "op10_vector_dedup": LINKS_SQL,
     "op5_line_dedup": LINES_SQL,
     "op6_chat": chat.PERSPECTIVES_SQL,
