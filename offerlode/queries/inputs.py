@@ -53,9 +53,10 @@ def _strip_html(title: str, raw: str, badge: str, notes: tuple[str, ...]) -> str
             f"'</h3>{divs}</a>'")
 
 
+# The coupon site's heading and strips, put into every page's own html.
 SITE_HTML = (
-    f"concat('<html><body><h1>Shop ', {ID}, ' Coupons &amp; Promo Codes</h1>', "
-    + ", ".join(_strip_html(*strip[:4]) for strip in STRIPS) + ", '</body></html>')")
+    f"replace(replace(html, '<article>', concat('<h1>Shop ', {ID}, ' Coupons &amp; Promo Codes</h1><article>')), "
+    "'</article>', concat('<div>', " + ", ".join(_strip_html(*strip[:4]) for strip in STRIPS) + ", '</div></article>'))")
 SITE_URL = f"concat('https://www.RetailMeNot.com/view/', {ID})"
 
 # URLs as people type them: half of them need work, some are unusable.

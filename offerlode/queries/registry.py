@@ -310,15 +310,17 @@ def coupon_code_valid(spark, folder):
     return coded.withColumn("code", F.when(X.is_coupon_code(F.col("code")), F.col("code")))
 
 
-_HEADINGS = """h as (select page_id,
-  case page_id % 4 when 0 then 'Deals' when 1 then 'Shop ' || cast(page_id as varchar) || ' Coupons &amp; Promo Codes'
-    when 2 then '  ' else 'Maison ' || cast(page_id as varchar) || ' (Paris)' end as h1,
-  case page_id % 3 when 0 then 'Sales' when 1 then 'Brand ' || cast(page_id as varchar) || ' Promo Code list' else url end as title,
-  'Site ' || cast(page_id as varchar) as site from pages)"""
+# Headings of the page's own html, with what shops write around a name.
+_OWN_H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+_HEADINGS = f"""h as (select page_id,
+  case page_id % 4 when 0 then 'Deals' when 1 then concat({_OWN_H1}, ' Coupons &amp; Promo Codes')
+    when 2 then '  ' else concat({_OWN_H1}, ' (Paris)') end as h1,
+  case page_id % 3 when 0 then 'Sales' when 1 then concat({_OWN_H1.replace('h1', 'title')}, ' Promo Code list') else url end as title,
+  concat('Site ', cast(page_id as varchar(19))) as site from pages)"""
 
 
 def _sql_heading(column: str) -> str:
-    value = f"trim({Q.collapse(f'''replace({column}, '&amp;', '&')''')}, {Q.text(V.STRIP_GENERIC)})"
+    value = f"trim({Q.collapse(_sql_decode(column))}, {Q.text(V.STRIP_GENERIC)})"
     found = ", ".join(
         f"nullif(trim(regexp_extract({value}, {Q.text(p)}, 1, 'i')), '')" for p in V.STORE_SUFFIXES)
     heading = f"lower({value}) in ({Q.words(V.DEAL_HEADINGS)})"
@@ -328,7 +330,7 @@ def _sql_heading(column: str) -> str:
 
 @query("store_from_html", f"""with {_HEADINGS} select page_id,
   coalesce({_sql_heading('h1')}, {_sql_heading('title')}, {_sql_heading('site')}) as store,
-  nullif(trim(regexp_extract({Q.plain("replace(h1, '&amp;', '&')")}, {Q.text(V.SITE_STORE_HEADING)}, 1, 'i')), '') as site_store
+  nullif(trim(regexp_extract({Q.plain(_sql_decode("h1"))}, {Q.text(V.SITE_STORE_HEADING)}, 1, 'i')), '') as site_store
 from h""")
 def store_from_html(spark, folder):
     body = _HEADINGS.split("select page_id,", 1)[1].rsplit(" from pages)", 1)[0]
@@ -343,8 +345,7 @@ def _split_columns(body: str) -> list[str]:
     """The three heading expressions of the shared SQL, for ``selectExpr``."""
     first, rest = body.split(" as h1,", 1)
     second, third = rest.split(" as title,", 1)
-    fixed = [part.replace("varchar)", "string)") for part in (first, second, third)]
-    return [f"{fixed[0]} as h1", f"{fixed[1]} as title", fixed[2]]
+    return [f"{first} as h1", f"{second} as title", third]
 
 
 # --- detectors --------------------------------------------------------------------
