@@ -20,9 +20,14 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+#: Whitespace but the blank has none of these characters; two ranges are a quick test.
+_COMMON = r"[^\x20-\x7e\u3001-\uffff]"
+
+
 def collapse(text: Column) -> Column:
     """Every whitespace run becomes one blank; untouched text skips the rewrite."""
-    untidy = text.contains("  ") | text.rlike(SPACE.replace(r"\x20", r"\x1f"))
+    untidy = text.contains("  ") | (
+        text.rlike(_COMMON) & text.rlike(SPACE.replace(r"\x20", r"\x1f")))
     return F.when(untidy, F.regexp_replace(text, SPACE + "+", " ")).otherwise(text)
 
 
@@ -36,8 +41,9 @@ def strip_space(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case in which letters equal under case folding share one spelling."""
-    folded = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
-    return F.when(is_ascii(text), F.lower(text)).otherwise(folded)
+    special = "\u017f\u0131\u0130\u212a"
+    plain = is_ascii(text) | ~contains_any(text, tuple(special))
+    return F.when(plain, F.lower(text)).otherwise(F.lower(F.translate(text, special, "siik")))
 
 
 # --- HTML entities ----------------------------------------------------------------
@@ -157,7 +163,8 @@ def normalize_plain(text: Column) -> Column:
 
 def visible(text: Column) -> Column:
     """No-break blanks become blanks, zero-width ones go."""
-    return F.when(is_ascii(text), text).otherwise(F.translate(text, "\u00a0\u200b", " "))
+    plain = is_ascii(text) | ~contains_any(text, ("\u00a0", "\u200b"))
+    return F.when(plain, text).otherwise(F.translate(text, "\u00a0\u200b", " "))
 
 
 def staged(df: DataFrame, name: str, *steps: Callable[[Column], Column],
@@ -281,7 +288,7 @@ SEPARATORS = r"[|•·]"
 
 
 def is_packed(text: Column) -> Column:
-    return text.rlike(SEPARATORS)
+    return contains_any(text, tuple(SEPARATORS[1:-1]))
 
 
 def split_packed(text: Column) -> Column:

@@ -127,8 +127,16 @@ PERCENT_WINNERS = (
 )
 
 
+#: What the events before the last resorts read, in the order of the winners.
+_READ = ("p_zh_extra", "p_direct", "q_upto", "q_extra", "c_zh_low", "q_zhe")
+
+
 def percent_steps() -> dict[str, Column]:
-    """``p_*``: percent-setting events in evaluation order, null when not fired."""
+    """``p_*``: percent-setting events in evaluation order, null when not fired.
+
+    An event fires if nothing before it was read, so each asks what was read (``q_*``) instead
+    of the event before it; a chain would put a projection of all columns between any two.
+    """
     c = F.col
     zhe = F.when((c("c_zh_zhe") > 0) & (c("c_zh_zhe") < 10) & c("c_zh_extra").isNull()
                  & c("c_zh_low").isNull(), _from_zhe(c("c_zh_zhe")))
@@ -139,25 +147,25 @@ def percent_steps() -> dict[str, Column]:
     def fill(earlier: tuple[str, ...], value: Column) -> Column:
         return F.when(empty(earlier), value)
 
-    def last_resort(name: str, step: str, pattern: str) -> dict[str, Column]:
-        """A detector that only fills an empty percent runs only where it is empty."""
-        wanted = c("fold").contains("%") & empty(PERCENT_WINNERS[:PERCENT_WINNERS.index(step)])
-        return {
-            f"r_{name}": F.when(wanted, grab(c("fold"), pattern)),
-            f"c_{name}": to_number(c(f"r_{name}")),
-            step: _in_range(c(f"c_{name}")),
-        }
-
+    # Detectors that only fill an empty percent run only where it is empty.
+    wanted = c("fold").contains("%") & empty(_READ)
+    last = {"ko_percent": V.KO_PERCENT, "ja_percent": V.JA_PERCENT, "es_percent": V.ES_PERCENT}
+    korean, japanese, spanish = [_in_range(c(f"c_{name}")) for name in last]
     return {
         "p_direct": _in_range(c("c_percent")),
         "p_zh_extra": _from_zhe(c("c_zh_extra")),
-        "p_upto": fill(("p_direct",), _in_range(c("c_upto_percent"))),
-        "p_extra": fill(("p_direct", "p_upto"), _in_range(c("c_extra"))),
-        "p_zh_low": fill(PERCENT_WINNERS[:4], _from_zhe(c("c_zh_low"))),
-        "p_zhe": fill(PERCENT_WINNERS[:5], zhe),
-        **last_resort("ko_percent", "p_korean", V.KO_PERCENT),
-        **last_resort("ja_percent", "p_japanese", V.JA_PERCENT),
-        **last_resort("es_percent", "p_spanish", V.ES_PERCENT),
+        "q_upto": _in_range(c("c_upto_percent")),
+        "q_extra": _in_range(c("c_extra")),
+        "q_zhe": zhe,
+        "p_upto": fill(_READ[1:2], c("q_upto")),
+        "p_extra": fill(_READ[1:3], c("q_extra")),
+        "p_zh_low": fill(_READ[:4], _from_zhe(c("c_zh_low"))),
+        "p_zhe": fill(_READ[:5], c("q_zhe")),
+        **{f"r_{name}": F.when(wanted, grab(c("fold"), pattern)) for name, pattern in last.items()},
+        **{f"c_{name}": to_number(c(f"r_{name}")) for name in last},
+        "p_korean": korean,
+        "p_japanese": F.when(korean.isNull(), japanese),
+        "p_spanish": F.when(F.coalesce(korean, japanese).isNull(), spanish),
     }
 
 
@@ -170,16 +178,17 @@ CODE_WINNERS = ("k_zh_code", "k_code", "k_ko_code", "k_ja_code", "k_es_code")
 
 
 def code_steps() -> dict[str, Column]:
-    """``k_*``: valid codes in evaluation order, null when not taken."""
+    """``k_*``: valid codes (``b_*``) in evaluation order, null when not taken."""
     steps = {}
+    valid = ["b" + step[1:] for step in CODE_WINNERS]
     for step, capture in zip(CODE_STEPS, CODE_CAPTURES):
         code = F.col("v" + step[1:])
         steps["v" + step[1:]] = normalize_code(F.col(capture))
-        valid = F.when(is_coupon_code(code), code)
-        if step in CODE_WINNERS[2:]:
-            earlier = CODE_WINNERS[:CODE_WINNERS.index(step)]
-            valid = F.when(F.coalesce(*map(F.col, earlier)).isNull(), valid)
-        steps[step] = valid
+        steps["b" + step[1:]] = F.when(is_coupon_code(code), code)
+        earlier = valid[:CODE_WINNERS.index(step)] if step in CODE_WINNERS[2:] else []
+        own = F.col("b" + step[1:])
+        steps[step] = F.when(
+            F.coalesce(*map(F.col, earlier)).isNull(), own) if earlier else own
     return steps
 
 

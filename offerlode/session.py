@@ -7,14 +7,28 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Methods beyond 8000 bytes are never compiled to machine code; let Spark split them.
+COMPILED = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def compiled(spark: SparkSession) -> SparkSession:
+    """``spark`` with a limit at which the JVM compiles every method, if it had a higher one.
+
+    The detectors of a line fill one method of a fused stage, which the JVM would interpret.
+    """
+    key, limit = COMPILED
+    if int(spark.conf.get(key)) > int(limit):
+        spark.conf.set(key, limit)
+    return spark
+
+
 def build_session(cores: str = "8", app: str = "offerlode", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        # Methods beyond 8000 bytes are never compiled to machine code; let Spark split them.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(*COMPILED)
         # Parsing is heavier than its rows are wide: small shuffles still use every core.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.driver.memory", "12g")

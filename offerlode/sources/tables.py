@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlode.plans.fixture_lines import LINES_SQL, PAGE_URL_SQL
+from offerlode.session import compiled
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
 
 def offer_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(line_id, page_id, line): the derived offer lines of ``folder``."""
-    return spark.sql(
+    return compiled(spark).sql(
         LINES_SQL.replace("from lineitem join part", "from {lineitem} join {part}"),
         lineitem=spread(table(spark, folder, "lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
