@@ -14,7 +14,6 @@ import json
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from offerlode.llm.common import durable, same, small
 from offerlode.llm.running import before
@@ -35,75 +34,97 @@ QUANTUM = 256
 #: Windows of a span, which one task fills.
 SPAN_WINDOWS = 64
 CLOSING_ID = 2
-CACHE_WORDS = 500_000
-#: Words new to the cache that are encoded in one call.
+#: Words and pieces of words that a worker knows, in one table.
+CACHE_WORDS = 690_000
+#: New pieces that are encoded in one call.
 CALL_WORDS = 4000
+#: Texts whose new words are learnt together.
+CALL_TEXTS = 32
 #: Python's split takes these for blanks, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
-#: Words with a character beyond Latin letters and signs, or the start of a special token.
-UNPLAIN = re.compile("[^\x21-\u024f]|<\\|")
+#: What no plain text has: controls, characters beyond Latin letters and signs, and the one
+#: letter among those that is two characters in lower case.
+UNPLAIN = re.compile("[^\t-\r\x20-\u012f\u0131-\u017f]")
+SPECIAL = "<|"
 
 
 class Coder:
     """Ids of texts, word by word: the tokenizer never joins what blanks separate.
 
-    A new word is cut into the tokenizer's own pieces here where that is plain (lower case of
-    Latin letters, its own pattern), and pieces that are new are encoded many at a time without
-    its normaliser. Other words go through the whole tokenizer.
+    A plain text is lower-cased whole, as the tokenizer would. Its new words are cut into the
+    tokenizer's own pieces here, and pieces that are new are encoded many at a time, without
+    normaliser and without the tokenizer's own cache. Words of other texts, and all words if the
+    tokenizer doesn't work that way, go through the whole tokenizer.
     """
 
     def __init__(self, path: str | None):
         path = path or public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        #: Ids of words, and of pieces, which are words of one piece.
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
-            self.pattern = _piece_pattern(json.load(file))
+            model = json.load(file)
+        self.pattern = _piece_pattern(model)
         if self.pattern:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = normalizers.Sequence([])
+            merges = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in model["model"]["merges"]]
+            self.plain = Tokenizer(models.BPE(
+                model["model"]["vocab"], merges, end_of_word_suffix=WORD_END, cache_capacity=0))
             self.plain.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[rank for token, rank in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def _cut(self, word: str) -> list[str] | None:
-        if not self.pattern or UNPLAIN.search(word):
-            return None
-        low = word.lower()
-        if low.isalpha():
-            return [low]
+    def _is_plain(self, text: str) -> bool:
+        return self.pattern is not None and SPECIAL not in text and not UNPLAIN.search(text)
+
+    def _cut(self, word: str) -> list[str]:
         # One sign or digit behind letters is a piece of its own.
-        return [low[:-1], low[-1]] if low[:-1].isalpha() else self.pattern.findall(low)
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [(word, self._cut(word)) for word in words]
-        new = list({piece for _, pieces in cut if pieces for piece in pieces}.difference(self.pieces))
-        if new:
-            ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.type)
-            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            self.pieces.update((piece, ids[first:last].tobytes()) for piece, first, last in zip(new, cuts[:-1], cuts[1:], strict=True))
-        for word, pieces in cut:
-            if pieces is None:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                self.known[word] = np.array(ids, self.type).tobytes()
-            else:
-                self.known[word] = b"".join([self.pieces[piece] for piece in pieces])
+        return [word[:-1], word[-1]] if word[:-1].isalpha() else self.pattern.findall(word)
+
+    def _learn(self, words: set[str]) -> None:
+        """Words of plain texts, in lower case."""
+        known = self.known
+        parted = {word: self._cut(word) for word in words if not word.isalpha()}
+        new = list(words.difference(parted).union(*parted.values()).difference(known))
+        for first in range(0, len(new), CALL_WORDS):
+            some = new[first:first + CALL_WORDS]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
+            cuts = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            packed = ids.tobytes()
+            known.update((piece, packed[begin:end]) for piece, begin, end in zip(some, [0, *cuts[:-1]], cuts, strict=True))
+        for word, pieces in parted.items():
+            if word not in known:
+                known[word] = b"".join([known[piece] for piece in pieces])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of this vocabulary's width."""
-        split = [text.split(" ") if SEPARATORS.search(text) else text.split() for text in texts]
-        for cache in (self.known, self.pieces):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        for first in range(0, len(new), CALL_WORDS):
-            self._learn(new[first:first + CALL_WORDS])
-        known = self.known
-        return [b"".join([known[word] for word in words]) for words in split]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return [ids for first in range(0, len(texts), CALL_TEXTS) for ids in self._packed(texts[first:first + CALL_TEXTS])]
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        known, ids_of = self.known, self.known.get
+        rows, gaps, plain, other = [], [], set(), set()
+        for text in texts:
+            # A text's words are looked up while they are at hand; only new ones are kept.
+            easy = self._is_plain(text)
+            words = text.lower().split() if easy else text.split(" ") if SEPARATORS.search(text) else text.split()
+            row = list(map(ids_of, words))
+            new = [at for at, ids in enumerate(row) if ids is None]
+            names = [words[at] for at in new]
+            (plain if easy else other).update(names)
+            rows.append(row)
+            gaps.append((new, names))
+        self._learn(plain)
+        for word in other.difference(known):
+            known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+        for row, (new, names) in zip(rows, gaps):
+            for at, word in zip(new, names):
+                row[at] = known[word]
+        return [b"".join(row) for row in rows]
 
 
 def _piece_pattern(model: dict) -> regex.Pattern | None:

@@ -227,6 +227,25 @@ def test_ids_are_the_tokenizers(texts):
     assert [np.frombuffer(ids, code.type).tolist() for ids in code.packed(texts)] == plain
 
 
+def test_words_of_any_case_are_learnt_once():
+    """New words are most of the work, so case and a sign behind a word must not make more."""
+    code = packing.Coder(None)
+    packed = code.packed(["Carrot carrot, CARROT\tCarrot.\u00a0carrot"])
+    assert set(code.known) == {"carrot", "carrot,", "carrot.", ",", "."}
+    assert np.frombuffer(packed[0], code.type).tolist() == code.tokenizer.encode(
+        "Carrot carrot, CARROT\tCarrot.\u00a0carrot", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [
+    "ΑΣ ας", "İi İ", "\u212a\u212b k", "e\u0301 é", "<|ENDOFTEXT|> a<|endoftext|>b", "a\x1cb\x85c d", "x\x1f \u2028y",
+    "\x1c y\u00a0 z", "it's IT'S '\u017f", "½²ªº5x 12", "\x00a\x7f.\x80"])
+def test_ids_of_odd_texts(text):
+    code = packing.coder(None)
+    for one in (text, f"{text} plain", text.upper()):
+        want = code.tokenizer.encode(one, add_special_tokens=False).ids
+        assert np.frombuffer(code.packed([one])[0], code.type).tolist() == want
+
+
 # Periodic runs
 
 
