@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from offerlode.llm.common import release_memory, small
 
 CACHE_PIECES = 250_000
-CACHE_PREFIXES = 350_000
+#: Below two thirds of 2^19, beyond which the table doubles.
+CACHE_PREFIXES = 340_000
 CACHE_PAIRS = 300_000
 #: Bytes of a piece up to which it is cached and shares its prefixes with others.
 SHORT = 64
@@ -274,48 +275,70 @@ def token_bytes(path: str | None) -> list[bytes]:
     return known
 
 
-def _with_column(frame: DataFrame, source: str, name: str, change) -> DataFrame:
-    """All columns of frame and a binary one made from source by change(batch column)."""
-    schema = T.StructType([*frame.schema.fields, T.StructField(name, T.BinaryType())])
-    at = frame.columns.index(source)
+def _with_columns(frame: DataFrame, steps: list[tuple], leave: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of frame but leave, and a binary one for each step (source, name, change).
+
+    change makes its column from a batch's source, which may be a column of an earlier step. All
+    steps run in one pass: with a pass for each, every task would hold a Python worker for each,
+    and in time all of them would fill the encoder's caches.
+    """
+    fields = [*frame.schema.fields, *[T.StructField(name, T.BinaryType()) for _, name, _ in steps]]
+    names = [field.name for field in fields]
+    work = [(names.index(source), change) for source, _, change in steps]
+    kept = [at for at, name in enumerate(names) if name not in leave]
 
     def run(batches):
         release_memory()
         for batch in small(batches):
-            made = pa.array(change(batch.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
-
-    return frame.mapInArrow(run, schema)
+            columns = list(batch.columns)
+            for at, change in work:
+                columns.append(pa.array(change(columns[at]), pa.binary()))
+            yield pa.RecordBatch.from_arrays([columns[at] for at in kept], [names[at] for at in kept])
 
+    return frame.mapInArrow(run, T.StructType([fields[at] for at in kept]))
 
-def encode(frame: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ids: token ids as little-endian unsigned 32-bit integers, end to end.
 
-    Each match of the pattern is encoded by itself, without special tokens, over the whole
-    text. A null text counts as empty and has no ids. ids must be a new name.
-    """
+def _encoding(path: str | None):
     def change(column):
         coder = encoder(path)
         return [coder.packed(value or "") for value in column.to_pylist()]
 
-    return _with_column(frame, text, ids, change)
+    return change
 
 
-def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes of the ids; null ids give no bytes."""
+def _decoding(path: str | None):
     def change(column):
         known = token_bytes(path)
         ids = (np.frombuffer(value or b"", "<u4").tolist() for value in column.to_pylist())
         return [b"".join([known[rank] for rank in found]) for found in ids]
 
-    return _with_column(frame, ids, out, change)
+    return change
+
+
+def encode(frame: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds ids: token ids as little-endian unsigned 32-bit integers, end to end.
+
+    Each match of the pattern is encoded by itself, without special tokens, over the whole
+    text. A null text counts as empty and has no ids. ids must be a new name.
+    """
+    return _with_columns(frame, [(text, ids, _encoding(path))])
+
+
+def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds the bytes of the ids; null ids give no bytes."""
+    return _with_columns(frame, [(ids, out, _decoding(path))])
+
+
+def encode_decode(frame: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids",
+                  out: str = "decoded") -> DataFrame:
+    """As decode after encode, without the text, in one pass over the rows."""
+    return _with_columns(frame, [(text, ids, _encoding(path)), (ids, out, _decoding(path))], leave=(text,))
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row's whole text."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    encoded = encode(slim, path).drop("text")
-    return decode(encoded, path).select(
+    return encode_decode(slim, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

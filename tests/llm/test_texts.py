@@ -311,6 +311,14 @@ def test_bpe_of_odd_rows(odd, empty):
     assert bpe.decode(bpe.encode(odd)).columns == [*odd.columns, "ids", "decoded"]
 
 
+def test_bpe_takes_one_worker_a_task(odd):
+    """A second Python pass would hold a second worker, and a second set of caches, in each task."""
+    plan = bpe.token_digests(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    apart = bpe.decode(bpe.encode(odd)).drop("text").collect()
+    assert sorted(map(str, bpe.encode_decode(odd).collect())) == sorted(map(str, apart))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, small, name):
     equal, rows, _, sample = compare(spark, database(small), small, name, queries.QUERIES[name], queries.ORACLES[name])
