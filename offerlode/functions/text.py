@@ -361,10 +361,14 @@ def _digit_table() -> tuple[str, str]:
 
 
 def to_number(capture: Column) -> Column:
+    """Null for the empty text of a capture without a match.
+
+    A cast of that would raise and catch an error, which costs more than the match itself.
+    """
     foreign, ascii_digits = _digit_table()
     plain = F.when(is_ascii(capture), capture).otherwise(
         F.translate(capture, foreign, ascii_digits))
-    return plain.try_cast("double")
+    return F.when(capture != "", plain.try_cast("double"))
 
 
 def title_case(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerlode.functions.text import collapse, fold, is_packed, visible
+from offerlode.functions.text import collapse, fold, is_packed, to_number, visible
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
 from offerlode.sources.tables import offer_lines
@@ -58,3 +58,12 @@ def test_quick_tests_miss_no_character(spark):
     assert rows[9][1] == "siiké" and rows[10][1] == "é"
     assert rows[3][2] == "a b" and rows[11][2] == "ab"
     assert [row[3] for row in rows].count(True) == 3
+
+
+def test_captures_without_a_match_are_not_cast(spark):
+    """Casting the empty text raises and catches an error inside; most captures are empty."""
+    texts = spark.createDataFrame([("12.5",), ("\u0663",), ("",), (None,), ("x",)], "t string")
+    numbers = texts.select(to_number(F.col("t")).alias("n"))
+    assert [row["n"] for row in numbers.collect()] == [12.5, 3.0, None, None, None]
+    plan = numbers._jdf.queryExecution().analyzed().toString()
+    assert plan.index("NOT (t#") < plan.index("try_cast(")
