@@ -66,8 +66,8 @@ def _entity_json() -> str:
     return json.dumps(lists)
 
 
-def _first_named(candidates: Column) -> Column:
-    """Value and rest of the first (name, rest) whose name is known, null for none.
+def _named(name: Column, rest: Column) -> Column:
+    """Value of a name and the rest, null if the name is not known.
 
     The table is a literal map from a letter to the names that begin with it, some hundred
     characters.  A map of maps would be the same to read, but no two plans with one compare
@@ -75,13 +75,10 @@ def _first_named(candidates: Column) -> Column:
     """
     table = F.from_json(F.lit(_entity_json()), "map<string,string>")
 
-    def value(c: Column) -> Column:
-        marked = F.concat(F.lit(_NAME), c["name"], F.lit(_VALUE))
-        after = F.split_part(F.try_element_at(table, F.left(c["name"], F.lit(1))), marked, F.lit(2))
-        found = F.substring_index(after, _NAME, 1)
-        return F.when(found != "", F.concat(found, c["rest"]))
-
-    return F.get(F.filter(F.transform(candidates, value), lambda one: one.isNotNull()), F.lit(0))
+    marked = F.concat(F.lit(_NAME), name, F.lit(_VALUE))
+    after = F.split_part(F.try_element_at(table, F.left(name, F.lit(1))), marked, F.lit(2))
+    return bound(F.substring_index(after, _NAME, 1), lambda found: F.when(
+        found != "", F.concat(found, rest)))
 
 
 @lru_cache(maxsize=1)
@@ -121,37 +118,35 @@ def _code_point(number: Column) -> Column:
     )
 
 
-def _token_parts(token: Column) -> Column:
+def _number(token: Column) -> Column:
+    """Code point of a numeric reference, null where it is too large to hold."""
     hexits = F.ltrim(F.regexp_extract(token, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
     digits = F.regexp_extract(token, "^&#([0-9]+)", 1).try_cast("bigint")
-    return F.struct(
-        token.alias("token"),
-        token.startswith("&#").alias("numeric"),
-        F.when(token.rlike("^&#[xX]"), F.when(
-            F.length(hexits) < 9,
-            F.conv(F.concat(F.lit("0"), hexits), 16, 10).cast("bigint")),
-        ).otherwise(digits).alias("number"),
-        F.regexp_extract(token, "(?s)" + _open_entity_pattern(), 1).alias("name"),
-        F.regexp_extract(token, "(?s)" + _open_entity_pattern(), 2).alias("rest"),
-    )
+    return F.when(token.rlike("^&#[xX]"), F.when(
+        F.length(hexits) < 9,
+        F.conv(F.concat(F.lit("0"), hexits), 16, 10).cast("bigint"))).otherwise(digits)
 
 
-def _decode_parts(part: Column) -> Column:
-    """A reference by its whole name, or by the longest known name it starts with."""
-    token = part["token"]
-    whole = F.struct(F.substring(token, 2, 40).alias("name"), F.lit("").alias("rest"))
-    start = F.struct(part["name"].alias("name"), part["rest"].alias("rest"))
+def _decode_token(token: Column) -> Column:
+    """A reference by its whole name, or by the longest known name it starts with.
+
+    Each step runs only for the tokens that the ones before it leave open.
+    """
+    whole = _named(F.substring(token, 2, 40), F.lit(""))
+    start = bound(
+        F.regexp_extract(token, "(?s)" + _open_entity_pattern(), 1),
+        lambda name: F.when(name != "", _named(name, F.substr(token, F.length(name) + 2))))
     return (
         F.when(~token.startswith("&") | (F.length(token) == 1), token)
-        .when(part["numeric"] & (F.length(token) > 2), _code_point(part["number"]))
-        .otherwise(F.coalesce(_first_named(F.array(whole, start)), token))
+        .when(token.startswith("&#") & (F.length(token) > 2), bound(_number(token), _code_point))
+        .otherwise(F.coalesce(whole, start, token))
     )
 
 
 def decode_entities(text: Column) -> Column:
     """HTML character references to characters; text without ``&`` is passed through."""
     tokens = F.regexp_extract_all(text, F.lit("(?s)" + _ENTITY_TOKENS), F.lit(0))
-    decoded = F.transform(F.transform(tokens, _token_parts), _decode_parts)
+    decoded = F.transform(tokens, _decode_token)
     return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 

@@ -1,8 +1,10 @@
 """Plans of the line detectors: how many projections they take, and that the JVM compiles them."""
 
+import html
+
 from pyspark.sql import functions as F
 
-from offerlode.functions.text import collapse, fold, is_packed, to_number, visible
+from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
 from offerlode.sources.tables import offer_lines
@@ -67,3 +69,15 @@ def test_captures_without_a_match_are_not_cast(spark):
     assert [row["n"] for row in numbers.collect()] == [12.5, 3.0, None, None, None]
     plan = numbers._jdf.queryExecution().analyzed().toString()
     assert plan.index("NOT (t#") < plan.index("try_cast(")
+
+
+def test_references_are_looked_up_only_where_there_is_one(spark):
+    """A token without ``&`` runs none of the patterns of a reference."""
+    texts = ["Save 20% &nbsp;now", "&notit; &notin;", "&#65;&#x41;&#128;&#0;", "&unknown; & &amp;lt;",
+             "&#99999999999999999999;", "a & b", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", decode_entities(F.col("t")).alias("t"))
+    assert [row["t"] for row in rows.orderBy("i").collect()] == [
+        None if text is None else html.unescape(text) for text in texts]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "&#" in plan and plan.index("NOT StartsWith(") < plan.index("regexp_extract(")
