@@ -110,12 +110,25 @@ def text_report(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
         "page_id", c("rank").alias("seq"), output_line().alias("text")))
 
 
+#: What JSON escapes, and what stands for broken bytes; other texts are quoted as they are.
+_ESCAPED = r'["\\\x00-\x1f\x7f\ufffd]'
+
+
 def json_text(value: Column) -> Column:
     quoted = F.to_json(F.array(value))
-    return F.when(value.isNull(), F.lit("null")).otherwise(
+    return F.when(value.isNull(), F.lit("null")).when(
+        ~value.rlike(_ESCAPED), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(
         F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
 
+def json_texts(values: Column, separator: str) -> Column:
+    """Quoted items of an array, joined; one by one only where an item needs it."""
+    plain = ~F.array_join(values, "", "\x00").rlike(_ESCAPED)
+    return F.when(plain & (F.size(values) > 0), F.concat(
+        F.lit('"'), F.array_join(values, f'"{separator}"'), F.lit('"'))).otherwise(
+        F.array_join(F.transform(values, json_text), separator))
+
+
 def json_number(value: Column) -> Column:
     """A double as JSON libraries print it: an exponent only from 1e16 on, with its sign."""
     text = value.cast("string")
@@ -151,7 +164,7 @@ def json_report(summaries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def entry(name: str) -> Column:
         if name == "reasons":
-            items = F.array_join(F.transform(c(name), json_text), ",\n        ")
+            items = json_texts(c(name), ",\n        ")
             value = F.when(F.size(name) == 0, F.lit("[]")).otherwise(
                 F.concat(F.lit("[\n        "), items, F.lit("\n      ]")))
         elif name == "confidence":

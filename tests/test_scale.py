@@ -1,12 +1,14 @@
 """Plans of the line detectors: how many projections they take, and that the JVM compiles them."""
 
 import html
+import json
 
 from pyspark.sql import functions as F
 
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
+from offerlode.sinks.render import json_text, json_texts
 from offerlode.sources.tables import offer_lines
 
 #: Steps of the longest chain of detector columns that read each other.
@@ -81,3 +83,17 @@ def test_references_are_looked_up_only_where_there_is_one(spark):
         None if text is None else html.unescape(text) for text in texts]
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert "&#" in plan and plan.index("NOT StartsWith(") < plan.index("regexp_extract(")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_plain_texts_skip_the_json_writer(spark):
+    texts = ["a", 'q"q', "a\\b", "a\nb", "折 é", "", None]
+    rows = spark.createDataFrame([(text, [text, "b"]) for text in texts], "t string, ts array<string>")
+    quoted = [json.dumps(text, ensure_ascii=False) for text in texts]
+    found = rows.select(json_text(F.col("t")).alias("one"), json_texts(F.col("ts"), ",\n").alias("all"))
+    assert [tuple(row) for row in found.collect()] == [(text, f'{text},\n"b"') for text in quoted]
+    plan = _plan(found.select("one"))
+    assert plan.index("RLIKE(") < plan.index("to_json(")
