@@ -54,9 +54,13 @@ def confidence(terms: list[tuple[Column, float, str]]) -> Column:
 
 
 def reasons(terms: list[tuple[Column, float, str]]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(condition, F.lit(reason)) for condition, _, reason in terms
-    ]))
+    """Reasons of the terms that hold; none has a comma.
+
+    Joined and split, which is compiled; a filter of an array is interpreted.
+    """
+    held = F.concat_ws(",", *[
+        F.when(condition, F.lit(reason)) for condition, _, reason in terms])
+    return F.array_remove(F.split(held, ","), "")
 
 
 # --- exact rounding and formatting ------------------------------------------------

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from offerlode.functions.scoring import reasons
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
@@ -97,3 +98,10 @@ def test_plain_texts_skip_the_json_writer(spark):
     assert [tuple(row) for row in found.collect()] == [(text, f'{text},\n"b"') for text in quoted]
     plan = _plan(found.select("one"))
     assert plan.index("RLIKE(") < plan.index("to_json(")
+
+
+def test_reasons_are_compiled(spark):
+    rows = spark.createDataFrame([(True, None), (None, False), (True, True)], "a boolean, b boolean")
+    found = rows.select(reasons([(F.col("a"), 0.1, "x"), (F.col("b"), 0.2, "y")]).alias("r"))
+    assert [row["r"] for row in found.collect()] == [["x"], [], ["x", "y"]]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
