@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from offerlode.functions.scoring import reasons
+from offerlode.functions.scoring import reasons, two_digits
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
@@ -105,3 +105,13 @@ def test_reasons_are_compiled(spark):
     found = rows.select(reasons([(F.col("a"), 0.1, "x"), (F.col("b"), 0.2, "y")]).alias("r"))
     assert [row["r"] for row in found.collect()] == [["x"], [], ["x", "y"]]
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_digits_need_no_formatter_for_scores(spark):
+    values = [0.005, 0.015, 0.9, 1.0, 0.0, -0.0, -1.5, 2.675, 999999.995, 1e6, 1e20, float("nan"), None]
+    rows = spark.createDataFrame([(value,) for value in values], "v double").select(
+        two_digits(F.col("v")).alias("ours"),
+        F.when(F.col("v").isNotNull(), F.format_string("%.2f", "v")).alias("formatter"))
+    assert all(row["ours"] == row["formatter"] for row in rows.collect())
+    plan = _plan(rows.select("ours"))
+    assert plan.index("decimal(9,2)") < plan.index("format_string(")
