@@ -39,11 +39,18 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+_FOLDED = "\u017f\u0131\u0130\u212a"
+
+
+def folds_plainly(text: Column) -> Column:
+    """No letter whose folded form is another than its lower case."""
+    return is_ascii(text) | ~contains_any(text, tuple(_FOLDED))
+
+
 def fold(text: Column) -> Column:
     """Lower case in which letters equal under case folding share one spelling."""
-    special = "\u017f\u0131\u0130\u212a"
-    plain = is_ascii(text) | ~contains_any(text, tuple(special))
-    return F.when(plain, F.lower(text)).otherwise(F.lower(F.translate(text, special, "siik")))
+    return F.when(folds_plainly(text), F.lower(text)).otherwise(
+        F.lower(F.translate(text, _FOLDED, "siik")))
 
 
 # --- HTML entities ----------------------------------------------------------------
@@ -254,15 +261,16 @@ def _cleaning_columns(name: str, only: str | None, only_if_left: bool) -> tuple[
 
 
 def clean_lines(df: DataFrame, name: str, only: str | None = None,
-                only_if_left: bool = False) -> DataFrame:
+                only_if_left: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Normalise a column of lines and take call-to-action noise out of it.
 
     ``only`` names a boolean column that limits the work to some rows; ``only_if_left``
     limits it to those that still hold an entity or a phrase.  Other rows keep their text.
+    ``also`` names steps that stay as columns.
     """
     kept = [column for column in df.columns if column != name]
     return df.select("*", *_cleaning_columns(name, only, only_if_left)).select(
-        *kept, F.col("_cleaned").alias(name))
+        *kept, F.col("_cleaned").alias(name), *also)
 
 
 def clean_site_offer(text: Column) -> Column:

@@ -59,8 +59,10 @@ def offer_lines(parts: DataFrame, always: Column | None = None) -> DataFrame:
     for which ``always`` holds stay whatever their text.
     """
     keep = tuple(name for name in parts.columns if name != "part")
-    ready = with_folded(clean_lines(
-        parts.select("*", F.col("part").alias("offer")), "offer", only_if_left=True))
+    cleaned = clean_lines(
+        parts.select("*", F.col("part").alias("offer")), "offer", only_if_left=True,
+        also=("_left", "_left_fold"))
+    ready = with_folded(cleaned, same=("_left", "_left_fold"))
     wanted = _wanted() if always is None else always | _wanted()
     return keep_rows(ready, wanted, keep, ("offer", "fold"))
 

@@ -9,7 +9,7 @@ from offerlode.functions import scoring as S
 from offerlode.functions import values as V
 from offerlode.functions.regex import contains_any, grab, hit, some
 from offerlode.functions.text import (
-    fold, is_ascii, is_coupon_code, keep_rows, normalize_code, to_number,
+    fold, folds_plainly, is_ascii, is_coupon_code, keep_rows, normalize_code, to_number,
 )
 
 _CODE_WORDS = ("code", "coupon", "promo", "use", "apply")
@@ -23,8 +23,18 @@ _FOREIGN_SIGNS = (
 ) + V.ZH_FREE_SHIPPING + _OTHER_CODE_WORDS
 
 
-def with_folded(df: DataFrame, text: str = "offer") -> DataFrame:
-    return df.withColumns({"low": F.lower(F.col(text)), "fold": fold(F.col(text))})
+def with_folded(df: DataFrame, text: str = "offer",
+                same: tuple[str, str] | None = None) -> DataFrame:
+    """Add ``low`` and ``fold``.
+
+    ``same`` names (changed, earlier): the fold of a row that did not change is the earlier one.
+    """
+    low, folded = F.lower(F.col(text)), fold(F.col(text))
+    if same is not None:
+        changed, earlier = map(F.col, same)
+        low = F.when(changed | ~folds_plainly(F.col(text)), low).otherwise(earlier)
+        folded = F.when(changed, folded).otherwise(earlier)
+    return df.withColumns({"low": low, "fold": folded})
 
 
 def may_have_signal(folded: Column) -> Column:

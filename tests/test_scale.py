@@ -2,11 +2,13 @@
 
 import html
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from offerlode.functions.scoring import reasons, two_digits
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
+from offerlode.operators.lines import offer_lines as offer_parts
 from offerlode.operators.signals import with_folded, with_signals
 from offerlode.session import COMPILED, compiled
 from offerlode.sinks.render import json_text, json_texts
@@ -115,3 +117,13 @@ def test_two_digits_need_no_formatter_for_scores(spark):
     assert all(row["ours"] == row["formatter"] for row in rows.collect())
     plan = _plan(rows.select("ours"))
     assert plan.index("decimal(9,2)") < plan.index("format_string(")
+
+
+def test_lines_left_alone_are_folded_once(spark):
+    texts = ["20% off Show Code", "SAVE 20% OFF ſhoes", "Envío 20% É", "a &amp; 20%", "10% İ", "why 20% off"]
+    parts = spark.createDataFrame([(text,) for text in texts], "part string")
+    kept = offer_parts(parts)
+    assert {(row["offer"], row["fold"]) for row in kept.collect()} == {
+        ("20% off", "20% off"), ("SAVE 20% OFF ſhoes", "save 20% off shoes"),
+        ("Envío 20% É", "envío 20% é"), ("a & 20%", "a & 20%"), ("10% İ", "10% i")}
+    assert re.search(r"ELSE _left_fold#\d+ END AS low#", _plan(kept))
