@@ -1,12 +1,12 @@
 """Page-level results: counts, overall confidence, reports, gates and run metrics."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlode.functions import scoring as S
 from offerlode.functions import values as V
 from offerlode.functions.text import strip_space
-from offerlode.operators.dedup import keyed_offers, top_offers, with_rank
+from offerlode.operators.dedup import keyed_offers, with_rank
 from offerlode.operators.dom import tokenize
 from offerlode.operators.routing import Routes, extract_all, route
 
@@ -18,26 +18,37 @@ def page_counts(pages: DataFrame, candidates: DataFrame) -> DataFrame:
         "candidate_count", F.coalesce("candidate_count", F.lit(0)).cast("bigint"))
 
 
+def _page_scores(candidates: DataFrame, count: int = V.TOP_FOR_PAGE_CONFIDENCE) -> DataFrame:
+    """(page_id, candidate_count, _units, _best): rows of a page and its ``count`` best scores.
+
+    Rows of one score are alike here, so a partial aggregate reduces them to a number.  A score
+    is a sum of fixed points, so a page has few, and only those are put in order.
+    """
+    scores = candidates.groupBy("page_id", "confidence").agg(F.count("*").alias("_rows"))
+    better = Window.partitionBy("page_id").orderBy(F.col("confidence").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    room = F.lit(count) - F.coalesce(F.sum("_rows").over(better), F.lit(0))
+    taken = scores.withColumn("_taken", F.greatest(F.lit(0), F.least("_rows", room)))
+    return taken.groupBy("page_id").agg(
+        F.sum("_rows").alias("candidate_count"),
+        F.sum(F.when(F.col("_taken") > 0, F.col("_taken") * S.confidence_units(
+            F.col("confidence")))).alias("_units"),
+        F.sum("_taken").alias("_best"))
+
+
 def page_confidence(candidates: DataFrame) -> DataFrame:
     """Mean confidence of the five best candidates of each page that has any."""
-    best = top_offers(
-        candidates.select("page_id", "confidence", "ord_hi", "ord_lo", "offer"),
-        V.TOP_FOR_PAGE_CONFIDENCE)
-    return best.groupBy("page_id").agg(
-        S.mean_confidence(
-            F.sum(S.confidence_units(F.col("confidence"))), F.count("*")
-        ).alias("overall_confidence"))
+    return _page_scores(candidates).select(
+        "page_id",
+        S.mean_confidence(F.col("_units"), F.col("_best")).alias("overall_confidence"))
 
 
 def page_summaries(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(page columns, candidate_count, overall_confidence); empty pages score 0."""
-    slim = candidates.select("page_id", "confidence", "ord_hi", "ord_lo", "offer")
-    ranked = top_offers(slim, V.TOP_FOR_PAGE_CONFIDENCE).groupBy("page_id").agg(
-        F.sum(S.confidence_units(F.col("confidence"))).alias("_units"),
-        F.count("*").alias("_best"))
-    counts = candidates.groupBy("page_id").agg(F.count("*").alias("candidate_count"))
-    joined = pages.join(counts, "page_id", "left").join(ranked, "page_id", "left")
-    return joined.withColumns({
+    """(page columns, candidate_count, overall_confidence); empty pages score 0.
+
+    ``candidates`` is read once, and of it no more than page and confidence.
+    """
+    return pages.join(_page_scores(candidates), "page_id", "left").withColumns({
         "candidate_count": F.coalesce("candidate_count", F.lit(0)).cast("bigint"),
         "overall_confidence": F.coalesce(
             S.mean_confidence(F.col("_units"), F.col("_best")), F.lit(0.0)),

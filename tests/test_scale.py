@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from offerlode.functions.scoring import reasons, two_digits
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
+from offerlode.operators import report
 from offerlode.operators.lines import offer_lines as offer_parts
 from offerlode.operators.signals import with_folded, with_signals
+from offerlode.queries.registry import QUERIES
 from offerlode.session import COMPILED, compiled
 from offerlode.sinks.render import json_text, json_texts
 from offerlode.sources.tables import offer_lines
@@ -127,3 +129,25 @@ def test_lines_left_alone_are_folded_once(spark):
         ("20% off", "20% off"), ("SAVE 20% OFF ſhoes", "save 20% off shoes"),
         ("Envío 20% É", "envío 20% é"), ("a & 20%", "a & 20%"), ("10% İ", "10% i")}
     assert re.search(r"ELSE _left_fold#\d+ END AS low#", _plan(kept))
+
+
+def test_page_summaries_read_the_candidates_once(spark):
+    """Counts and means come from one aggregate on (page, score); no row of an offer is sorted."""
+    scores = {1: [0.9] * 3 + [0.5] * 4, 2: [0.41, None], 3: [None], 4: [0.3, 0.95, 0.35, 0.85, 0.65, 0.75], None: [0.7]}
+    found = spark.createDataFrame(
+        [(page, score, number % 3, number, "20% off") for page, held in scores.items() for number, score in enumerate(held)],
+        "page_id long, confidence double, ord_hi int, ord_lo int, offer string")
+    pages = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (5,), (None,)], "page_id long")
+    summaries = report.page_summaries(pages, found)
+    assert sorted((row["page_id"] or 0, row["candidate_count"], row["overall_confidence"]) for row in summaries.collect()) == [
+        (0, 0, 0.0), (1, 7, 0.74), (2, 2, 0.2), (3, 1, 0.0), (4, 6, 0.71), (5, 0, 0.0), (5, 0, 0.0)]
+    means = {row["page_id"]: row["overall_confidence"] for row in report.page_confidence(found).collect()}
+    assert means == {1: 0.74, 2: 0.2, 3: None, 4: 0.71, None: 0.7}
+    plan = summaries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("ord_lo") == 1
+
+
+def test_fallback_queries_store_no_offers(spark, small):
+    for name in ("fallback_gate", "fallback_enrich"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" not in plan
