@@ -103,9 +103,10 @@ def close_pairs(prints: DataFrame, segments: int = 32) -> DataFrame:
 
     The Manhattan distance is the Hamming distance, less 2 where the two bits of one segment
     are exchanged; a pair is taken in the cells whose steps add up to it, so copies of a pair
-    stay few.
+    stay few. Spark sizes the cells like the fingerprints, of which each has up to 65, so the
+    join is told to sort both sides; by itself it would send millions of cells to the driver.
     """
-    cells = grid_cells(prints, segments)
+    cells = grid_cells(prints, segments).hint("merge")
     left = cells.select("cell", F.col("step").alias("step_a"), F.col("fp").alias("a"))
     right = cells.select("cell", F.col("step").alias("step_b"), F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))

@@ -104,6 +104,13 @@ def test_close_pairs_finds_every_pair(spark):
     assert got == want
 
 
+def test_cells_are_never_broadcast(spark):
+    """A fingerprint has up to 65 cells, which Spark doesn't know of when it sizes their join."""
+    pairs = simhash.close_pairs(spark.createDataFrame([(1,), (2,), (1 << 40,)], "fp long"))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (1, 1 << 40), (2, 1 << 40)}
+    assert "SortMergeJoin" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
 def test_simhash_of_odd_rows(odd, empty):
     rows = simhash.near_duplicates(simhash.fingerprints(odd)).collect()
     assert len(rows) == len(ODD)
