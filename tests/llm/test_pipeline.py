@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from offerlode.llm import bpe
+from offerlode.llm import bpe, simhash
 from offerlode.llm.common import durable, table
 
 
@@ -45,6 +45,19 @@ def test_lines_and_copies_go(stages):
     assert sorted(map(tuple, encoded.collect())) == sorted(map(tuple, bpe.token_digests(mixed).collect()))
 
 
+def test_near_copy_stage_sends_no_cells_to_the_driver(spark, stages, monkeypatch):
+    plans, found = [], simhash.components
+
+    def watched(edges, *ends):
+        edges.collect()
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return found(edges, *ends)
+
+    monkeypatch.setattr(simhash, "components", watched)
+    corpus_pipeline.drop_near_copies(spark, stages[1][2].limit(20), "")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_run_gives_the_last_stage(spark, stages):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, stages[-1][2].collect()))
