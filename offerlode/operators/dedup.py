@@ -49,10 +49,21 @@ def keyed_offers(candidates: DataFrame) -> DataFrame:
     return with_canonical_key(candidates, "offer_key", text)
 
 
-def deduplicate(candidates: DataFrame) -> DataFrame:
-    """Same canonical offer within a page: the highest confidence wins."""
+def deduplicate(candidates: DataFrame, whole: bool = False, by_page: bool = False) -> DataFrame:
+    """Same canonical offer within a page: the highest confidence wins.
+
+    ``whole`` breaks further ties by all other columns.  Then every reader needs whole rows, so
+    several readers share one shuffle where else each would prune and make its own.  ``by_page``
+    shuffles by page, for pages that fit a task; what follows by page needs no other shuffle.
+    """
     keyed = keyed_offers(candidates)
-    return keep_first(keyed, ["page_id", "offer_key"], best_first()).drop("offer_key")
+    order = best_first()
+    if whole:
+        order += [F.col(name) for name in candidates.columns
+                  if name not in ("page_id", "confidence", *POSITION)]
+    if by_page:
+        keyed = keyed.repartition("page_id")
+    return keep_first(keyed, ["page_id", "offer_key"], order).drop("offer_key")
 
 
 def rank_and_filter(candidates: DataFrame, min_confidence: float = V.MIN_CONFIDENCE,
@@ -77,42 +88,93 @@ def top_offers(candidates: DataFrame, count: int = 1, rank: str | None = None) -
 #: Pages of more offers are ranked by many tasks, in stretches between quantiles.
 LARGE_PAGE = 10_000
 STRETCHES = 1_000
+RANK, PAGE_TOTAL = "rank", "page_total"
+
+
+def _matches(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Null-safe equality with the columns of ``right`` called at<name>.
+
+    Equality would filter nulls below what ``right`` is made of, which then shares no shuffle
+    with other readers.
+    """
+    found = F.lit(True)
+    for name in names:
+        found = found & left[name].eqNullSafe(right[f"at{name}"])
+    return found
+
+
+def split_by_size(rows: DataFrame, value: str, large_page: int = LARGE_PAGE) -> tuple[DataFrame, DataFrame]:
+    """Rows of pages with at most ``large_page`` of them, and those of larger pages.
+
+    ``rows`` come from an aggregate with one value column besides the keys; it is read here, so
+    that the count shares the shuffle of the rows.  Pages above the limit are fewer than rows /
+    ``large_page``, so they are broadcast.
+    """
+    count = F.count(value) + F.count_if(F.col(value).isNull())
+    sizes = rows.groupBy(F.col("page_id").alias("atpage_id")).agg(count.alias("_rows"))
+    large = F.broadcast(sizes.where(F.col("_rows") > large_page).select("atpage_id"))
+    on = _matches(rows, large, ["page_id"])
+    return rows.join(large, on, "left_anti"), rows.join(large, on, "left_semi")
+
+
+def ranked_pages(small: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deduplicated, filtered offers, and the same with ``rank`` and ``page_total``.
+
+    Candidates come in two parts (``split_by_size``).  A task holds whole small pages, so one
+    shuffle serves their deduplication and ranks; many tasks share a large page.  Both results
+    read the same shuffles.
+    """
+    few = rank_and_filter(deduplicate(small, whole=True, by_page=True))
+    many = rank_and_filter(deduplicate(large, whole=True))
+    page = Window.partitionBy("page_id")
+    ranked = few.withColumns({
+        RANK: F.row_number().over(page.orderBy(*best_first())).cast("bigint"),
+        PAGE_TOTAL: F.count("*").over(page)})
+    return few.unionByName(many), ranked.unionByName(with_rank(many, RANK, PAGE_TOTAL, large_page=0))
 
 
-def _stretches(candidates: DataFrame, large: DataFrame, stretches: int) -> DataFrame:
-    """(page_id, confidence, ord_hi, bounds): quantiles of the positions on large pages.
+def _stretches(candidates: DataFrame, large: DataFrame | None, stretches: int) -> DataFrame:
+    """(atpage_id, atconfidence, atord_hi, bounds): quantiles of the positions on large pages.
 
     The sketch is a partial aggregate of bounded size, so a page with a third of all rows is
     summed up by all tasks that hold some of it.
     """
     share = [at / stretches for at in range(1, stretches)]
-    rows = candidates.select("page_id", "confidence", "ord_hi", "ord_lo").join(
-        large, "page_id", "left_semi")
-    return rows.groupBy("page_id", "confidence", "ord_hi").agg(
-        F.percentile_approx("ord_lo", share, 10 * stretches).alias("_bounds"))
+    rows = candidates.select("page_id", "confidence", "ord_hi", "ord_lo")
+    if large is not None:
+        rows = rows.join(large, _matches(rows, large, ["page_id"]), "left_semi")
+    return rows.groupBy(*[F.col(name).alias(f"at{name}") for name in ("page_id", "confidence", "ord_hi")]).agg(
+        F.percentile_approx("ord_lo", share, 10 * stretches).alias("_bounds"),
+        F.lit(True).alias("_split"))
 
 
-def with_rank(candidates: DataFrame, rank: str = "rank", total: str | None = None,
+def with_rank(candidates: DataFrame, rank: str = RANK, total: str | None = None,
               large_page: int = LARGE_PAGE, stretches: int = STRETCHES) -> DataFrame:
     """Exact rank of every candidate of its page, also where one page is very large.
 
     Rank = candidates in better buckets + row number inside the own bucket.  A page of up to
-    ``large_page`` candidates is one bucket.  A larger one has a bucket for each confidence,
-    pass and stretch between quantiles of the positions, so it is sorted by many tasks and
-    only its bucket counts meet in one.  ``total`` adds the page's number of candidates; it
-    comes from the same counts.
+    ``large_page`` candidates is one bucket; at 0 no page is counted first.  A larger one has a
+    bucket for each confidence, pass and stretch between quantiles of the positions, so it is
+    sorted by many tasks and only its bucket counts meet in one.  ``total`` adds the page's number
+    of candidates; it comes from the same counts.  Candidates that have their rank already
+    (``ranked_pages``) keep it.
     """
-    counts = candidates.groupBy("page_id").agg(F.count("*").alias("_total"))
-    large = counts.where(F.col("_total") > large_page)
+    if {rank, total or rank} <= set(candidates.columns):
+        return candidates
+    large = None
+    if large_page > 0:
+        large = candidates.groupBy(F.col("page_id").alias("atpage_id")).agg(
+            F.count("*").alias("_total")).where(F.col("_total") > large_page)
     bounds = _stretches(candidates, large, stretches)
-    order = ["page_id", "confidence", "ord_hi"]
-    split = F.col("_bounds").isNotNull()
-    bucketed = candidates.join(bounds, order, "left").withColumns({
-        "_confidence": F.when(split, F.col("confidence")),
-        "_hi": F.when(split, F.col("ord_hi")),
-        "_stretch": F.when(split, F.size(F.filter(
-            "_bounds", lambda bound: bound < F.col("ord_lo")))),
-    }).drop("_bounds")
+    split = F.coalesce("_split", F.lit(False))
+    bucketed = candidates.join(
+        bounds, _matches(candidates, bounds, ["page_id", "confidence", "ord_hi"]), "left").withColumns({
+            "_confidence": F.when(split, F.col("confidence")),
+            "_hi": F.when(split, F.col("ord_hi")),
+            "_stretch": F.when(split, F.size(F.filter(
+                F.coalesce("_bounds", F.array().cast("array<bigint>")),
+                lambda bound: bound < F.col("ord_lo")))),
+        }).select(*candidates.columns, "_confidence", "_hi", "_stretch")
     bucket = ["page_id", "_confidence", "_hi", "_stretch"]
     inside = Window.partitionBy(*bucket)
     numbered = bucketed.withColumns({
@@ -127,8 +189,7 @@ def with_rank(candidates: DataFrame, rank: str = "rank", total: str | None = Non
         *[F.col(name).alias(f"at{name}") for name in bucket],
         F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"),
         F.sum("_size").over(page).alias("_all"))
-    on = [F.col(name) == F.col(f"at{name}") for name in bucket]
-    ranked = numbered.join(offsets, on, "left")
+    ranked = numbered.join(offsets, _matches(numbered, offsets, bucket), "left")
     added = {rank: (F.coalesce("_ahead", F.lit(0)) + F.col("_inside")).cast("bigint")}
     if total is not None:
         added[total] = F.coalesce("_all", "_own").cast("bigint")

@@ -48,13 +48,24 @@ def page_summaries(pages: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``candidates`` is read once, and of it no more than page and confidence.
     """
-    return pages.join(_page_scores(candidates), "page_id", "left").withColumns({
+    return _join_pages(pages, _page_scores(candidates)).withColumns({
         "candidate_count": F.coalesce("candidate_count", F.lit(0)).cast("bigint"),
         "overall_confidence": F.coalesce(
             S.mean_confidence(F.col("_units"), F.col("_best")), F.lit(0.0)),
     }).drop("_units", "_best")
 
 
+def _join_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with what was found on them, if anything; a page without id has nothing.
+
+    The condition leaves null ids of ``found`` alone: a filter on them would be pushed below the
+    shuffle of the offers, which the other readers of those offers then couldn't share.
+    """
+    named = found.withColumnRenamed("page_id", "_found_id")
+    on = pages["page_id"].eqNullSafe(named["_found_id"]) & pages["page_id"].isNotNull()
+    return pages.join(named, on, "left").drop("_found_id")
+
+
 def record_struct() -> Column:
     """The 15 output fields of a candidate, confidence rounded."""
     return F.struct(*[
@@ -77,7 +88,7 @@ def page_reports(summaries: DataFrame, candidates: DataFrame,
         "page_id", F.floor((F.col("rank") - 1) / chunk).cast("bigint").alias("chunk")
     ).agg(F.array_sort(F.collect_list(
         F.struct("rank", record_struct().alias("candidate")))).alias("_list"))
-    return summaries.join(lists, "page_id", "left").withColumns({
+    return _join_pages(summaries, lists).withColumns({
         "chunk": F.coalesce("chunk", F.lit(0).cast("bigint")),
         "candidates": F.coalesce(
             F.transform("_list", lambda item: item["candidate"]), F.array()),

@@ -18,7 +18,7 @@ from offerlode.operators.dedup import (
 from offerlode.operators.routing import extract_all, route
 from offerlode.operators.signals import with_expiry, with_folded, with_min_spend, with_signals
 from offerlode.operators.site_rules import with_site_fields
-from offerlode.plans.offers import fixture_candidates, fixture_offers
+from offerlode.plans.offers import fixture_candidates, fixture_offers, ranked_fixture_offers
 from offerlode.plans.pages import (
     cleaned_pages, default_routes, generic_candidates, text_candidates,
 )
@@ -731,10 +731,10 @@ union all select page_id, candidate_count + 1, case when fallback_response_text
   then 'LLM_FALLBACK_OUTPUT' || chr(10) || fallback_response_text else 'LLM_FALLBACK_ERROR' || chr(10) || fallback_error end
 from enriched where fallback_response_text is not null or fallback_error is not null""")
 def render_text(spark, folder):
-    offers = shared(fixture_offers(spark, folder))
+    offers, ranked = ranked_fixture_offers(spark, folder)
     enriched = report.with_fallback_results(
         _summaries(spark, folder, offers), I.responses(spark, folder), GATE)
-    return render.text_report(enriched, offers)
+    return render.text_report(enriched, ranked)
 
 
 def _sql_json(name: str) -> str:

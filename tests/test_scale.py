@@ -4,15 +4,18 @@ import html
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlode.functions.scoring import reasons, two_digits
 from offerlode.functions.text import collapse, decode_entities, fold, is_packed, to_number, visible
 from offerlode.operators import report
+from offerlode.operators.dedup import deduplicate, rank_and_filter
 from offerlode.operators.lines import offer_lines as offer_parts
 from offerlode.operators.signals import with_folded, with_signals
+from offerlode.plans import offers as plans
 from offerlode.queries.registry import QUERIES
-from offerlode.session import COMPILED, compiled
+from offerlode.session import COMPILED, compiled, sharing
 from offerlode.sinks.render import json_text, json_texts
 from offerlode.sources.tables import offer_lines
 
@@ -151,3 +154,60 @@ def test_fallback_queries_store_no_offers(spark, small):
     for name in ("fallback_gate", "fallback_enrich"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().withCachedData().toString()
         assert "InMemoryRelation" not in plan
+
+
+#: The queries that rank the offers of the derived lines.
+RANKED = ("render_text",)
+
+
+def _plain_offers(lines, keep):
+    """Stands in for the parser: every line is an offer."""
+    texts = ("offer_type", "coupon_code", "discount_amount", "max_discount_amount", "min_spend",
+             "discount_type", "expiry", "expiry_type", "raw_html")
+    return lines.select(
+        *keep, "store", "offer", F.lit("generic").alias("source"),
+        *[F.lit(None).cast("string").alias(name) for name in texts],
+        *[F.lit(None).cast("double").alias(name) for name in ("discount_percent", "cashback_percent")],
+        (F.lit(0.3) + F.length("offer") % 5 / 10).alias("confidence"), F.array("store").alias("reasons"),
+        F.col("offer").alias("normalized_line"))
+
+
+@pytest.fixture
+def plain_parser(monkeypatch):
+    monkeypatch.setattr(plans.L, "explode_parts", lambda lines: lines.select(
+        "page_id", "line_id", F.lit(0).alias("part_no"), F.col("line").alias("offer")))
+    monkeypatch.setattr(plans.L, "offer_lines", lambda parts: parts)
+    monkeypatch.setattr(plans, "parse_offers", _plain_offers)
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_ranked_queries_shuffle_the_offers_once(spark, small, plain_parser, name):
+    """No offers are kept; behind the parser they are shuffled once, for all that read them."""
+    with sharing():
+        found = QUERIES[name](spark, small)
+        assert "InMemoryRelation" not in found._jdf.queryExecution().withCachedData().toString()
+        assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "Reused" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in made) == 1
+    assert sum("offer" in line for line in made) <= 1  # by page and text, before the parser
+
+
+@pytest.mark.parametrize("large_page", [0, 8, 10_000])
+def test_ranks_of_small_and_large_pages(spark, plain_parser, large_page):
+    texts = [f"{'x' * (n % 7)} item {n % 23} {'Off' if n % 2 else ' off'}" for n in range(40)]
+    lines = [(page, n, texts[n % 40]) for page, count in ((1, 60), (2, 5), (None, 30)) for n in range(count)]
+    given = spark.createDataFrame(lines, "page_id long, line_id long, line string")
+    args = given, F.shiftleft("line_id", 10) + F.col("part_no"), F.lit("Shop")
+    offers, ranked = plans.ranked_from_lines(*args, large_page)
+    plain = rank_and_filter(deduplicate(plans.candidates_from_lines(*args)))
+    want = {}
+    for row in plain.collect():
+        want.setdefault(row["page_id"], []).append((-row["confidence"], row["ord_hi"], row["ord_lo"], row["offer"]))
+    assert set(want) == {1, 2, None} and len(want[1]) > 8 > len(want[2])
+    got = {}
+    for row in ranked.collect():
+        got.setdefault(row["page_id"], []).append((row["rank"], row["page_total"], row["offer"]))
+    assert {page: sorted(held) for page, held in got.items()} == {
+        page: [(at, len(held), one[3]) for at, one in enumerate(sorted(held), 1)] for page, held in want.items()}
+    assert sorted(map(str, offers.collect())) == sorted(map(str, plain.select(offers.columns).collect()))
