@@ -761,8 +761,8 @@ union all select r.page_id, rank, '    {{' || chr(10) || {_JSON_BODY} || chr(10)
 union all select page_id, candidate_count + 1, case when candidate_count > 0 then '  ]' else '  "candidates": []' end
   || chr(10) || '}}' from summaries""")
 def render_json(spark, folder):
-    offers = shared(fixture_offers(spark, folder))
-    return render.json_report(_summaries(spark, folder, offers), offers)
+    offers, ranked = ranked_fixture_offers(spark, folder)
+    return render.json_report(_summaries(spark, folder, offers), ranked)
 
 
 @query("parse_lines", f"""{Q.OFFERS} select page_id, store, offer, coalesce(coupon_code, offer_type, 'NO_CODE') as code,
