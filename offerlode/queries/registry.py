@@ -13,7 +13,7 @@ from offerlode.operators import batch, dom, report
 from offerlode.operators import lines as L
 from offerlode.operators.custom import custom_extractor
 from offerlode.operators.dedup import (
-    deduplicate, distinct_offers, rank_and_filter, top_offers, with_rank,
+    deduplicate, distinct_offers, rank_and_filter, top_offers,
 )
 from offerlode.operators.routing import extract_all, route
 from offerlode.operators.signals import with_expiry, with_folded, with_min_spend, with_signals
@@ -556,7 +556,7 @@ def dedup_canonical(spark, folder):
 
 @query("rank_filter", f"{Q.OFFERS} select page_id, rank, {_SQL_FIELDS} from ranked")
 def rank_filter(spark, folder):
-    return with_rank(shared(fixture_offers(spark, folder))).select("page_id", "rank", *_FIELDS)
+    return ranked_fixture_offers(spark, folder)[1].select("page_id", "rank", *_FIELDS)
 
 
 @query("rank_capped", f"{Q.OFFERS} select page_id, offer, confidence from ranked where rank <= 25")
