@@ -24,7 +24,6 @@ from offerlode.plans.pages import (
 )
 from offerlode.queries import inputs as I
 from offerlode.queries import sql as Q
-from offerlode.session import shared
 from offerlode.sinks import render
 from offerlode.sources.pages import decode_body, page_contents, page_error, page_records
 from offerlode.sources.tables import offer_lines, spread, table
@@ -600,8 +599,8 @@ select s.page_id, candidate_count, overall_confidence, cast(coalesce(chunk, 0) a
   cast(coalesce(n, 0) as bigint) as listed, coalesce(offers, '') as offers
 from summaries s left join chunks c on s.page_id = c.page_id""")
 def page_report(spark, folder):
-    offers = shared(fixture_offers(spark, folder))
-    reports = report.page_reports(_summaries(spark, folder, offers), offers)
+    offers, ranked = ranked_fixture_offers(spark, folder)
+    reports = report.page_reports(_summaries(spark, folder, offers), ranked)
     return reports.select(
         "page_id", "candidate_count", "overall_confidence", "chunk",
         F.size("candidates").cast("bigint").alias("listed"),

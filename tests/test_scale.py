@@ -157,7 +157,7 @@ def test_fallback_queries_store_no_offers(spark, small):
 
 
 #: The queries that rank the offers of the derived lines.
-RANKED = ("rank_filter", "render_text", "render_json")
+RANKED = ("rank_filter", "page_report", "render_text", "render_json")
 
 
 def _plain_offers(lines, keep):
